@@ -1,0 +1 @@
+"""Every entry point of this engine is a batch job; no streaming operator is offered."""
