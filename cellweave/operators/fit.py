@@ -35,6 +35,7 @@ from cellweave.runtime import checkpoint, run_together
 # The loop stops when the last two changes stay below this.
 PRECISION = 1e-5
 RETRY_SEED_STEP = 1009
+START_SEED_STEP = 7919
 
 
 @dataclass(frozen=True)
@@ -319,7 +320,7 @@ def multi_start(matrix: CellMatrix, settings: Settings, n_starts: int, width: in
         raise ValueError("n_starts must be positive")
     matrix.pooled()
     tasks = [
-        lambda s=s: fit(matrix, replace(settings, seed=settings.seed + 7919 * s))
+        lambda s=s: fit(matrix, replace(settings, seed=settings.seed + START_SEED_STEP * s))
         for s in range(n_starts)
     ]
     return best_of(run_together(tasks, width), lambda r: r.loglik)

@@ -14,6 +14,7 @@ from cellweave.functions.kernels import fourier, normalised_power
 FLAT_SERIES_SD = 0.0001
 GRID_POINTS = 30
 LOG_OFFSET = 1.0
+EDGE_SLACK = 1e-9
 
 
 def z_normalize(df: DataFrame, series: str, out: str, threshold: float = FLAT_SERIES_SD) -> DataFrame:
@@ -61,7 +62,8 @@ def mean_frequency_step(df: DataFrame, freq: str) -> DataFrame:
 
 def frequency_grid(df: DataFrame, freq: str, points: int = GRID_POINTS) -> DataFrame:
     """Common grid ``(i, frequency)``: multiples of the mean step strictly between the
-    largest first and the smallest last frequency of the table."""
+    largest first and the smallest last frequency of the table. A point that differs from a
+    bound by rounding only counts as lying on it."""
     step = F.get(freq, F.lit(1)) - F.get(freq, F.lit(0))
     bounds = df.agg(
         F.avg(step).alias("mean_step"),
@@ -70,8 +72,12 @@ def frequency_grid(df: DataFrame, freq: str, points: int = GRID_POINTS) -> DataF
     )
     candidates = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i * F.col("mean_step"))
     return (
-        bounds.select("upper", "lower", F.posexplode(candidates).alias("i", "frequency"))
-        .filter((F.col("frequency") < F.col("upper")) & (F.col("frequency") > F.col("lower")))
+        bounds.withColumn("slack", F.col("mean_step") * EDGE_SLACK)
+        .select("upper", "lower", "slack", F.posexplode(candidates).alias("i", "frequency"))
+        .filter(
+            (F.col("frequency") < F.col("upper") - F.col("slack"))
+            & (F.col("frequency") > F.col("lower") + F.col("slack"))
+        )
         .select("i", "frequency")
     )
 
