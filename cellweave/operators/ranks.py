@@ -31,10 +31,10 @@ def dense_index(df: DataFrame, columns: Sequence[str], out: str, n_rows: int) ->
     )
     inside = Window.partitionBy("range_no").orderBy(*columns)
     return (
-        split.withColumn("place", F.row_number().over(inside))
+        split.withColumn("in_range", F.row_number().over(inside))
         .join(F.broadcast(starts), "range_no")
-        .withColumn(out, (F.col("place") + F.col("start") - 1).cast("bigint"))
-        .drop("range_no", "place", "start")
+        .withColumn(out, (F.col("in_range") + F.col("start") - 1).cast("bigint"))
+        .drop("range_no", "in_range", "start")
     )
 
 
@@ -60,8 +60,8 @@ def uniform_rank(
     )
     inside = Window.partitionBy(*groups, "band").orderBy("u", tie)
     return (
-        drawn.withColumn("place", F.row_number().over(inside))
+        drawn.withColumn("in_band", F.row_number().over(inside))
         .join(F.broadcast(starts), [*groups, "band"])
-        .withColumn(out, (F.col("place") + F.col("start") - 1).cast("bigint"))
-        .drop("u", "band", "place", "start")
+        .withColumn(out, (F.col("in_band") + F.col("start") - 1).cast("bigint"))
+        .drop("u", "band", "in_band", "start")
     )

@@ -98,14 +98,15 @@ def linear_interpolation(
     last = F.size(freq) - 2
     step = F.get(freq, F.lit(1)) - F.get(freq, F.lit(0))
 
-    def at(frequency: float) -> Column:
-        place = F.lit(float(frequency)) / F.col("_step")
+    def at(frequency: Column) -> Column:
+        place = frequency / F.col("_step")
         left = F.least(F.floor(place).cast("int"), F.col("_last"))
         share = place - left
         return F.get(values, left) * (1 - share) + F.get(values, left + 1) * share
 
+    points = F.array(*[F.lit(float(g)) for g in grid])
     prepared = df.withColumn("_step", step).withColumn("_last", last)
-    return prepared.withColumn(out, F.array(*[at(g) for g in grid])).drop("_step", "_last")
+    return prepared.withColumn(out, F.transform(points, at)).drop("_step", "_last")
 
 
 def log_scale(df: DataFrame, values: str, out: str, offset: float = LOG_OFFSET) -> DataFrame:

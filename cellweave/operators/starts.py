@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from cellweave.operators.model import BlockModel, EmptyClusterError
 from cellweave.operators.partitions import balanced_col_partition, balanced_row_partition
 from cellweave.operators.pca import project_loadings
 from cellweave.operators.stats import block_sums, unpack_sums
-from cellweave.runtime import broadcast_if_small, checkpoint
+from cellweave.runtime import broadcast_if_small, checkpoint, run_together
 
 # Rows sampled per block, and the inner fits of the LBM start.
 SAMPLE_ROWS = 50
@@ -118,9 +119,8 @@ def from_kmeans(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, Da
     projected features."""
     sizes = settings.row_clusters
     w = matrix.pooled_loadings(settings.max_components, settings.threshold)
-
-    def projected(part: CellMatrix) -> DataFrame:
-        return project_loadings(part.cells, "feat", "feat", w)
+    # every round of k-means reads the projected cells, so they are kept
+    cells = project_loadings(matrix.cells, "feat", "feat", w).persist(StorageLevel.MEMORY_AND_DISK)
 
     def labels(items: Items, k: int) -> DataFrame:
         if k == 1:
@@ -130,14 +130,21 @@ def from_kmeans(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, Da
             raise EmptyClusterError("k-means found no start without an empty cluster")
         return found.labels
 
-    by_column = labels(Items.of_columns(matrix, len(w), projected(matrix)), len(sizes))
-    col_part = checkpoint(by_column.select(F.col("item").alias("col_id"), F.col("k").alias("l")))
-    parts = []
-    for l, size in enumerate(sizes):
+    def rows_inside(l: int) -> DataFrame:
         piece = matrix.slice(col_part, l)
-        by_row = labels(Items.of_rows(piece, len(w), projected(piece)), size)
-        parts.append(by_row.select(F.col("item").alias("row_id"), "k"))
-    return from_given_partition(matrix, joined_row_labels(parts), col_part, settings)
+        inside = cells.join(
+            matrix.beside_columns(col_part.filter(F.col("l") == l)), "col_id", "left_semi")
+        by_row = labels(Items.of_rows(piece, len(w), inside), sizes[l])
+        return by_row.select(F.col("item").alias("row_id"), "k")
+
+    try:
+        by_column = labels(Items.of_columns(matrix, len(w), cells), len(sizes))
+        col_part = checkpoint(by_column.select(F.col("item").alias("col_id"), F.col("k").alias("l")))
+        parts = run_together([lambda l=l: rows_inside(l) for l in range(len(sizes))])
+        row_labels = checkpoint(joined_row_labels(parts))
+    finally:
+        cells.unpersist()
+    return from_given_partition(matrix, row_labels, col_part, settings)
 
 
 def from_lbm(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataFrame]:
@@ -151,16 +158,18 @@ def from_lbm(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataF
     ))
     if outer.status == "failed":
         raise EmptyClusterError("the LBM start failed")
-    parts = []
-    for l, size in enumerate(sizes):
+
+    def rows_inside(l: int) -> DataFrame:
         piece = matrix.slice(outer.col_part, l)
         inner = fit(piece, clbm_settings(
-            (size,), init="random", update_loadings=START_LOADING_STRATEGY,
+            (sizes[l],), init="random", update_loadings=START_LOADING_STRATEGY,
             max_tries=START_TRIES, seed=seed,
         ))
         if inner.status == "failed":
             raise EmptyClusterError("the start inside a column cluster failed")
-        parts.append(inner.row_part().select("row_id", "k"))
+        return inner.row_part().select("row_id", "k")
+
+    parts = run_together([lambda l=l: rows_inside(l) for l in range(len(sizes))])
     return from_given_partition(
         matrix, checkpoint(joined_row_labels(parts)), outer.col_part, replace(settings, shared=False)
     )

@@ -123,12 +123,7 @@ def register_steps(prefix: str, clusters: Sequence[int], shared: bool) -> None:
             labels.matrix, labels.row_labels, estimated(labels, clusters, shared), 1, 1, 0)
         return drawn.select("col_id", big("l").alias("l"))
 
-    stepped = chain()
-    rows, cols = sql.add_sweeps(stepped, "w", "ll", "cp", shared, 1, 0)
-
-    @query(f"{prefix}_se_step", stepped.select(
-        f"SELECT 'row' AS side, row_id::BIGINT AS id, l::BIGINT AS l, k::BIGINT AS label FROM {rows} "
-        f"UNION ALL SELECT 'column', col_id, 0, l FROM {cols}"))
+    @query(f"{prefix}_se_step")
     def se_step(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels = balanced(spark, sf_dir, clusters, 0, shared)
         drawn, columns = blocks.se_step(

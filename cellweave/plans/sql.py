@@ -159,13 +159,13 @@ def add_row_scores(chain: Chain, name: str, densities: str, cols: str, shared: b
     group = "0 AS l" if shared else "l"
     keys = "row_id, k" if shared else "row_id, l, k"
     return chain.add(name, f"SELECT row_id, {group}, k, sum(ll) + ln(any_value(row_prop)) AS score "
-                     f"FROM {densities} JOIN {cols} USING (col_id, l) GROUP BY {keys}")
+                     f"FROM {densities} SEMI JOIN {cols} USING (col_id, l) GROUP BY {keys}")
 
 
 def add_col_scores(chain: Chain, name: str, densities: str, rows: str, shared: bool) -> Chain:
     source = f"(SELECT row_id, k FROM {rows}) USING (row_id, k)" if shared else f"{rows} USING (row_id, l, k)"
     return chain.add(name, "SELECT col_id, l, sum(ll) + ln(any_value(col_prop)) AS score "
-                     f"FROM {densities} JOIN {source} GROUP BY col_id, l")
+                     f"FROM {densities} SEMI JOIN {source} GROUP BY col_id, l")
 
 
 def draw(scores: str, keys: str, label: str, u: str) -> str:
@@ -211,7 +211,7 @@ def add_sweeps(chain: Chain, tag: str, densities: str, cols: str, shared: bool,
 
 def add_likelihood(chain: Chain, name: str, densities: str, rows: str, cols: str, shared: bool) -> Chain:
     source = f"(SELECT row_id, k FROM {rows}) USING (row_id, k)" if shared else f"{rows} USING (row_id, l, k)"
-    return chain.add(name, f"SELECT sum(ll) AS loglik FROM {densities} JOIN {cols} USING (col_id, l) JOIN {source}")
+    return chain.add(name, f"SELECT sum(ll) AS loglik FROM {densities} SEMI JOIN {cols} USING (col_id, l) SEMI JOIN {source}")
 
 
 def add_fit(chain: Chain, tag: str, model: str, cols: str, shared: bool, iterations: int, seed: int) -> tuple[list[str], str, str]:

@@ -61,5 +61,7 @@ def run_together(tasks: Sequence[Callable[[], T]], width: int = 4) -> list[T]:
     Results keep the order of ``tasks``."""
     if len(tasks) <= 1 or width <= 1:
         return [task() for task in tasks]
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=width) as pool:
-        return list(pool.map(lambda task: inheritable_thread_target(task)(), tasks))
+        futures = [pool.submit(inherit(task)) for task in tasks]
+        return [future.result() for future in futures]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import threading
 import time
 from pathlib import Path
 
@@ -69,7 +70,10 @@ def main() -> None:
             verdict = f"{len(rows)} rows"
             if name in oracles:
                 begin = time.time()
+                timer = threading.Timer(60, con.interrupt)
+                timer.start()
                 result = con.execute(oracles[name])
+                timer.cancel()
                 names = [c[0] for c in result.description]
                 found = differences(rows, df.columns, result.fetchall(), names)
                 verdict = found or f"equal, {len(rows)} rows, sql {time.time() - begin:.1f}s"
