@@ -17,21 +17,27 @@ LOG_OFFSET = 1.0
 EDGE_SLACK = 1e-9
 
 
+# A lambda runs once per element, and so would anything the optimizer folds into it. Values
+# that belong to the whole series are therefore passed as a repeated second array.
+
+
+def with_each(array: Column | str, value: Column, combine) -> Column:
+    """Combine every element of ``array`` with one value that is computed once."""
+    return F.zip_with(array, F.array_repeat(value, F.size(array)), combine)
+
+
 def z_normalize(df: DataFrame, series: str, out: str, threshold: float = FLAT_SERIES_SD) -> DataFrame:
     """(x - mean) / sample sd per series; zeros when the sd does not exceed ``threshold``."""
     zero = F.lit(0.0)
     size = F.size(series)
     mean = F.aggregate(series, zero, lambda a, x: a + x) / size
-    centred = df.withColumn("_mean", mean).withColumn(
-        "_centred", F.transform(series, lambda x: x - F.col("_mean"))
-    )
+    centred = df.withColumn("_centred", with_each(series, mean, lambda x, m: x - m))
     squares = F.aggregate("_centred", zero, lambda a, x: a + x * x)
     spread = F.when(size > 1, F.sqrt(squares / (size - 1))).otherwise(zero)
-    with_sd = centred.withColumn("_sd", spread)
-    scaled = F.when(
-        F.col("_sd") > threshold, F.transform("_centred", lambda x: x / F.col("_sd"))
-    ).otherwise(F.transform("_centred", lambda x: zero))
-    return with_sd.withColumn(out, scaled).drop("_mean", "_centred", "_sd")
+    scaled = with_each(
+        "_centred", spread, lambda x, sd: F.when(sd > threshold, x / sd).otherwise(zero)
+    )
+    return centred.withColumn(out, scaled).drop("_centred")
 
 
 def dft(df: DataFrame, series: str, out: str) -> DataFrame:
@@ -41,18 +47,16 @@ def dft(df: DataFrame, series: str, out: str) -> DataFrame:
 
 
 def dft_frequencies(df: DataFrame, series: str, step: str, out: str) -> DataFrame:
-    size = F.size(series)
-    bins = F.sequence(F.lit(0), F.floor(size / 2).cast("int"))
-    return df.withColumn(out, F.transform(bins, lambda k: k / (size * F.col(step))))
+    """Frequency k / (n · step) of each bin."""
+    bins = F.sequence(F.lit(0), F.floor(F.size(series) / 2).cast("int"))
+    return df.withColumn(out, with_each(bins, F.size(series) * F.col(step), lambda k, d: k / d))
 
 
 def periodogram(df: DataFrame, transformed: str, series: str, out: str) -> DataFrame:
     """Power (re² + im²) / n per bin, n being the length of the series."""
-    power = F.zip_with(
-        F.col(transformed)["re"], F.col(transformed)["im"],
-        lambda re, im: (re * re + im * im) / F.size(series),
-    )
-    return df.withColumn(out, power)
+    re, im = F.col(transformed)["re"], F.col(transformed)["im"]
+    squares = F.zip_with(re, im, lambda a, b: a * a + b * b)
+    return df.withColumn(out, with_each(squares, F.size(series), lambda s, n: s / n))
 
 
 def mean_frequency_step(df: DataFrame, freq: str) -> DataFrame:

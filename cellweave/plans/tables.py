@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators.shape import apply_dictionary, id_dictionary
+from cellweave.runtime import checkpoint
 from cellweave.sources.series import cells_ingest, series_build
 
 EVENT_DAYS = 30
@@ -20,8 +21,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def dictionary(df: DataFrame, name: str, out: str) -> tuple[DataFrame, int]:
+    """Stored once, as every pass over the coded table reads it again."""
     n_names = df.select(F.count_distinct(name)).first()[0]
-    return id_dictionary(df, name, out, n_names), n_names
+    return checkpoint(id_dictionary(df, name, out, n_names)), n_names
 
 
 def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

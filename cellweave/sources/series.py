@@ -39,7 +39,7 @@ def fill_missing_cells(cells: DataFrame, n_cols: int, n_buckets: int) -> DataFra
     """Add an all-zero series for every (row, column 0..n_cols-1) that has no record."""
     grid = (
         cells.select("row_id").distinct()
-        .withColumn("col_id", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).cast("bigint"))
+        .withColumn("col_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))))
     )
     buckets = F.sequence(F.lit(1), F.lit(n_buckets))
     times = F.transform(buckets, lambda b: b.cast("double"))
