@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.draws import uniform
 from cellweave.operators.ranks import dense_index, uniform_rank
 from cellweave.operators.shape import with_blocks
-from cellweave.runtime import broadcast_if_small, one_record
+from cellweave.runtime import broadcast_if_small
 
 
 def balanced_col_partition(columns: DataFrame, n_groups: int, seed: int, n_cols: int) -> DataFrame:
@@ -65,17 +65,15 @@ def adjusted_rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:
     table = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )
+    margins = table.cube("a", "b").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    chosen = F.col("n") * (F.col("n") - 1) / 2
 
-    def chosen_pairs(df: DataFrame, out: str) -> DataFrame:
-        return df.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(out), F.sum("n").alias("n"))
+    def at_level(level: int, value: Column, out: str) -> Column:
+        return F.sum(F.when(F.col("level") == level, value)).alias(out)
 
-    def margin(column: str) -> DataFrame:
-        return table.groupBy(column).agg(F.sum("n").alias("n"))
-
-    counts = one_record(
-        chosen_pairs(table, "both"),
-        chosen_pairs(margin("a"), "in_a").drop("n"),
-        chosen_pairs(margin("b"), "in_b").drop("n"),
+    counts = margins.agg(
+        at_level(0, chosen, "both"), at_level(1, chosen, "in_a"), at_level(2, chosen, "in_b"),
+        at_level(3, F.col("n"), "n"),
     )
     expected = F.try_divide(
         F.col("in_a") * F.col("in_b"), F.col("n") * (F.col("n") - 1) / 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.draws import uniform
 from cellweave.operators.ranks import dense_index
-from cellweave.runtime import broadcast_if_small
+from cellweave.runtime import broadcast_if_small, counted_broadcast
 
 # A pack covers this many consecutive ids, so its size never depends on the matrix.
 PACK_WIDTH = 1024
@@ -43,7 +43,7 @@ def attach_row_partition(cells: DataFrame, row_part: DataFrame) -> DataFrame:
 
 def with_blocks(cells: DataFrame, row_part: DataFrame, col_part: DataFrame) -> DataFrame:
     """Cells with the block (l, k) they belong to."""
-    return cells.join(col_part, "col_id").join(row_part, ["row_id", "l"])
+    return cells.join(counted_broadcast(col_part), "col_id").join(row_part, ["row_id", "l"])
 
 
 def block_filter(cells: DataFrame, row_part: DataFrame, col_part: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def block_filter(cells: DataFrame, row_part: DataFrame, col_part: DataFrame) ->
 def column_slice(cells: DataFrame, col_part: DataFrame, l: int) -> DataFrame:
     """Cells of the columns of one column cluster."""
     wanted = col_part.filter(F.col("l") == l).select("col_id")
-    return cells.join(wanted, "col_id", "left_semi")
+    return cells.join(counted_broadcast(wanted), "col_id", "left_semi")
 
 
 def id_dictionary(names: DataFrame, name: str, out: str, n_names: int) -> DataFrame:

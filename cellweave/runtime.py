@@ -30,6 +30,13 @@ def broadcast_if_small(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def counted_broadcast(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """Count a table of labels or names, then broadcast it when that is small enough. A few
+    labels mean hot join keys, which a broadcast leaves where they are; a table too large to
+    broadcast has so many keys that none of them is hot."""
+    return broadcast_if_small(df, df.count(), row_bytes)
+
+
 def one_record(*frames: DataFrame) -> DataFrame:
     """Tables of one record each, side by side in one record."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

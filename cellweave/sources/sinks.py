@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.ranks import dense_index
+from cellweave.runtime import counted_broadcast
 
 SEPARATOR = ":"
 
@@ -36,10 +37,9 @@ def labelled_cells(
     """Cells under their original names with their clusters; the row cluster is the one of
     the row inside the column's cluster. ``vectors`` become joined strings."""
     labelled = (
-        cells.join(col_part, "col_id")
+        cells.join(counted_broadcast(col_part.join(col_names, "col_id"), 128), "col_id")
         .join(row_part, ["row_id", "l"])
         .join(row_names.select("row_id", "row_name"), "row_id")
-        .join(col_names.select("col_id", "col_name"), "col_id")
     )
     return labelled.select(
         "row_name", "col_name",

@@ -32,17 +32,28 @@ def normal(rows, names) -> list[tuple]:
             return "nan" if math.isnan(v) else v + 0.0
         return v
 
-    return sorted((tuple(value(r[i]) for i in order) for r in rows), key=repr)
+    def place(row):
+        return repr([round(v, 4) if isinstance(v, float) else v for v in row])
 
+    return sorted((tuple(value(r[i]) for i in order) for r in rows), key=lambda r: (place(r), repr(r)))
 
-def differences(spark_rows, spark_names, sql_rows, sql_names) -> str | None:
-    """None when both hold the same rows under the same column names."""
+
+def same(x: tuple, y: tuple, slack: float) -> bool:
+    return all(
+        a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) <= slack)
+        for a, b in zip(x, y)
+    )
+
+
+def differences(spark_rows, spark_names, sql_rows, sql_names, slack: float = 0.0) -> str | None:
+    """None when both hold the same rows under the same column names. Values are rounded to
+    six places on both sides; ``slack`` admits a value that lies halfway between two."""
     if sorted(spark_names) != sorted(sql_names):
         return f"columns {sorted(spark_names)} and {sorted(sql_names)}"
     a, b = normal(spark_rows, spark_names), normal(sql_rows, sql_names)
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
-    odd = [(x, y) for x, y in zip(a, b) if x != y]
+    odd = [(x, y) for x, y in zip(a, b) if not same(x, y, slack)]
     return f"{len(odd)} of {len(a)} rows differ, e.g. {odd[0]}" if odd else None
 
 
