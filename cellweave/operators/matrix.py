@@ -75,30 +75,40 @@ class CellMatrix:
 
     @staticmethod
     def prepare(cells: DataFrame, pack_bytes: int = PACK_BYTES) -> CellMatrix:
-        narrow = cells.select("row_id", "col_id", "feat")
-        first = narrow.select(F.size("feat").alias("dim")).first()
-        if first is None:
-            raise ValueError("the matrix has no cells")
-        widths = narrow.groupBy("row_id").agg(F.count(F.lit(1)).alias("width"))
+        """Check and keep the matrix. The source is read once and held only until the
+        kept form is filled."""
+        source = cells.select("row_id", "col_id", "feat").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return CellMatrix.kept(source, pack_bytes)
+        finally:
+            source.unpersist()
+
+    @staticmethod
+    def kept(source: DataFrame, pack_bytes: int) -> CellMatrix:
+        widths = source.groupBy("row_id").agg(
+            F.count(F.lit(1)).alias("width"), F.max(F.size("feat")).alias("dim")
+        )
         seen = widths.agg(
             F.count(F.lit(1)).alias("n_rows"), F.min("width").alias("least"),
-            F.max("width").alias("most"),
+            F.max("width").alias("most"), F.max("dim").alias("dim"),
         ).first()
+        if not seen.n_rows:
+            raise ValueError("the matrix has no cells")
         if seen.least != seen.most:
             raise IncompleteMatrixError("rows have different numbers of cells")
-        n_bytes = seen.n_rows * seen.most * (8 * first.dim + 32)
-        parts = partitions_for(cells.sparkSession, n_bytes)
-        if seen.most * first.dim * 8 <= pack_bytes:
-            return CellMatrix.packed(narrow, seen.n_rows, seen.most, first.dim, parts)
-        columns = narrow.select("col_id").distinct().count()
+        n_bytes = seen.n_rows * seen.most * (8 * seen.dim + 32)
+        parts = partitions_for(source.sparkSession, n_bytes)
+        if seen.most * seen.dim * 8 <= pack_bytes:
+            return CellMatrix.packed(source, seen.n_rows, seen.most, seen.dim, parts)
+        columns = source.select("col_id").distinct().count()
         layout = "row_id" if seen.n_rows >= columns else "col_id"
-        kept = narrow.repartition(parts, layout).persist(StorageLevel.MEMORY_AND_DISK)
-        kept.count()
-        shape = matrix_shape(kept).first()
+        long = source.repartition(parts, layout).persist(StorageLevel.MEMORY_AND_DISK)
+        long.count()
+        shape = matrix_shape(long).first()
         if not shape.complete:
-            kept.unpersist()
+            long.unpersist()
             raise IncompleteMatrixError("every row must hold every column exactly once")
-        return CellMatrix(kept, shape.n_rows, shape.n_cols, first.dim, layout)
+        return CellMatrix(long, shape.n_rows, shape.n_cols, seen.dim, layout)
 
     @staticmethod
     def packed(narrow: DataFrame, n_rows: int, width: int, dim: int, parts: int) -> CellMatrix:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,10 @@ def column_scale(
 
 def spectral_features(table: DataFrame) -> DataFrame:
     """Series table ``(decorators, time_from, time_to, time_step, series)`` to feature cells
-    ``(row_id, col_id, feat)``: normalise, transform, power, common grid, log, standardise."""
+    ``(row_id, col_id, feat)``: normalise, transform, power, common grid, log, standardise.
+
+    The log powers, a few numbers per cell, are kept: the scale is taken from them before
+    they are scaled, and the series need not be built again for either."""
     with_freq = dft_frequencies(table, "series", "time_step", "freq")
     grid = grid_values(with_freq, "freq")
     powered = with_freq.withColumn("power", normalised_power(FLAT_SERIES_SD)(F.col("series")))
@@ -149,5 +153,5 @@ def spectral_features(table: DataFrame) -> DataFrame:
         F.element_at("decorators", "row_id").cast("bigint").alias("row_id"),
         F.element_at("decorators", "col_id").cast("bigint").alias("col_id"),
         "logged",
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     return column_scale(logged, "logged", "feat", len(grid)).select("row_id", "col_id", "feat")
