@@ -6,7 +6,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.kernels import pack_moments
@@ -118,7 +118,7 @@ class CellMatrix:
             raise IncompleteMatrixError("rows hold different columns")
         col_ids = np.sort(np.array(ids, dtype=np.int64))
         entries = F.sort_array(F.collect_list(F.struct("col_id", "feat")))
-        expected = F.array(*[F.lit(int(c)) for c in col_ids])
+        expected = number_array(col_ids, "bigint")
         complete = F.transform("entries", lambda e: e["col_id"]) == expected
         feats = F.flatten(F.transform("entries", lambda e: e["feat"]))
         packs = (
@@ -213,19 +213,23 @@ class CellMatrix:
 
 def pack_view(packs: DataFrame, col_ids: np.ndarray, positions: np.ndarray, dim: int) -> DataFrame:
     """The chosen columns of whole rows in long form."""
-    places = F.array(*[
-        F.struct(F.lit(int(col_ids[j])).cast("bigint").alias("col_id"),
-                 F.lit(int(j) * dim + 1).alias("start"))
-        for j in positions
-    ])
-    entries = F.transform(
-        places,
-        lambda p: F.struct(p["col_id"].alias("col_id"),
-                           F.slice("feats", p["start"], F.lit(dim)).alias("feat")),
+    entries = F.zip_with(
+        number_array(col_ids[positions], "bigint"),
+        number_array(positions * dim + 1, "int"),
+        lambda col_id, start: F.struct(
+            col_id.alias("col_id"), F.slice("feats", start, F.lit(dim)).alias("feat")
+        ),
     )
     return packs.select("row_id", F.inline(entries))
 
 
+def number_array(values: np.ndarray, kind: str) -> Column:
+    """A constant array. Written as one text that Spark folds into one literal, which keeps
+    the plan small for thousands of columns."""
+    text = ",".join(str(int(v)) for v in values)
+    return F.split(F.lit(text), ",").cast(f"array<{kind}>")
+
+
 def wide_row_part(row_part: DataFrame, n_groups: int) -> DataFrame:
     """``(row_id, l, k)`` as one label array per row, ordered by l."""
     labels = [F.max(F.when(F.col("l") == l, F.col("k"))) for l in range(n_groups)]

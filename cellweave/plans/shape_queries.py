@@ -172,7 +172,7 @@ def supplier_labels(chain: Chain) -> Chain:
     "string_agg(x::VARCHAR, ':' ORDER BY t) AS x FROM sb JOIN cp USING (col_id) JOIN rp USING (row_id, l) "
     "JOIN sb_names USING (col_id) GROUP BY ALL"))
 def labelled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = tables.supplier_brand_raw(spark, sf_dir).select("row_id", "col_id", "x")
+    raw = tables.supplier_brand_raw(spark, sf_dir).select("row_id", "col_id", "x").persist()
     found = matrix_shape(raw).first()
     rows, cols = raw.select("row_id").distinct(), raw.select("col_id").distinct()
     row_part = partitions.balanced_row_partition(rows, (2, 2, 3), 4, found.n_rows)
