@@ -179,7 +179,7 @@ def test_kmeans_rejects_unknown_starts_and_small_clusters(matrix):
     items = Items.of_rows(matrix)
     with pytest.raises(ValueError):
         kmeans.kmeans_fit(items, 2, init="nothing")
-    assert kmeans.kmeans_fit(items, 18, iterations=1, max_tries=1).status == "failed"
+    assert kmeans.kmeans_fit(items, 3, init="random", iterations=1, max_tries=1).status == "failed"
 
 
 def test_fits_and_ml_agree_on_the_components(matrix):
