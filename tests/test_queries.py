@@ -6,6 +6,8 @@ import __spark_entry__ as contract
 from check import database, differences
 from conftest import SF_DIR
 
+from cellweave.plans import registry
+
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 # Statistical and structural operators; the longer fits are compared in check.py.
 COMPARED = [
@@ -37,7 +39,8 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert len(QUERIES) == 96
+    assert len(registry.queries()) == 96
+    assert set(registry.queries()) <= set(QUERIES)
 
 
 def test_entry(spark):
