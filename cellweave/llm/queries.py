@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import simhash
+from cellweave.llm import simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,38 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of 50 words or more that have occurred before, in all documents."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
+  FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+        FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+), windows AS (
+  SELECT doc_id, pos, md5(string_agg(word, ' ') OVER run) AS h, count(*) OVER run AS n FROM words
+  WINDOW run AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), ranked AS (
+  SELECT doc_id, pos, row_number() OVER same AS rn, first_value(doc_id) OVER same AS source_id
+  FROM windows WHERE n = 50 WINDOW same AS (PARTITION BY h ORDER BY doc_id, pos)
+), marked AS (
+  SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS new
+  FROM ranked WHERE rn > 1
+), grouped AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stretch FROM marked
+)
+SELECT doc_id, CAST(min(pos) AS INTEGER) AS begin, CAST(max(pos) + 50 AS INTEGER) AS "end",
+       min(source_id) AS source_id
+FROM grouped GROUP BY doc_id, stretch
+"""
+
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
+    "op8_suffixes": op8_suffixes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_suffixes": OP8_SQL,
+}
