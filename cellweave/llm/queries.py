@@ -28,7 +28,7 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH words AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
-  FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
         FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 ), windows AS (
   SELECT doc_id, pos, md5(string_agg(word, ' ') OVER run) AS h, count(*) OVER run AS n FROM words
