@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellweave.llm import simhash, suffixes
+from cellweave.llm import language, simhash, suffixes
+from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    """Learned from the documents that are not held out."""
+    seen = docs.where(id_remainder("doc_id", 4) != 2)
+    return language.fit_language_model(seen, F.col("text"), F.col("lang"), F.col("doc_id"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those whose id's crc32 mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    return language.label_languages(docs, language_model(docs)).select(
+        "doc_id",
+        (id_remainder("doc_id", 4) == 2).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("spans").alias("n_spans"),
+    )
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 50 words or more that have occurred before, in all documents."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
@@ -49,6 +69,7 @@ FROM grouped GROUP BY doc_id, stretch
 
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
+    "op4_language": op4_language,
     "op8_suffixes": op8_suffixes,
 }
 
