@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import language, simhash, suffixes
+from cellweave.llm import language, simhash, suffixes, toxicity
 from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,19 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels whose id's crc32 mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(id_remainder("doc_id", 5) != 0)
+    model = toxicity.fit_toxicity_model(
+        docs.select(F.col("doc_id").alias("id"), "text"),
+        labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")),
+    )
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 50 words or more that have occurred before, in all documents."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
@@ -70,6 +83,7 @@ FROM grouped GROUP BY doc_id, stretch
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op4_language": op4_language,
+    "op5_toxicity": op5_toxicity,
     "op8_suffixes": op8_suffixes,
 }
 
