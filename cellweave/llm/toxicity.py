@@ -103,7 +103,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 def fit_toxicity_model(
     docs: DataFrame,
     labels: DataFrame,
-    fit_rows: int = 10_000,
+    fit_rows: int = 20_000,
     n_grams: int = 4096,
     min_texts: int = 5,
     smoothing: float = 1.0,
