@@ -192,10 +192,12 @@ def repeated_passages(
     )
     suffixes = stored(suffix_table(docs, lengths), "suffixes")
     windows = stored(extended(docs, repeated_suffixes(suffixes), lengths), "windows")
-    firsts = (
+    # Stored, so that the join below is one of two plain tables, whose hot keys Spark splits.
+    firsts = stored(
         windows.groupBy("hash")
         .agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        .where("n > 1"),
+        "first-windows",
     )
     again = windows.join(firsts, "hash").where("struct(id, at) != first")
     per_doc = again.groupBy("id").agg(
