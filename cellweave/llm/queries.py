@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import language, simhash, suffixes, toxicity
+from cellweave.llm import language, merkle, simhash, suffixes, toxicity
 from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,75 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents and of their edited texts."""
+    return merkle.fingerprint_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("tree.root").alias("fingerprint"),
+        F.col("edited_tree.root").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        F.col("changed.section").alias("changed_section"),
+        F.col("changed.paragraph").alias("changed_paragraph"),
+    )
+
+
+def root_sql(text: str) -> str:
+    paragraphs = "list_transform(string_split(s, chr(10)), lambda p: sha256(p))"
+    sections = f"string_split({text}, chr(10) || chr(10))"
+    return (
+        f"sha256(array_to_string(list_transform({sections}, "
+        f"lambda s: sha256(array_to_string({paragraphs}, ''))), ''))"
+    )
+
+
+def phrases_sql(text: str) -> str:
+    found = rf"regexp_extract_all({text}, '[^.,;:!?|\n]*[.,;:!?|]?')"
+    return f"list_distinct(list_filter(list_transform({found}, lambda x: trim(x)), lambda x: x <> ''))"
+
+
+def likeness_sql(left: str, right: str) -> str:
+    common = f"len(list_intersect({left}_phrases, {right}_phrases))"
+    return (
+        f"CASE WHEN {left}_root = {right}_root THEN 1.0 ELSE "
+        f"2.0 * {common} / (2 + len({left}_phrases) + len({right}_phrases)) END"
+    )
+
+
+OP6_SQL = f"""
+WITH numbered AS (
+  SELECT doc_id, coalesce(text, '') AS body, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total
+  FROM documents
+), pairs AS (
+  SELECT a.doc_id, a.body, b.body AS follower,
+         left(a.body, length(a.body) - length(a.body) // 2) || left(b.body, length(a.body) // 2) AS edited
+  FROM numbered a JOIN numbered b ON b.n = a.n % a.total + 1
+), trees AS (
+  SELECT *, {root_sql("body")} AS body_root, {root_sql("edited")} AS edited_root,
+         {root_sql("follower")} AS follower_root, {phrases_sql("body")} AS body_phrases,
+         {phrases_sql("edited")} AS edited_phrases, {phrases_sql("follower")} AS follower_phrases
+  FROM pairs
+), located AS (
+  SELECT *, string_split(body, chr(10) || chr(10)) AS a, string_split(edited, chr(10) || chr(10)) AS b FROM trees
+), sections AS (
+  SELECT *, list_position(list_transform(range(1, greatest(len(a), len(b)) + 1),
+         lambda i: a[i] IS DISTINCT FROM b[i]), true) AS section FROM located
+), paragraphs AS (
+  SELECT *, string_split(a[section], chr(10)) AS c, string_split(b[section], chr(10)) AS d FROM sections
+)
+SELECT doc_id, length(body) AS n_chars, sha256(edited) AS edited_sha256, body_root AS fingerprint,
+       edited_root AS edited_fingerprint,
+       CAST({likeness_sql("body", "edited")} AS DOUBLE) AS near_edited,
+       CAST({likeness_sql("body", "follower")} AS DOUBLE) AS near_next,
+       CAST(section - 1 AS INTEGER) AS changed_section,
+       CAST(list_position(list_transform(range(1, greatest(coalesce(len(c), 0), coalesce(len(d), 0)) + 1),
+            lambda i: c[i] IS DISTINCT FROM d[i]), true) - 1 AS INTEGER) AS changed_paragraph
+FROM paragraphs
+"""
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 50 words or more that have occurred before, in all documents."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
@@ -84,9 +153,11 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
+    "op6_merkle": op6_merkle,
     "op8_suffixes": op8_suffixes,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_merkle": OP6_SQL,
     "op8_suffixes": OP8_SQL,
 }
