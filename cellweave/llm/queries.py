@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import language, merkle, simhash, suffixes, toxicity
+from cellweave.llm import decontaminate, language, merkle, mixing, simhash, suffixes, toxicity
 from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,11 +17,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source as flat as two readings of the rarest source allow."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixture(docs, max_repetition=2.0, block_tokens=200_000, seed=42)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) + 1 AS BIGINT) AS tokens
+  FROM documents
+), totals AS (
+  SELECT source, CAST(sum(tokens) AS BIGINT) AS n FROM docs GROUP BY source
+), bisection AS (
+  SELECT 0 AS low, 1000000 AS high, (SELECT list(n ORDER BY source) FROM totals) AS ns
+  UNION ALL
+  SELECT CASE WHEN meets THEN low ELSE middle + 1 END, CASE WHEN meets THEN middle ELSE high END, ns
+  FROM (
+    SELECT *, list_max(list_transform(range(1, len(ns) + 1), lambda i: ns[i] / r[i]))
+              * list_max(list_transform(range(1, len(ns) + 1), lambda i: r[i] / ns[i])) <= 2.0 AS meets
+    FROM (
+      SELECT *, (low + high) // 2 AS middle,
+             list_transform(ns, lambda n: pow(n / list_sum(ns), ((low + high) // 2) / 1000000.0)) AS r
+      FROM bisection WHERE low < high
+    )
+  )
+), exponent AS (
+  SELECT max(low) / 1000000.0 AS a FROM bisection WHERE low = high
+), weights AS (
+  SELECT source, n, r / sum(r) OVER () AS w
+  FROM (SELECT source, n, pow(n / (SELECT sum(n) FROM totals), (SELECT a FROM exponent)) AS r FROM totals)
+), budgets AS (
+  SELECT *, CAST(floor(size * w + 0.5) AS BIGINT) AS budget,
+         greatest(1, CAST(ceil(size / 200000) AS BIGINT)) AS blocks
+  FROM (SELECT *, max(n / w) OVER () AS size FROM weights)
+), epochs AS (
+  SELECT d.doc_id, d.source, d.tokens, b.n, b.budget, b.blocks,
+         unnest(range(CAST(ceil(b.budget / b.n) AS BIGINT))) AS epoch
+  FROM docs d JOIN budgets b ON d.source IS NOT DISTINCT FROM b.source
+), drawn AS (
+  SELECT *, ('0x' || substr(md5('42|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT / pow(2, 52) AS u,
+         ('0x' || substr(md5('42|block|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT / pow(2, 52) AS v
+  FROM epochs
+), placed AS (
+  SELECT *, epoch * n + coalesce(sum(tokens) OVER (
+    PARTITION BY source, epoch ORDER BY u, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM drawn
+), blocked AS (
+  SELECT *, CAST(floor(place / (budget / blocks)) AS INTEGER) AS block FROM placed WHERE place < budget
+)
+SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, block,
+       CAST(row_number() OVER (PARTITION BY block ORDER BY v, doc_id, tokens, epoch) - 1 AS INTEGER) AS position
+FROM blocked
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, links at 2 or fewer bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents, with up to 8 edits for every 100 characters."""
+    benchmark = decontaminate.Benchmark.of(table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), benchmark)
+
+
 def language_model(docs: DataFrame) -> language.LanguageModel:
     """Learned from the documents that are not held out."""
     seen = docs.where(id_remainder("doc_id", 4) != 2)
@@ -150,7 +211,9 @@ FROM grouped GROUP BY doc_id, stretch
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_decontamination": op3_decontamination,
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_merkle": op6_merkle,
@@ -158,6 +221,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
     "op6_merkle": OP6_SQL,
     "op8_suffixes": OP8_SQL,
 }
