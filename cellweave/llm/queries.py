@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import decontaminate, language, merkle, mixing, simhash, suffixes, toxicity
+from cellweave.llm import decontaminate, language, merkle, mixing, simhash, suffixes, tokens, toxicity
 from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,6 +188,14 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of all documents, by the line that holds a token's first byte."""
+    counted = tokens.token_counts(table(spark, sf_dir, "documents"), rule="begin")
+    return counted.select(
+        "doc_id", "section", "begin", "end", F.col("n_tokens").cast("bigint").alias("n_tokens"), "n_crossing"
+    )
+
+
 OP8_SQL = r"""
 WITH words AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
@@ -218,6 +226,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_merkle": op6_merkle,
     "op8_suffixes": op8_suffixes,
+    "op9_tokens": op9_tokens,
 }
 
 ORACLES: dict[str, str] = {
