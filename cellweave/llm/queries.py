@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import decontaminate, language, merkle, mixing, simhash, suffixes, tokens, toxicity
+from cellweave.llm import chat, decontaminate, language, merkle, mixing, simhash, suffixes, tokens, toxicity
 from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +196,11 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with repaired roles, rendered turn by turn."""
+    return chat.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 OP8_SQL = r"""
 WITH words AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
@@ -227,6 +232,7 @@ QUERIES: dict[str, Query] = {
     "op6_merkle": op6_merkle,
     "op8_suffixes": op8_suffixes,
     "op9_tokens": op9_tokens,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
