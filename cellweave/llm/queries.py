@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, decontaminate, language, merkle, mixing, simhash, suffixes, tokens, toxicity
+from cellweave.llm import chat, decontaminate, html_text, language, merkle, mixing, simhash, suffixes, tokens, toxicity
 from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,11 @@ FROM paragraphs
 """
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages, laid out."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of 50 words or more that have occurred before, in all documents."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
@@ -230,6 +235,7 @@ QUERIES: dict[str, Query] = {
     "op4_language": op4_language,
     "op5_toxicity": op5_toxicity,
     "op6_merkle": op6_merkle,
+    "op7_html": op7_html,
     "op8_suffixes": op8_suffixes,
     "op9_tokens": op9_tokens,
     "op10_chat": op10_chat,
