@@ -8,6 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,6 +164,53 @@ def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: fl
     return labels
 
 
+def labelled(model: LanguageModel, texts: list[str | None], penalty: float) -> tuple[np.ndarray, ...]:
+    """For each text the number of its language and its score, and the spans: how many each text
+    has, and of all of them begin, end and language."""
+    kinds = len(model.languages)
+    n = len(texts)
+    words = words_in(texts if kinds else [None] * n)
+    scores = model.word_scores(words)
+    size = np.bincount(words.owner, minlength=n)
+    labels = viterbi(scores, np.cumsum(size) - size, size, penalty)
+    cell = words.owner * max(kinds, 1) + labels
+    letters = np.bincount(cell, words.letters, n * max(kinds, 1)).reshape(n, -1)
+    total = letters.sum(axis=1)
+    chosen = letters.argmax(axis=1)
+    mine = labels == chosen[words.owner]
+    sums = np.stack(
+        [np.bincount(words.owner[mine], scores[mine, k], n) for k in range(kinds)], axis=1
+    ) if kinds else np.zeros((n, 1))
+    ahead = sums - sums[np.arange(n), chosen][:, None]
+    likely = 1 / np.exp(np.clip(ahead, -700, 50)).sum(axis=1)
+    share = letters.max(axis=1) / np.maximum(total, 1)
+    new = np.flatnonzero((np.diff(words.owner, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
+    last = np.append(new[1:], len(labels))[: len(new)] - 1
+    offset = words.text_at[words.owner[new]]
+    return (
+        np.where(total > 0, chosen, kinds),
+        np.where(total > 0, share * likely, 0.0),
+        np.bincount(words.owner[new], minlength=n),
+        words.begin[new] - offset,
+        words.end[last] - offset,
+        labels[new],
+    )
+
+
+def language_of(model: LanguageModel, text: Column, penalty: float = 10.0) -> Column:
+    """``struct<lang_pred, score>`` of a text, by the rules of ``label_languages``."""
+    names = np.array([*model.languages, UNKNOWN], object)
+
+    @F.pandas_udf("struct<lang_pred: string, score: double>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        values = texts.tolist()
+        parts = [labelled(model, values[a:b], penalty)[:2] for a, b in text_groups(values)]
+        chosen, score = map(np.concatenate, zip(*parts, strict=True)) if parts else ([], [])
+        return pd.DataFrame({"lang_pred": names[np.asarray(chosen, int)], "score": score})
+
+    return found(text)
+
+
 def label_languages(
     docs: DataFrame,
     model: LanguageModel,
@@ -179,40 +227,10 @@ def label_languages(
     with score 0 and no spans. Equal counts go to the language first in the alphabet.
     Repeated rows are labelled alike; null ids are kept; other columns are not read."""
     names = pa.array([*model.languages, UNKNOWN])
-    kinds = len(model.languages)
-
-    def part(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        n = len(texts)
-        words = words_in(texts if kinds else [None] * n)
-        scores = model.word_scores(words)
-        size = np.bincount(words.owner, minlength=n)
-        labels = viterbi(scores, np.cumsum(size) - size, size, penalty)
-        cell = words.owner * max(kinds, 1) + labels
-        letters = np.bincount(cell, words.letters, n * max(kinds, 1)).reshape(n, -1)
-        total = letters.sum(axis=1)
-        chosen = letters.argmax(axis=1)
-        mine = labels == chosen[words.owner]
-        sums = np.stack(
-            [np.bincount(words.owner[mine], scores[mine, k], n) for k in range(kinds)], axis=1
-        ) if kinds else np.zeros((n, 1))
-        ahead = sums - sums[np.arange(n), chosen][:, None]
-        likely = 1 / np.exp(np.clip(ahead, -700, 50)).sum(axis=1)
-        share = letters.max(axis=1) / np.maximum(total, 1)
-        new = np.flatnonzero((np.diff(words.owner, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
-        last = np.append(new[1:], len(labels))[: len(new)] - 1
-        offset = words.text_at[words.owner[new]]
-        return (
-            np.where(total > 0, chosen, kinds),
-            np.where(total > 0, share * likely, 0.0),
-            np.bincount(words.owner[new], minlength=n),
-            words.begin[new] - offset,
-            words.end[last] - offset,
-            labels[new],
-        )
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        parts = [part(texts[begin:end]) for begin, end in text_groups(texts)]
+        parts = [labelled(model, texts[begin:end], penalty) for begin, end in text_groups(texts)]
         chosen, score, n_spans, begin, end, lang = map(np.concatenate, zip(*parts, strict=True))
         spans = pa.StructArray.from_arrays(
             [pa.array(begin), pa.array(end), names.take(pa.array(lang.astype(np.int32)))],

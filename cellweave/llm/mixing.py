@@ -178,3 +178,13 @@ def mixture(
         (F.row_number().over(within) - 1).cast("int").alias("position"),
         *carried,
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` as often and in the order that ``mixture`` says, with its ``tokens, epoch,
+    block, position``. The plan is made of ids and sizes; whole rows are moved once."""
+    key = F.xxhash64(*docs.columns)
+    plan = mixture(docs.withColumn("_row", key), id_col, carried=["_row"], **options)
+    rows = docs.withColumn("_row", key).dropDuplicates(["_row"])
+    added = plan.select("_row", "tokens", "epoch", "block", "position")
+    return rows.join(added, "_row").drop("_row")

@@ -117,3 +117,15 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, size: int = 3
+) -> DataFrame:
+    """``docs`` with the row of the least id of every group; of rows that share that id, one. Rows
+    without an id belong to no group and stay."""
+    known = docs.where(F.col(id_col).isNotNull())
+    groups = near_duplicates(known, id_col, text_col, radius, size)
+    least = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    kept = known.join(least, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,7 +244,21 @@ def cut(text: str | None, spans: list | None) -> str | None:
     return b"".join([*kept, data[at:]]).decode().strip()
 
 
-def cut_passages(docs: DataFrame, spans: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``docs`` with ``text`` cut by the stretches of ``spans``."""
-    lists = spans.groupBy(id_col).agg(F.collect_set(F.struct("begin", "end")).alias("_cuts"))
-    return docs.join(lists, id_col, "left").withColumn("text", without(text, "_cuts")).drop("_cuts")
+def cut_passages(
+    docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars"
+) -> DataFrame:
+    """``docs`` with the stretches of ``spans`` cut from their texts; ``size_col``, if there is one,
+    is the length of what is left. Rows that lose words and have none left are dropped; rows
+    without a stretch stay as they are, null ids and empty texts included."""
+    lists = spans.groupBy(F.col(id_col).alias("_id")).agg(
+        F.collect_set(F.struct("begin", "end")).alias("_cuts")
+    )
+    joined = docs.join(lists, docs[id_col] == lists["_id"], "left").withColumn(
+        "_left", without(F.col(text_col), F.col("_cuts"))
+    )
+    kept = joined.where("_cuts is null or length(_left) > 0")
+    columns = {text_col: F.col("_left")}
+    if size_col in docs.columns:
+        size = F.when(F.col("_cuts").isNull(), F.col(size_col)).otherwise(F.char_length("_left"))
+        columns[size_col] = size.cast(docs.schema[size_col].dataType)
+    return kept.withColumns(columns).select(*docs.columns)
