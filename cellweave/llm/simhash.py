@@ -6,7 +6,9 @@ variants are the shuffle keys, and fingerprints that meet on one are verified.""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import by_batch, stored
+from cellweave.llm.common import by_batch, stored, text_groups
 from cellweave.llm.components import components
+from cellweave.llm.wordhash import MIX_1, mixed, run_hashes, words_of
 
 BITS = 64
 SEED = 42
@@ -119,13 +122,123 @@ def near_duplicates(
     )
 
 
-def one_of_each_group(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, size: int = 3
+#: Fingerprints over single words that find candidates, and over shingles that verify them.
+FINDERS, VERIFIERS = 3, 4
+#: Standard deviations that an estimate may be off.
+TOLERANCE = 1.0
+
+
+def simhashes(hashes: np.ndarray, first: np.ndarray, seeds: range) -> np.ndarray:
+    """A fingerprint of each text for each seed. ``hashes`` are those of all texts' features,
+    ``first`` where each text begins among them (one entry more than texts)."""
+    made = np.zeros((len(seeds), len(first) - 1), np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if not len(full):
+        return made
+    counts = np.diff(first)[full][:, None]
+    for row, seed in enumerate(seeds):
+        shifted = hashes + np.uint64(seed * MIX_1 % (1 << BITS))
+        octets = mixed(shifted).astype("<u8").view(np.uint8)
+        bits = np.unpackbits(octets.reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first[:-1][full], axis=0, dtype=np.int32)
+        made[row, full] = np.packbits(2 * ones > counts, axis=1, bitorder="little").view("<u8")[:, 0]
+    return made
+
+
+def many_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """``id, digest`` and the fingerprints ``f0..`` over words and ``v0..`` over shingles of ``size``
+    words of ``docs(id, text)``; a shorter text is one shingle."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lowered = [(text or "").encode().lower() for text in batch.column(1).to_pylist()]
+        parts = []
+        for begin, end in text_groups(lowered):
+            words = words_of(lowered[begin:end])
+            counts = np.diff(words.text_at)
+            shingles = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
+            first = np.concatenate([[0], np.cumsum(shingles)])
+            owner = np.repeat(np.arange(end - begin), shingles)
+            at = np.arange(first[-1]) - first[owner] + words.text_at[owner]
+            stop = np.minimum(at + size, words.text_at[owner + 1])
+            runs = run_hashes(words.sums, words.down, at, stop)
+            single = words.grams(np.arange(len(words.starts)), 1)
+            parts.append(np.concatenate([
+                simhashes(single, words.text_at, range(1, FINDERS + 1)),
+                simhashes(runs, first, range(FINDERS + 1, FINDERS + VERIFIERS + 1)),
+            ]))
+        prints = np.concatenate(parts, axis=1).view(np.int64)
+        digests = pa.array([xxhash.xxh3_128_digest(text) for text in lowered], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), digests, *map(pa.array, prints)], names)
+
+    names = ["id", "digest", *(f"f{i}" for i in range(FINDERS)), *(f"v{i}" for i in range(VERIFIERS))]
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(
+        by_batch(run), f"id {kind}, digest binary, " + ", ".join(f"{name} bigint" for name in names[2:])
+    )
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5
 ) -> DataFrame:
-    """``docs`` with the row of the least id of every group; of rows that share that id, one. Rows
-    without an id belong to no group and stay."""
-    known = docs.where(F.col(id_col).isNotNull())
-    groups = near_duplicates(known, id_col, text_col, radius, size)
+    """``id_col, component_id`` for every row with an id: groups of texts whose shingles of ``size``
+    words have a Jaccard similarity of ``similarity`` or more, by the angle of fingerprints.
+
+    Copies of that similarity differ in far more than two bits over shingles, but in few over
+    single words. So each of three fingerprints over words emits its ball of half of two bits,
+    and what meets is verified by 256 bits over shingles. Equal texts (but for case) are one
+    class first; then texts with the same fingerprint are tied to two of them, before the
+    balls of different fingerprints meet, so no group is ever listed. Null and empty texts are
+    one class; repeated rows get the same group; an empty table gives an empty result."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = stored(many_fingerprints(rows, size), "fingerprints")
+    finders, verifiers = [f"f{i}" for i in range(FINDERS)], [f"v{i}" for i in range(VERIFIERS)]
+    classes = stored(
+        prints.groupBy("digest").agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in finders + verifiers]),
+        "classes",
+    )
+    keyed = classes.select(
+        "rep", F.posexplode(F.array(*finders)).alias("finder", "fp")
+    )
+    same = stored(
+        keyed.groupBy("finder", "fp").agg(F.min("rep").alias("least"), F.max("rep").alias("most")), "same"
+    )
+    ties = keyed.join(same, ["finder", "fp"])
+    bucket = Window.partitionBy("finder", "variant").orderBy("least")
+    balls = same.select("finder", "least", F.explode(ball(F.col("fp"), 1)).alias("variant")).select(
+        F.col("least").alias("a"), F.first("least").over(bucket).alias("b"), F.lag("least").over(bucket).alias("c")
+    )
+    pairs = reduce(
+        DataFrame.unionAll,
+        [
+            ties.select(F.col("rep").alias("a"), F.col("least").alias("b")),
+            ties.select(F.col("rep").alias("a"), F.col("most").alias("b")),
+            balls.select("a", "b"),
+            balls.select("a", F.col("c").alias("b")).where("c is not null"),
+        ],
+    )
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    own = classes.select(F.col("rep").alias("a"), *verifiers)
+    other = classes.select(F.col("rep").alias("b"), *[F.col(v).alias(f"o_{v}") for v in verifiers])
+    apart = sum(
+        (F.bit_count(F.col(v).bitwiseXOR(F.col(f"o_{v}"))) for v in verifiers), F.lit(0)
+    )
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    n_bits = BITS * VERIFIERS
+    limit = int(n_bits * share + TOLERANCE * sqrt(n_bits * share * (1 - share)))
+    links = pairs.distinct().join(own, "a").join(other, "b").where(apart <= limit).select("a", "b")
+    roots = components(links, "a", "b")
+    labels = classes.join(roots, classes["rep"] == roots["node"], "left").select(
+        "digest", F.coalesce("root", "rep").alias("component_id")
+    )
+    return prints.select("id", "digest").join(labels, "digest").select(
+        F.col("id").alias(id_col), "component_id"
+    )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the row of the least id of every group of ``similar_groups``; of rows that share
+    that id, one. Rows without an id belong to no group and stay."""
+    groups = similar_groups(docs, id_col, text_col, **options)
     least = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = known.join(least, id_col, "left_semi").dropDuplicates([id_col])
+    kept = docs.join(least, id_col, "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -63,9 +63,9 @@ class Words:
         return run_hashes(self.sums, self.down, begin, begin + n)
 
 
-def words_of(texts: list[str | None]) -> Words:
+def words_of(texts: list[str | bytes | None]) -> Words:
     """Cut texts into words at ASCII white space and hash them."""
-    encoded = [(text or "").encode() for text in texts]
+    encoded = [text if isinstance(text, bytes) else (text or "").encode() for text in texts]
     data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
     lengths = np.array([len(part) + 1 for part in encoded], np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths)])
