@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.draws import uniform
 from cellweave.operators.ranks import dense_index
-from cellweave.runtime import broadcast_if_small, counted_broadcast
+from cellweave.runtime import broadcast_if_small, checkpoint, counted_broadcast
 
-# A pack covers this many consecutive ids, so its size never depends on the matrix.
+# A pack holds this many vectors at most, so its size never depends on the matrix.
 PACK_WIDTH = 1024
 
 
 def row_pack(cells: DataFrame, width: int = PACK_WIDTH) -> DataFrame:
-    """Vectors of a row in the order of their columns, ``(row_id, pack, col_ids, feats)``.
-    Rows of up to ``width`` columns make one pack, wider ones several."""
+    """Vectors of a row in the order of their columns, ``(row_id, pack, col_ids, feats)``. A
+    matrix of up to ``width`` columns makes one pack of each row, a wider one several."""
     return packed(cells, "row_id", "col_id", "col_ids", width)
 
 
 def col_pack(cells: DataFrame, width: int = PACK_WIDTH) -> DataFrame:
-    """The transpose: vectors of a column in the order of their rows, ``width`` row ids to a
-    pack, ``(col_id, pack, row_ids, feats)``."""
+    """The transpose: vectors of a column in the order of their rows, ``width`` rows to a pack,
+    ``(col_id, pack, row_ids, feats)``."""
     return packed(cells, "col_id", "row_id", "row_ids", width)
 
 
 def packed(cells: DataFrame, by: str, along: str, ids: str, width: int) -> DataFrame:
-    grouped = cells.groupBy(by, F.floor(F.col(along) / width).cast("bigint").alias("pack")).agg(
+    """Packs are cut by the position of an id among all ids, not by its value."""
+    names = checkpoint(cells.select(along).distinct())
+    n_names = names.count()
+    places = dense_index(names, [along], "place", n_names)
+    pack = F.floor(F.col("place") / width).cast("bigint").alias("pack")
+    grouped = cells.join(broadcast_if_small(places, n_names, 24), along).groupBy(by, pack).agg(
         F.sort_array(F.collect_list(F.struct(along, "feat"))).alias("entries")
     )
     return grouped.select(
@@ -68,9 +73,10 @@ def id_dictionary(names: DataFrame, name: str, out: str, n_names: int) -> DataFr
 
 
 def apply_dictionary(df: DataFrame, dictionary: DataFrame, name: str, n_names: int) -> DataFrame:
-    """Add the id of each name; rows of one hot name stay where they are as long as the
-    dictionary fits a broadcast."""
-    return df.join(broadcast_if_small(dictionary, n_names, 64), name)
+    """Add the id of each name, the missing name included; rows of one hot name stay where they
+    are as long as the dictionary fits a broadcast."""
+    names = broadcast_if_small(dictionary.withColumnRenamed(name, "_name"), n_names, 64)
+    return df.join(names, F.col(name).eqNullSafe(F.col("_name"))).drop("_name")
 
 
 def sample_cells(cells: DataFrame, m: int, row_key: Column, seed: int) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.draws import pick_category
 from cellweave.functions.kernels import partial_moments
+from cellweave.runtime import counted_broadcast
 
 # Up to this many features the moments are plain Spark sums; beyond it the products are
 # formed batch by batch in numpy.
@@ -46,18 +49,16 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -
 def weighted_covariance_scalar(
     df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str
 ) -> DataFrame:
-    """Weighted mean of the products about the *unweighted* means. Expanding the product
-    keeps it to one aggregation, without a window over the group."""
-    w, a, b = F.col(weight), F.col(x), F.col(y)
-    sums = df.groupBy(*keys).agg(
-        F.sum(w).alias("sw"), F.sum(w * a).alias("swa"), F.sum(w * b).alias("swb"),
-        F.sum(w * a * b).alias("swab"), F.avg(a).alias("ma"), F.avg(b).alias("mb"),
-    )
-    expanded = (
-        F.col("swab") - F.col("ma") * F.col("swb") - F.col("mb") * F.col("swa")
-        + F.col("ma") * F.col("mb") * F.col("sw")
-    )
-    return sums.select(*keys, (expanded / F.col("sw")).alias("weighted_covariance"))
+    """Weighted mean of the products about the *unweighted* means of the group. The means, one
+    record per group, are joined back, so that the products are centred before they are
+    added up and a large mean costs no digits."""
+    named = [F.col(key).alias(f"_{key}") for key in keys]
+    means = df.groupBy(*named).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys], F.lit(True))
+    centred = df.join(counted_broadcast(means), same)
+    w = F.col(weight)
+    products = w * (F.col(x) - F.col("_mx")) * (F.col(y) - F.col("_my"))
+    return centred.groupBy(*keys).agg((F.sum(products) / F.sum(w)).alias("weighted_covariance"))
 
 
 def covariance_matrix(
@@ -104,7 +105,10 @@ def block_sums(cells: DataFrame, dim: int, shift: np.ndarray | None = None) -> D
     however large a block is."""
     shift = np.zeros(dim) if shift is None else shift
     if dim <= NATIVE_DIM:
-        x = [F.get("feat", F.lit(i)) - F.lit(float(shift[i])) for i in range(dim)]
+        refused = F.raise_error(F.lit(f"a cell has not {dim} features without a null")).cast("double")
+        extra = F.when(F.size("feat") == dim, F.lit(0.0)).otherwise(refused)
+        x = [F.coalesce(F.get("feat", F.lit(i)), refused) - F.lit(float(shift[i])) for i in range(dim)]
+        x[0] = x[0] + extra
         products = [F.sum(x[i] * x[j]) for i in range(dim) for j in range(i, dim)]
         total = F.array(F.count(F.lit(1)).cast("double"), *[F.sum(v) for v in x], *products)
         return cells.groupBy("l", "k").agg(total.alias("sums"))
@@ -136,60 +140,56 @@ def unpack_sums(values: Sequence[float], dim: int) -> tuple[int, np.ndarray, np.
 
 def grouped_covariance(cells: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
     """Covariance ``(l, k, i, j, cov)`` of each block about the centre given for it in
-    ``centres(l, k, mean)``, divided by its cell count less one. The centre enters after
-    the sums, so the cells are not joined to it."""
-    sums = block_sums(cells, dim).join(F.broadcast(centres), ["l", "k"])
+    ``centres(l, k, mean)``, divided by its cell count less one. The centre, one per block, is
+    taken off the cells before the products are formed, so a large mean costs no digits."""
+    gaps = F.zip_with("feat", "mean", lambda x, m: x - m)
+    centred = cells.join(counted_broadcast(centres.select("l", "k", "mean"), 16 + 8 * dim), ["l", "k"])
+    sums = block_sums(centred.select("l", "k", gaps.alias("feat")), dim)
     upper = {pair: n for n, pair in enumerate(zip(*np.triu_indices(dim)))}
-
-    def at(position: int) -> Column:
-        return F.get("sums", F.lit(position))
-
-    def centre(i: int) -> Column:
-        return F.get("mean", F.lit(i))
-
-    cells_out = []
+    entries = []
     for i in range(dim):
         for j in range(dim):
-            product = at(1 + dim + upper[(min(i, j), max(i, j))])
-            centred = (
-                product - centre(i) * at(1 + j) - centre(j) * at(1 + i)
-                + at(0) * centre(i) * centre(j)
-            )
-            cells_out.append(
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"),
-                    (centred / (at(0) - 1)).alias("cov"),
-                )
-            )
-    return sums.select("l", "k", F.inline(F.array(*cells_out)))
+            product = F.get("sums", F.lit(1 + dim + upper[(min(i, j), max(i, j))]))
+            cov = product / (F.get("sums", F.lit(0)) - 1)
+            entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), cov.alias("cov")))
+    return sums.select("l", "k", F.inline(F.array(*entries)))
 
 
 def log_sum_exp_by_key(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """log Σ exp(score) per key by sums alone, so a key of any size is added up in parts.
 
-    Scores are grouped into bands of width ``BAND`` and summed relative to the band's lower
-    edge. The highest band and the one below decide the result: anything lower is smaller
-    than exp(-BAND) of it, which a double cannot show."""
-    band = F.floor(F.col(score) / BAND)
+    Scores are grouped into bands of width ``BAND`` (the two about zero are one) and summed
+    relative to the band's edge. The highest band and the one below decide the result:
+    anything lower is smaller than exp(-BAND) of it, which a double cannot show. Infinite and
+    missing scores have no band: a key with plus infinity gives it, one with nothing but
+    minus infinity gives that, one without any score gives null, and one with NaN gives NaN.
+    The sums, one per key and band, are shuffled by key, where both later steps find them."""
+    value = F.col(score).cast("double")
+    finite = F.abs(value) < F.lit(float("inf"))
+    band = F.when(finite, (value - value % BAND) / BAND)
     sums = df.groupBy(*keys, band.alias("band")).agg(
-        F.sum(F.exp(F.col(score) - band * F.lit(BAND))).alias("total")
+        F.sum(F.exp(value - band * F.lit(BAND))).alias("total"), F.max(value).alias("most")
     )
-    zero = F.lit(0.0)
-    as_own = F.struct("band", F.col("total").alias("own"), zero.alias("below"))
+    zero, nothing = F.lit(0.0), F.lit(None).cast("double")
+    as_own = F.struct("band", F.col("total").alias("own"), zero.alias("below"), "most")
     as_below = F.struct(
-        (F.col("band") + 1).alias("band"), zero.alias("own"), F.col("total").alias("below")
+        (F.col("band") + 1).alias("band"), zero.alias("own"), F.col("total").alias("below"),
+        nothing.alias("most"),
     )
     neighbours = (
-        sums.select(*keys, F.inline(F.array(as_own, as_below)))
+        sums.repartition(*keys)
+        .select(*keys, F.inline(F.array(as_own, as_below)))
         .groupBy(*keys, "band")
-        .agg(F.sum("own").alias("own"), F.sum("below").alias("below"))
-        .filter(F.col("own") > 0)
+        .agg(F.sum("own").alias("own"), F.sum("below").alias("below"), F.max("most").alias("most"))
     )
+    own = F.col("own") > 0
     top = neighbours.groupBy(*keys).agg(
-        F.max_by(F.struct("band", "own", "below"), "band").alias("top")
+        F.max_by(F.struct("band", "own", "below"), F.when(own, F.col("band"))).alias("top"),
+        F.max("most").alias("most"),
     )
     total = F.col("top.own") + F.col("top.below") * F.exp(F.lit(-BAND))
-    return top.select(*keys, (F.col("top.band") * F.lit(BAND) + F.log(total)).alias("lse"))
+    lse = F.when(F.abs("most") < F.lit(float("inf")), F.col("top.band") * F.lit(BAND) + F.log(total))
+    return top.select(*keys, lse.otherwise(F.col("most")).alias("lse"))
 
 
 def categorical_draw(df: DataFrame, keys: Sequence[str], n: int, u: Column) -> DataFrame:

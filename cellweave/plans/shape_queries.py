@@ -28,8 +28,8 @@ SAMPLE = 50
 
 
 @query("cells_ingest", sql.events_chain().select(
-    "SELECT row_id::BIGINT AS row_id, col_id::BIGINT AS col_id, 1.0::DOUBLE AS time_from, 30.0::DOUBLE AS time_to, "
-    f"1.0::DOUBLE AS time_step, (t - 1)::BIGINT AS i, {sql.r6('x')} AS x FROM ev"))
+    "SELECT row_id::BIGINT AS row_id, col_id::BIGINT AS col_id, 1.0::DOUBLE AS time_from, n::DOUBLE AS time_to, "
+    f"1.0::DOUBLE AS time_step, (t - 1)::BIGINT AS i, {sql.r6('x')} AS x FROM ev, ev_n"))
 def cells_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = tables.events_series(spark, sf_dir)
     return table.select(
@@ -71,8 +71,8 @@ def row_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("col_pack", sql.embedding_chain().select(
-    "SELECT col_id::BIGINT AS col_id, (row_id // 128)::BIGINT AS pack, "
-    "(row_number() OVER (PARTITION BY col_id, row_id // 128 ORDER BY row_id) - 1)::BIGINT AS place, row_id::BIGINT AS row_id, "
+    "SELECT col_id::BIGINT AS col_id, ((dense_rank() OVER (ORDER BY row_id) - 1) // 128)::BIGINT AS pack, "
+    "((dense_rank() OVER (ORDER BY row_id) - 1) % 128)::BIGINT AS place, row_id::BIGINT AS row_id, "
     f"{sql.r6('sum(x)')} AS total FROM em GROUP BY row_id, col_id"))
 def col_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = shape.col_pack(tables.embedding_cells(spark, sf_dir), width=128)
@@ -132,8 +132,8 @@ def sample_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("matrix_shape", sql.supplier_chain().select(
-    "SELECT count(DISTINCT row_id)::BIGINT AS n_rows, count(DISTINCT col_id)::BIGINT AS n_cols, (count(*) // 28)::BIGINT AS n_cells, "
-    "(count(*) // 28 = count(DISTINCT row_id) * count(DISTINCT col_id))::BIGINT AS complete FROM sb"))
+    "SELECT count(DISTINCT row_id)::BIGINT AS n_rows, count(DISTINCT col_id)::BIGINT AS n_cols, (count(*) // any_value(n))::BIGINT AS n_cells, "
+    "(count(*) // any_value(n) = count(DISTINCT row_id) * count(DISTINCT col_id))::BIGINT AS complete FROM sb, sb_n"))
 def shape_of_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matrix_shape(tables.supplier_brand_raw(spark, sf_dir))
     return found.select("n_rows", "n_cols", "n_cells", big("complete").alias("complete"))

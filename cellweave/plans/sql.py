@@ -48,10 +48,11 @@ def events_chain() -> Chain:
         Chain()
         .add("ev_names", "SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS col_id "
              "FROM (SELECT DISTINCT event_type FROM events)")
-        .add("ev_sums", "SELECT user_id AS row_id, col_id, day(ts) AS t, sum(value) AS v "
-             "FROM events JOIN ev_names USING (event_type) GROUP BY ALL")
-        .add("ev_grid", "SELECT row_id, col_id, t FROM (SELECT DISTINCT row_id, col_id FROM ev_sums), "
-             "range(1, 31) days(t)")
+        .add("ev_n", "SELECT min(ts)::DATE AS first, max(ts)::DATE - min(ts)::DATE + 1 AS n FROM events")
+        .add("ev_sums", "SELECT user_id AS row_id, col_id, ts::DATE - first + 1 AS t, sum(value) AS v "
+             "FROM events JOIN ev_names USING (event_type), ev_n GROUP BY ALL")
+        .add("ev_grid", "SELECT row_id, col_id, unnest(range(1, n + 1)) AS t FROM "
+             "(SELECT DISTINCT row_id FROM ev_sums), ev_names, ev_n")
         .add("ev", "SELECT g.row_id, g.col_id, g.t, coalesce(s.v, 0.0) AS x "
              "FROM ev_grid g LEFT JOIN ev_sums s USING (row_id, col_id, t)")
     )
@@ -70,11 +71,13 @@ def supplier_chain() -> Chain:
         Chain()
         .add("sb_names", "SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS col_id "
              "FROM (SELECT DISTINCT p_brand FROM part)")
+        .add("sb_n", "SELECT min(q) AS first, max(q) - min(q) + 1 AS n "
+             "FROM (SELECT year(l_shipdate) * 4 + quarter(l_shipdate) AS q FROM lineitem)")
         .add("sb_sums", "SELECT l_suppkey AS row_id, col_id, "
-             "(year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) AS t, sum(l_quantity) AS v "
-             "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN sb_names USING (p_brand) GROUP BY ALL")
-        .add("sb_grid", "SELECT row_id, col_id, t FROM (SELECT DISTINCT row_id, col_id FROM sb_sums), "
-             "range(1, 29) quarters(t)")
+             "year(l_shipdate) * 4 + quarter(l_shipdate) - first + 1 AS t, sum(l_quantity) AS v "
+             "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN sb_names USING (p_brand), sb_n GROUP BY ALL")
+        .add("sb_grid", "SELECT row_id, col_id, unnest(range(1, n + 1)) AS t FROM "
+             "(SELECT DISTINCT row_id FROM sb_sums), sb_names, sb_n")
         .add("sb", "SELECT g.row_id, g.col_id, g.t, coalesce(s.v, 0.0) AS x "
              "FROM sb_grid g LEFT JOIN sb_sums s USING (row_id, col_id, t)")
     )
@@ -94,16 +97,17 @@ def spectral_chain() -> Chain:
     chain.add("st", "SELECT row_id, col_id, avg(x) AS m, stddev_samp(x) AS s FROM ev GROUP BY ALL")
     chain.add("zn", "SELECT row_id, col_id, t - 1 AS i, CASE WHEN s > 0.0001 THEN (x - m) / s ELSE 0.0 END AS z "
               "FROM ev JOIN st USING (row_id, col_id)")
-    chain.add("ft", f"SELECT row_id, col_id, k, sum(z * cos({PI2} * k * i / 30)) AS re, "
-              f"sum(z * sin({PI2} * k * i / 30)) AS im FROM zn, range(0, 16) bins(k) GROUP BY ALL")
-    chain.add("fr", "SELECT row_id, col_id, k, k / (30 * 1.0) AS freq FROM st, range(0, 16) bins(k)")
-    chain.add("pg", "SELECT row_id, col_id, k, (re * re + im * im) / 30 AS power FROM ft")
+    chain.add("ev_bins", "SELECT unnest(range(0, n // 2 + 1)) AS k FROM ev_n")
+    chain.add("ft", f"SELECT row_id, col_id, k, sum(z * cos({PI2} * k * i / n)) AS re, "
+              f"sum(z * sin({PI2} * k * i / n)) AS im FROM zn, ev_n, ev_bins GROUP BY row_id, col_id, k")
+    chain.add("fr", "SELECT row_id, col_id, k, k / (n * 1.0) AS freq FROM st, ev_n, ev_bins")
+    chain.add("pg", "SELECT row_id, col_id, k, (re * re + im * im) / n AS power FROM ft, ev_n")
     chain.add("step", "SELECT avg(freq) AS mean_step FROM fr WHERE k = 1")
     chain.add("grid", "SELECT i, i * mean_step AS frequency FROM step, range(0, 30) r(i), "
               "(SELECT max(freq) AS top, min(freq) AS bottom FROM fr) b "
               "WHERE i * mean_step < top - 1e-9 * mean_step AND i * mean_step > bottom + 1e-9 * mean_step")
     chain.add("spot", "SELECT i, row_number() OVER (ORDER BY i) - 1 AS pos, "
-              "least(floor(frequency * 30)::BIGINT, 14) AS lo, frequency * 30 AS place FROM grid")
+              "least(floor(frequency * n)::BIGINT, n // 2 - 1) AS lo, frequency * n AS place FROM grid, ev_n")
     chain.add("ip", "SELECT a.row_id, a.col_id, pos, a.power * (1 - (place - lo)) + b.power * (place - lo) AS v "
               "FROM spot JOIN pg a ON a.k = lo JOIN pg b ON b.k = lo + 1 AND b.row_id = a.row_id AND b.col_id = a.col_id")
     chain.add("lg", "SELECT row_id, col_id, pos, log10(1 + v) AS v FROM ip")

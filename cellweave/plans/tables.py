@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from cellweave.operators.shape import apply_dictionary, id_dictionary
 from cellweave.runtime import checkpoint
-from cellweave.sources.series import cells_ingest, series_build
+from cellweave.sources.series import bucket_range, cells_ingest, fill_missing_cells, series_build
 
-EVENT_DAYS = 30
-QUARTERS = 28
-FIRST_YEAR = 1995
 SLICES = 8
 SLICE_WIDTH = 8
 
@@ -22,20 +19,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def dictionary(df: DataFrame, name: str, out: str) -> tuple[DataFrame, int]:
     """Stored once, as every pass over the coded table reads it again."""
-    n_names = df.select(F.count_distinct(name)).first()[0]
-    return checkpoint(id_dictionary(df, name, out, n_names)), n_names
+    names = checkpoint(df.select(name).distinct())
+    n_names = names.count()
+    return checkpoint(id_dictionary(names, name, out, n_names)), n_names
 
 
 def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users x event types; a series is the daily sum of ``value`` over one month."""
+    """Users x event types; a series is the daily sum of ``value`` from the first day of the table
+    to the last."""
     events = read(spark, sf_dir, "events")
     names, n_names = dictionary(events, "event_type", "type_id")
     coded = apply_dictionary(events, names, "event_type", n_names)
-    return series_build(coded, "user_id", "type_id", F.dayofmonth("ts"), "value", EVENT_DAYS)
+    day = F.unix_date(F.to_date("ts"))
+    first, days = bucket_range(events, day)
+    built = series_build(coded, "user_id", "type_id", day - first + 1, "value", days)
+    return fill_missing_cells(built, n_names, days)
 
 
 def supplier_brand_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers x brands; a series is the quarterly sum of the quantity."""
+    """Suppliers x brands; a series is the quarterly sum of the quantity from the first quarter
+    of the table to the last."""
     lineitem = read(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"
     )
@@ -43,8 +46,10 @@ def supplier_brand_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, n_names = dictionary(part, "p_brand", "brand_id")
     coded = apply_dictionary(part, names, "p_brand", n_names).select("p_partkey", "brand_id")
     joined = lineitem.join(coded, F.col("l_partkey") == F.col("p_partkey"))
-    quarter = (F.year("l_shipdate") - FIRST_YEAR) * 4 + F.quarter("l_shipdate")
-    return series_build(joined, "l_suppkey", "brand_id", quarter, "l_quantity", QUARTERS)
+    quarter = F.year("l_shipdate") * 4 + F.quarter("l_shipdate")
+    first, quarters = bucket_range(lineitem, quarter)
+    built = series_build(joined, "l_suppkey", "brand_id", quarter - first + 1, "l_quantity", quarters)
+    return fill_missing_cells(built, n_names, quarters)
 
 
 def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +73,9 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two features per cell of the event matrix: mean and sample sd of the series."""
     raw = events_raw(spark, sf_dir)
-    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / EVENT_DAYS
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
     with_mean = raw.withColumn("m", mean)
     squares = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m")))
     return with_mean.select(
-        "row_id", "col_id", F.array("m", F.sqrt(squares / (EVENT_DAYS - 1))).alias("feat")
+        "row_id", "col_id", F.array("m", F.sqrt(squares / (F.size("x") - 1))).alias("feat")
     )

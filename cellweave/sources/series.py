@@ -6,33 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Up to this many buckets the sums of a cell are columns of one aggregation.
+WIDE_BUCKETS = 64
+
+
+def bucket_range(df: DataFrame, bucket: Column) -> tuple[int, int]:
+    """Lowest bucket of the table and the number of buckets up to the highest."""
+    low, high = df.agg(F.min(bucket), F.max(bucket)).first()
+    if low is None:
+        raise ValueError("no record has a time")
+    return int(low), int(high - low) + 1
+
+
 def series_build(
     df: DataFrame, row: str, col: str, bucket: Column, value: str, n_buckets: int
 ) -> DataFrame:
     """Sum ``value`` per (row, column, bucket 1..n) and collect one array pair per cell,
     ``(row_id, col_id, t, x)``; buckets without a record count as zero.
 
-    Records are summed before they are grouped by cell, so a cell holds at most
-    ``n_buckets`` entries when it is collected."""
-    summed = (
-        df.select(F.col(row).alias("row_id"), F.col(col).alias("col_id"),
-                  bucket.cast("int").alias("bucket"), F.col(value).cast("double").alias("v"))
-        .filter(F.col("bucket").between(1, n_buckets))
-        .groupBy("row_id", "col_id", "bucket")
-        .agg(F.sum("v").alias("v"))
-    )
+    No record is passed over: one without row, column or bucket, or with a bucket outside
+    1..n, is an error. Up to ``WIDE_BUCKETS`` buckets are added up in one aggregation by cell;
+    more are summed before they are grouped, so a cell holds at most ``n_buckets`` entries
+    when it is collected."""
+    known = F.col("row_id").isNotNull() & F.col("col_id").isNotNull()
+    inside = known & F.coalesce(F.col("bucket").between(1, n_buckets), F.lit(False))
+    outside = F.raise_error(F.lit(f"a record has no row, no column or no bucket in 1..{n_buckets}"))
+    records = df.select(
+        F.col(row).alias("row_id"), F.col(col).alias("col_id"),
+        bucket.cast("int").alias("bucket"), F.col(value).cast("double").alias("v"),
+    ).withColumn("bucket", F.when(inside, F.col("bucket")).otherwise(outside.cast("int")))
+    buckets, zero = F.sequence(F.lit(1), F.lit(n_buckets)), F.lit(0.0)
+    times = F.transform(buckets, lambda b: b.cast("double")).alias("t")
+    if n_buckets <= WIDE_BUCKETS:
+        sums = [
+            F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("v"))), zero)
+            for b in range(1, n_buckets + 1)
+        ]
+        return records.groupBy("row_id", "col_id").agg(times, F.array(*sums).alias("x"))
+    summed = records.groupBy("row_id", "col_id", "bucket").agg(F.sum("v").alias("v"))
     entries = F.map_from_entries(F.collect_list(F.struct("bucket", "v")))
     found = summed.groupBy("row_id", "col_id").agg(entries.alias("entries"))
-    buckets = F.sequence(F.lit(1), F.lit(n_buckets))
-    zero = F.lit(0.0)
-    return found.select(
-        "row_id",
-        "col_id",
-        F.transform(buckets, lambda b: b.cast("double")).alias("t"),
-        F.transform(
-            buckets, lambda b: F.coalesce(F.try_element_at("entries", b), zero)
-        ).alias("x"),
-    )
+    series = F.transform(buckets, lambda b: F.coalesce(F.try_element_at("entries", b), zero))
+    return found.select("row_id", "col_id", times, series.alias("x"))
 
 
 def fill_missing_cells(cells: DataFrame, n_cols: int, n_buckets: int) -> DataFrame:

@@ -49,16 +49,17 @@ def labelled_cells(
 
 
 def matrix_sink(cells: DataFrame, value: str, n_rows: int, n_cols: int) -> DataFrame:
-    """Numeric matrix with the header ``id, 0, 1, ...``; ``id`` numbers the rows from 1 in
-    the order of their row ids. ``value`` is a numeric column."""
-    wide = (
-        cells.groupBy("row_id")
-        .pivot("col_id", list(range(n_cols)))
-        .agg(F.first(value))
-    )
+    """Numeric matrix with the header ``id`` and the column ids in their order; ``id`` numbers
+    the rows from 1 in the order of their row ids. ``value`` is a numeric column. ``n_cols`` is
+    the counted number of columns, which bounds what the driver reads for the header."""
+    found = cells.select("col_id").distinct().limit(n_cols + 1).collect()
+    if len(found) > n_cols:
+        raise ValueError(f"the matrix has more than {n_cols} columns")
+    columns = sorted(row.col_id for row in found)
+    wide = cells.groupBy("row_id").pivot("col_id", columns).agg(F.first(value))
     numbered = dense_index(wide.select("row_id"), ["row_id"], "place", n_rows)
     return wide.join(numbered, "row_id").select(
-        (F.col("place") + 1).alias("id"), *[F.col(str(j)) for j in range(n_cols)]
+        (F.col("place") + 1).alias("id"), *[F.col(f"`{j}`") for j in columns]
     )
 
 
