@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +68,17 @@ def by_batch(
     return run
 
 
-def text_groups(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` with about ``limit`` characters each; a longer text stands alone."""
+def text_slices(
+    texts: pa.Array, limit: int = 1_000_000
+) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Begin, end and values of slices of ``texts`` with about ``limit`` bytes each; a longer text
+    stands alone. Only one slice at a time is turned into Python strings."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
     begin, size = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(sizes):
         if i > begin and size + n > limit:
-            yield begin, i
+            yield begin, i, texts.slice(begin, i - begin).to_pylist()
             begin, size = i, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes), texts.slice(begin).to_pylist()

@@ -7,18 +7,20 @@ is computed with Myers' bit-parallel recurrence."""
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import stored
+from cellweave.llm.common import by_batch, stored, text_slices
 
 #: Characters of the items that one pass over the documents looks for.
 BLOCK_CHARS = 2_000_000
+HIT = {"item_id": pa.int64(), "distance": pa.int32(), "begin": pa.int32(), "end": pa.int32()}
 
 
 def plain(text: str | None) -> str:
@@ -157,17 +159,16 @@ class Benchmark:
         return [Item(i, t, int(self.rate * len(t))) for i, t in sorted(texts) if len(t) >= self.min_chars]
 
 
-def matches(block: list[Item], text: Column) -> Column:
-    """``array<struct<item_id, distance, begin, end>>``: the items of a block that ``text`` holds."""
+def matcher_of(block: list[Item]) -> Callable[[], Matcher]:
+    """Makes the matcher of a block once in each task."""
     made: list[Matcher] = []
 
-    @F.pandas_udf("array<struct<item_id: bigint, distance: int, begin: int, end: int>>")
-    def found(texts: pd.Series) -> pd.Series:
+    def get() -> Matcher:
         if not made:
             made.append(Matcher(block))
-        return pd.Series([made[0].find(text) for text in texts])
+        return made[0]
 
-    return found(text)
+    return get
 
 
 def find_contamination(
@@ -183,16 +184,46 @@ def find_contamination(
     side gives an empty result. Blocks of items are looked for one after another."""
     found = []
     for number in range(benchmark.n_blocks):
-        hits = docs.select(
-            F.col(id_col), F.explode(matches(benchmark.block(number), F.col(text_col))).alias("match")
-        ).select(id_col, "match.*")
+        hits = hits_of_block(docs, benchmark.block(number), id_col, text_col)
         found.append(stored(hits, "contamination") if benchmark.n_blocks > 1 else hits)
     return reduce(DataFrame.unionAll, found)
 
 
+def hits_of_block(docs: DataFrame, block: list[Item], id_col: str, text_col: str) -> DataFrame:
+    matcher = matcher_of(block)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, owner = [], []
+        for begin, _, texts in text_slices(batch.column(1)):
+            for i, text in enumerate(texts, begin):
+                rows = matcher().find(text)
+                found += rows
+                owner += [i] * len(rows)
+        columns = [pa.array([row[name] for row in found], kind) for name, kind in HIT.items()]
+        ids = batch.column(0).take(pa.array(owner, pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, *columns], ["id", *HIT])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(
+        by_batch(run), f"id {kind}, item_id bigint, distance int, begin int, end int"
+    ).withColumnRenamed("id", id_col)
+
+
 def without_contaminated(docs: DataFrame, benchmark: Benchmark, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item; the same rules as ``find_contamination``."""
+    place = docs.columns.index(text_col)
+
+    def clean(docs: DataFrame, matcher: Callable[[], Matcher]) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            kept = [
+                not matcher().find(text) for _, _, texts in text_slices(batch.column(place)) for text in texts
+            ]
+            return batch.filter(pa.array(kept))
+
+        return docs.mapInArrow(by_batch(run), docs.schema)
+
     for number in range(benchmark.n_blocks):
         docs = stored(docs, "clean") if number else docs
-        docs = docs.where(F.size(matches(benchmark.block(number), F.col(text_col))) == 0)
+        docs = clean(docs, matcher_of(benchmark.block(number)))
     return docs

@@ -8,13 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.chargrams import N_SCRIPTS, code_points, code_tables, gram_hashes
-from cellweave.llm.common import by_batch, id_fraction, text_groups
+from cellweave.llm.common import by_batch, id_fraction, text_slices
 
 UNKNOWN = "und"
 #: Bits of a gram's bucket and lengths of the grams, which see one blank on either side of a word.
@@ -99,10 +98,10 @@ def fit_language_model(
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = batch.column(1).dictionary_encode()
         kinds, size = len(names.dictionary), (1 << BUCKET_BITS) + N_SCRIPTS
-        which, texts = names.indices.to_numpy(), batch.column(0).to_pylist()
+        which = names.indices.to_numpy()
         sums = np.zeros(kinds * size, np.int64)
-        for begin, end in text_groups(texts):
-            words = words_in(texts[begin:end])
+        for begin, end, texts in text_slices(batch.column(0)):
+            words = words_in(texts)
             at = which[begin:end][words.owner].astype(np.int64) * size
             for bucket, word in words.grams:
                 sums += np.bincount(at[word] + bucket, minlength=len(sums))
@@ -131,11 +130,37 @@ def fit_language_model(
     return LanguageModel(languages, scores, scripts >= SCRIPT_SHARE * scripts.sum(axis=0) if languages else scripts > 0)
 
 
+def one_language(
+    scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """The best single language of each text, and whether no path with changes can be better: no
+    stretch of words gains more than half a penalty from another language. Then s stretches
+    of other languages gain at most s/2 penalties and cost s, or s - 1 if they fill the text."""
+    full = np.flatnonzero(size)
+    best, settled = np.zeros(len(size), np.int64), np.ones(len(size), bool)
+    if not len(full):
+        return best, settled
+    wide = scores.astype(np.float64)
+    best[full] = np.add.reduceat(wide, first[full], axis=0).argmax(axis=1)
+    owner = np.repeat(np.arange(len(size)), size)
+    gains = wide - wide[np.arange(len(wide)), best[owner]][:, None]
+    sums = np.cumsum(gains, axis=0)
+    # Texts are set apart by more than any sum, so that each has a running minimum of its own.
+    apart = owner[:, None] * (2 * np.abs(sums).max() + 1)
+    lowest = np.minimum.accumulate(sums - gains - apart, axis=0)
+    most = np.maximum.reduceat((sums - apart - lowest).max(axis=1), first[full])
+    settled[full] = most <= penalty / 2
+    return best, settled
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of each word when every change costs ``penalty``: all texts advance
-    word by word together, the longest first, so that those that have ended drop out."""
-    labels = np.zeros(len(scores), np.int8)
+    """The best language of each word when every change costs ``penalty``. Texts of one language
+    are told at once; the others advance word by word together, the longest first, so that
+    those that have ended drop out."""
+    single, settled = one_language(scores, first, size, penalty)
+    labels = np.repeat(single, size).astype(np.int8)
     order = np.argsort(-size, kind="stable")
+    order = order[~settled[order]]
     first, size = first[order], size[order]
     longest = int(size[0]) if len(size) else 0
     if not longest:
@@ -197,18 +222,21 @@ def labelled(model: LanguageModel, texts: list[str | None], penalty: float) -> t
     )
 
 
-def language_of(model: LanguageModel, text: Column, penalty: float = 10.0) -> Column:
-    """``struct<lang_pred, score>`` of a text, by the rules of ``label_languages``."""
-    names = np.array([*model.languages, UNKNOWN], object)
+def with_language(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.0, penalty: float = 10.0
+) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised with at least ``min_score``, by the rules
+    of ``label_languages``; rows are judged where they are."""
+    place, unknown = docs.columns.index(text_col), len(model.languages)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        values = texts.tolist()
-        parts = [labelled(model, values[a:b], penalty)[:2] for a, b in text_groups(values)]
-        chosen, score = map(np.concatenate, zip(*parts, strict=True)) if parts else ([], [])
-        return pd.DataFrame({"lang_pred": names[np.asarray(chosen, int)], "score": score})
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = []
+        for _, _, texts in text_slices(batch.column(place)):
+            chosen, score = labelled(model, texts, penalty)[:2]
+            kept.append((chosen != unknown) & (score >= min_score))
+        return batch.filter(pa.array(np.concatenate(kept)))
 
-    return found(text)
+    return docs.mapInArrow(by_batch(run), docs.schema)
 
 
 def label_languages(
@@ -229,8 +257,7 @@ def label_languages(
     names = pa.array([*model.languages, UNKNOWN])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        parts = [labelled(model, texts[begin:end], penalty) for begin, end in text_groups(texts)]
+        parts = [labelled(model, texts, penalty) for _, _, texts in text_slices(batch.column(1))]
         chosen, score, n_spans, begin, end, lang = map(np.concatenate, zip(*parts, strict=True))
         spans = pa.StructArray.from_arrays(
             [pa.array(begin), pa.array(end), names.take(pa.array(lang.astype(np.int32)))],

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import by_batch, stored, text_groups
+from cellweave.llm.common import by_batch, stored, text_slices
 from cellweave.llm.components import components
 from cellweave.llm.wordhash import MIX_1, mixed, run_hashes, words_of
 
@@ -150,10 +150,11 @@ def many_fingerprints(docs: DataFrame, size: int) -> DataFrame:
     words of ``docs(id, text)``; a shorter text is one shingle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lowered = [(text or "").encode().lower() for text in batch.column(1).to_pylist()]
-        parts = []
-        for begin, end in text_groups(lowered):
-            words = words_of(lowered[begin:end])
+        parts, digests = [], []
+        for begin, end, texts in text_slices(batch.column(1)):
+            lowered = [(text or "").encode().lower() for text in texts]
+            digests += [xxhash.xxh3_128_digest(text) for text in lowered]
+            words = words_of(lowered)
             counts = np.diff(words.text_at)
             shingles = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
             first = np.concatenate([[0], np.cumsum(shingles)])
@@ -167,8 +168,8 @@ def many_fingerprints(docs: DataFrame, size: int) -> DataFrame:
                 simhashes(runs, first, range(FINDERS + 1, FINDERS + VERIFIERS + 1)),
             ]))
         prints = np.concatenate(parts, axis=1).view(np.int64)
-        digests = pa.array([xxhash.xxh3_128_digest(text) for text in lowered], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), digests, *map(pa.array, prints)], names)
+        columns = [batch.column(0), pa.array(digests, pa.binary()), *map(pa.array, prints)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "digest", *(f"f{i}" for i in range(FINDERS)), *(f"v{i}" for i in range(VERIFIERS))]
     kind = docs.schema["id"].dataType.simpleString()

@@ -13,13 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellweave.llm.common import by_batch, shuffle_partitions, stored, text_groups
+from cellweave.llm.common import by_batch, shuffle_partitions, stored, text_slices
 from cellweave.llm.wordhash import words_of
 
 
@@ -82,9 +81,9 @@ def suffix_table(docs: DataFrame, lengths: Lengths) -> DataFrame:
     """``key, id, at, low, high`` for every kept suffix of ``docs(id, text)``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, parts = batch.column(1).to_pylist(), []
-        for begin, end in text_groups(texts):
-            owner, *columns = kept_suffixes(texts[begin:end], lengths)
+        parts = []
+        for begin, _, texts in text_slices(batch.column(1)):
+            owner, *columns = kept_suffixes(texts, lengths)
             parts.append((owner + begin, *columns))
         owner, keys, *places = (np.concatenate(column) for column in zip(*parts, strict=True))
         columns = [pa.array(keys), batch.column(0).take(pa.array(owner))]
@@ -148,10 +147,9 @@ def extended(docs: DataFrame, repeated: DataFrame, lengths: Lengths) -> DataFram
     ranges = repeated.groupBy("id").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, ranges = batch.column(1).to_pylist(), batch.column(2)
-        owners, hashes, places = [], [], []
-        for begin, end in text_groups(texts):
-            words = words_of(texts[begin:end])
+        ranges, owners, hashes, places = batch.column(2), [], [], []
+        for begin, end, texts in text_slices(batch.column(1)):
+            words = words_of(texts)
             for i in range(begin, end):
                 pairs = ranges[i].values
                 low, high = (pairs.field(k).to_numpy().astype(np.int64) for k in (0, 1))
@@ -227,15 +225,8 @@ def repeated_passages(
     return spans.withColumnRenamed("id", id_col)
 
 
-@F.pandas_udf(T.StringType())
-def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts without the given stretches of words; the rest stays as it is."""
-    return pd.Series([cut(text, stretch) for text, stretch in zip(texts, spans, strict=True)])
-
-
-def cut(text: str | None, spans: list | None) -> str | None:
-    if text is None or spans is None or len(spans) == 0:
-        return text
+def cut(text: str, spans: list[dict[str, int]]) -> str:
+    """A text without the given stretches of words; the rest stays as it is."""
     words, data = words_of([text]), text.encode()
     kept, at = [], 0
     for begin, end in sorted((span["begin"], span["end"]) for span in spans):
@@ -253,12 +244,27 @@ def cut_passages(
     lists = spans.groupBy(F.col(id_col).alias("_id")).agg(
         F.collect_set(F.struct("begin", "end")).alias("_cuts")
     )
-    joined = docs.join(lists, docs[id_col] == lists["_id"], "left").withColumn(
-        "_left", without(F.col(text_col), F.col("_cuts"))
-    )
-    kept = joined.where("_cuts is null or length(_left) > 0")
-    columns = {text_col: F.col("_left")}
-    if size_col in docs.columns:
-        size = F.when(F.col("_cuts").isNull(), F.col(size_col)).otherwise(F.char_length("_left"))
-        columns[size_col] = size.cast(docs.schema[size_col].dataType)
-    return kept.withColumns(columns).select(*docs.columns)
+    joined = docs.join(lists, docs[id_col] == lists["_id"], "left").select(*docs.columns, "_cuts")
+    names, width = docs.columns, len(docs.columns)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, cuts, changed = batch.column(names.index(text_col)), batch.column(width), {}
+        for i in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)):
+            changed[int(i)] = cut(texts[i].as_py(), cuts[i].as_py())
+        columns = {name: batch.column(i) for i, name in enumerate(names)}
+        if changed:
+            columns[text_col] = replaced(texts, changed)
+            if size_col in columns:
+                columns[size_col] = replaced(columns[size_col], {i: len(t) for i, t in changed.items()})
+        keep = pa.array([changed.get(i) != "" for i in range(batch.num_rows)])
+        return pa.RecordBatch.from_arrays(list(columns.values()), names).filter(keep)
+
+    return joined.mapInArrow(by_batch(run), docs.schema)
+
+
+def replaced(column: pa.Array, values: dict[int, object]) -> pa.Array:
+    """``column`` with some of its values replaced."""
+    marked = np.zeros(len(column), bool)
+    marked[list(values)] = True
+    fresh = pa.array([values[i] for i in sorted(values)], column.type)
+    return pc.replace_with_mask(column, pa.array(marked), fresh)

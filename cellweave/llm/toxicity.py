@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.chargrams import code_points, code_tables, gram_hashes
-from cellweave.llm.common import by_batch, id_fraction, shuffle_partitions, stored, text_groups
+from cellweave.llm.common import by_batch, id_fraction, shuffle_partitions, stored, text_slices
 
 #: Lengths of the grams; a gram lies in one word, with a blank for the word's begin or end.
 GRAMS = (3, 4, 5, 6)
@@ -79,10 +79,9 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     """``gram, p, q``: toxic and other texts of ``sample(text, label)`` that hold each gram."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, label = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        parts = []
-        for begin, end in text_groups(texts):
-            hashes, owner = word_grams(texts[begin:end])
+        label, parts = batch.column(1).to_numpy(), []
+        for begin, end, texts in text_slices(batch.column(0)):
+            hashes, owner = word_grams(texts)
             if not len(hashes):
                 continue
             order = np.lexsort((owner, hashes))
@@ -150,9 +149,9 @@ def trained(model: ToxicityModel, sample: DataFrame, penalty: float) -> Toxicity
     size = len(model.grams)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, lists = batch.column(0).to_pylist(), []
-        for begin, end in text_groups(texts):
-            owner, gram = model.present(texts[begin:end])
+        lists = []
+        for begin, end, texts in text_slices(batch.column(0)):
+            owner, gram = model.present(texts)
             lists += np.split(gram, np.searchsorted(owner, np.arange(1, end - begin)))
         return pa.RecordBatch.from_arrays(
             [batch.column(1).cast("double"), pa.array(lists, pa.list_(pa.int64()))], ["label", "grams"]
@@ -175,8 +174,7 @@ def score_toxicity(
     are not read."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        score = np.concatenate([model.score(texts[a:b]) for a, b in text_groups(texts)])
+        score = np.concatenate([model.score(texts) for _, _, texts in text_slices(batch.column(1))])
         columns = [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["id", "score", "predicted"])
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 
@@ -20,22 +20,26 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@cache
+def power_tables(base: int) -> list[np.ndarray]:
+    """Powers of an odd base modulo 2^64 and their inverses; as long as was needed so far."""
+    return [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd base modulo 2^64 and their inverses."""
-    inverse = pow(base, -1, 1 << 64)
-    both = []
-    for factor in (base, inverse):
-        steps = np.full(size, factor, np.uint64)
-        steps[0] = 1
-        both.append(np.cumprod(steps, dtype=np.uint64))
-    return both[0], both[1]
+    tables = power_tables(base)
+    if len(tables[0]) < size:
+        length = 1 << max(16, (size - 1).bit_length())
+        for row, factor in enumerate((base, pow(base, -1, 1 << 64))):
+            steps = np.full(length, factor, np.uint64)
+            steps[0] = 1
+            tables[row] = np.cumprod(steps, dtype=np.uint64)
+    return tables[0], tables[1]
 
 
 def rolling(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums and inverse powers from which the hash of any run follows in one step."""
-    size = 1 << max(16, int(len(values)).bit_length())
-    up, down = powers(base, size)
+    up, down = powers(base, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return sums, down

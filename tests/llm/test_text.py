@@ -42,8 +42,9 @@ def test_languages_and_spans(spark, model):
     assert [s.lang for s in found[4].spans] == ["en", "de", "ru"]
     first, second, third = found[4].spans
     assert mixed[first.begin : first.end].split()[-1] in ENGLISH and mixed[third.begin : third.end].split()[0] in RUSSIAN
-    column = documents(spark, texts).select("doc_id", language.language_of(model, F.col("text")).alias("l")).collect()
-    assert {r.doc_id: r.l.lang_pred for r in column} == {i: r.lang_pred for i, r in found.items()}
+    kept = language.with_language(documents(spark, texts), model, min_score=0.7)
+    assert kept.columns == documents(spark, texts).columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if r.score >= 0.7)
 
 
 def test_nothing_learned_gives_und(spark):
