@@ -160,13 +160,17 @@ def se_step(
 
     Each draw depends on the one before only, so all but the last column draw form one
     plan. The two results are checkpointed: they cut the lineage of the iteration, and a
-    lost executor cannot change labels that later steps have used."""
+    lost executor cannot change labels that later steps have used. A column cluster that has
+    vanished ends the try."""
     rows = draw_rows(matrix, col_part, model, shared, iteration, 1, seed)
     for sweep in range(2, sweeps + 1):
         columns = draw_cols(matrix, rows, model, iteration, sweep - 1, seed)
         rows = draw_rows(matrix, columns, model, shared, iteration, sweep, seed)
     rows = checkpoint(rows)
-    return rows, checkpoint(draw_cols(matrix, rows, model, iteration, sweeps, seed))
+    columns = checkpoint(draw_cols(matrix, rows, model, iteration, sweeps, seed))
+    if columns.select("l").distinct().count() < model.n_cols:
+        raise EmptyClusterError("a column cluster has vanished")
+    return rows, columns
 
 
 # -- estimation -------------------------------------------------------------------------

@@ -163,13 +163,13 @@ class FitResult:
 
 
 def penalties(model: BlockModel, matrix: CellMatrix, shared: bool) -> tuple[float, float]:
-    n, p, dim = matrix.n_rows, matrix.n_cols, model.dim
+    n, p, per_block = matrix.n_rows, matrix.n_cols, model.parameters()
     if shared:
-        value = lbm_penalty(model.row_clusters[0], model.n_cols, n, p, dim)
+        value = lbm_penalty(model.row_clusters[0], model.n_cols, n, p, per_block)
         return value, value
     return (
-        clbm_penalty(model.row_clusters, n, p, dim),
-        clbm_penalty(model.row_clusters, n, p, dim, count_blocks_once=True),
+        clbm_penalty(model.row_clusters, n, p, per_block),
+        clbm_penalty(model.row_clusters, n, p, per_block, count_blocks_once=True),
     )
 
 

@@ -157,9 +157,11 @@ def draw_item(weights: DataFrame, u: Column, n_items: int) -> DataFrame:
     lo, hi, remaining, target = edges.lo, edges.hi, n_items, edges.u * edges.total
     while remaining > BAND_ITEMS and hi > lo:
         width = -(-(hi - lo + 1) // BANDS)
+        # Decimals, as the difference of two 64-bit ids may not fit into one.
+        band = F.expr(f"(cast(item as decimal(38,0)) - ({lo})) div cast({width} as decimal(38,0))")
         bands = (
             weights.filter(F.col("item").between(lo, hi))
-            .groupBy(F.floor((F.col("item") - lo) / width).alias("band"))
+            .groupBy(band.alias("band"))
             .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
             .orderBy("band").collect()
         )

@@ -86,16 +86,19 @@ class CellMatrix:
     @staticmethod
     def kept(source: DataFrame, pack_bytes: int) -> CellMatrix:
         widths = source.groupBy("row_id").agg(
-            F.count(F.lit(1)).alias("width"), F.max(F.size("feat")).alias("dim")
+            F.count(F.lit(1)).alias("width"), F.max(F.size("feat")).alias("dim"),
+            F.min(whole_size(F.col("feat"))).alias("least_dim"),
         )
         seen = widths.agg(
             F.count(F.lit(1)).alias("n_rows"), F.min("width").alias("least"),
-            F.max("width").alias("most"), F.max("dim").alias("dim"),
+            F.max("width").alias("most"), F.max("dim").alias("dim"), F.min("least_dim").alias("least_dim"),
         ).first()
         if not seen.n_rows:
             raise ValueError("the matrix has no cells")
         if seen.least != seen.most:
             raise IncompleteMatrixError("rows have different numbers of cells")
+        if seen.dim != seen.least_dim or seen.dim < 1:
+            raise IncompleteMatrixError("cells have different numbers of features, or missing ones")
         n_bytes = seen.n_rows * seen.most * (8 * seen.dim + 32)
         parts = partitions_for(source.sparkSession, n_bytes)
         if seen.most * seen.dim * 8 <= pack_bytes:
@@ -176,15 +179,17 @@ class CellMatrix:
         )
 
     def slice(self, col_part: DataFrame, l: int) -> CellMatrix:
-        """Keep the columns of one column cluster; the rows stay where they are."""
+        """Keep the columns of one column cluster; the rows stay where they are. Mean and loadings
+        remain those of the whole matrix, so that models of slices have one dimension."""
+        pooled = self.pooled()
         if self.packs is not None:
             kept = self.positions[self.col_labels(col_part) == l]
             view = pack_view(self.packs, self.col_ids, kept, self.dim)
-            return replace(self, cells=view, n_cols=len(kept), positions=kept, _pooled=None)
+            return replace(self, cells=view, n_cols=len(kept), positions=kept, _pooled=pooled)
         wanted = col_part.filter(F.col("l") == l).select("col_id")
         width = wanted.count()
         kept = self.cells.join(self.beside_columns(wanted), "col_id", "left_semi")
-        return replace(self, cells=kept, n_cols=width, _pooled=None)
+        return replace(self, cells=kept, n_cols=width, _pooled=pooled)
 
     def pooled(self) -> tuple[np.ndarray, np.ndarray]:
         """Mean and covariance of all cells, from one pass about some first cell."""
@@ -211,6 +216,12 @@ class CellMatrix:
         return principal_axes(self.pooled()[1], max_k, threshold)
 
 
+def whole_size(vector: Column) -> Column:
+    """Number of entries of a vector; -1 if it or one of them is missing."""
+    missing = vector.isNull() | F.exists(vector, lambda x: x.isNull())
+    return F.when(missing, F.lit(-1)).otherwise(F.size(vector))
+
+
 def pack_view(packs: DataFrame, col_ids: np.ndarray, positions: np.ndarray, dim: int) -> DataFrame:
     """The chosen columns of whole rows in long form."""
     entries = F.zip_with(

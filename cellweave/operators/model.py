@@ -47,6 +47,14 @@ class BlockModel:
         """Dimension of the projected features of the first block."""
         return len(self.means[0][0])
 
+    def dims(self) -> set[int]:
+        """Numbers of components that occur; only a fit ``per_block`` has more than one."""
+        return {len(mean) for row in self.means for mean in row}
+
+    def parameters(self) -> float:
+        """Mean number of parameters of a block."""
+        return float(np.mean([parameters_per_block(len(m)) for row in self.means for m in row]))
+
     def scorers(self) -> list[list[Scorer]]:
         return [
             [gaussian_scorer(m, c, w) for m, c, w in zip(*parts)]
@@ -109,6 +117,9 @@ def mean_model(models: Sequence[BlockModel]) -> BlockModel:
     been fixed, which ``principal_axes`` does."""
     if not models:
         raise ValueError("no model to average")
+    shapes = {tuple(tuple(w.shape for w in row) for row in m.loadings) for m in models}
+    if len(shapes) > 1:
+        raise ValueError("models of different shape cannot be averaged")
 
     def average(pick) -> list[list[np.ndarray]]:
         return [
@@ -163,6 +174,8 @@ def update_model(former: BlockModel, l: int, new: BlockModel) -> BlockModel:
     new column proportions share the removed one."""
     if not 0 <= l < former.n_cols:
         raise ValueError(f"column cluster {l} is not in 0..{former.n_cols - 1}")
+    if former.dims() | new.dims() != former.dims():
+        raise ValueError(f"blocks of {new.dims()} components cannot join blocks of {former.dims()}")
 
     def spliced(old: list, added: list) -> list:
         return old[:l] + old[l + 1 :] + added
@@ -220,22 +233,20 @@ def parameters_per_block(dim: int, full_covariance: bool = True) -> float:
     return dim + dim * (dim + 1) / 2 if full_covariance else 2.0 * dim
 
 
-def clbm_penalty(row_clusters: Sequence[int], n: int, p: int, dim: int,
-                 full_covariance: bool = True, count_blocks_once: bool = False) -> float:
-    """What ICL subtracts from the log-likelihood. The recorded form counts every row
+def clbm_penalty(row_clusters: Sequence[int], n: int, p: int, per_block: float,
+                 count_blocks_once: bool = False) -> float:
+    """What ICL subtracts from the log-likelihood, given the parameters of a block. The recorded form counts every row
     cluster once per column cluster; ``count_blocks_once`` counts the blocks that exist."""
     n_cols, total = len(row_clusters), sum(row_clusters)
     blocks = total if count_blocks_once else total * n_cols
     return (
         np.log(n) * (total - n_cols) / 2
         + np.log(p) * (n_cols - 1) / 2
-        + np.log(n * p) * blocks * parameters_per_block(dim, full_covariance) / 2
+        + np.log(n * p) * blocks * per_block / 2
     )
 
 
-def lbm_penalty(n_row_clusters: int, n_col_clusters: int, n: int, p: int, dim: int,
-                full_covariance: bool = True) -> float:
-    per_block = parameters_per_block(dim, full_covariance)
+def lbm_penalty(n_row_clusters: int, n_col_clusters: int, n: int, p: int, per_block: float) -> float:
     return (
         np.log(n) * (n_row_clusters - 1) / 2
         + np.log(p) * (n_col_clusters - 1) / 2

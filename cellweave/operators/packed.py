@@ -17,7 +17,7 @@ from cellweave.functions.draws import uniform, uniform_value
 from cellweave.functions.kernels import pack_column_sums, pack_labels, pack_moments
 from cellweave.operators.blocks import BlockMoments, collected_moments, log_or_lowest
 from cellweave.operators.matrix import CellMatrix
-from cellweave.operators.model import BlockModel
+from cellweave.operators.model import BlockModel, EmptyClusterError
 from cellweave.operators.stats import SUMS_SCHEMA, add_partial_sums
 
 
@@ -53,7 +53,8 @@ def drawn_rows(matrix: CellMatrix, draw: RowDraw) -> DataFrame:
 
 def drawn_columns(matrix: CellMatrix, draw: RowDraw) -> np.ndarray:
     """Column labels given the row labels of ``draw``. The driver sees one sum per column and
-    column cluster; a packed matrix bounds their number."""
+    column cluster; a packed matrix bounds their number. A sweep that empties a column cluster
+    ends the try."""
     model = draw.model
     run = pack_column_sums(draw.arguments(), matrix.positions, matrix.dim)
     partial = draw.inputs(matrix).select("feats", "u").mapInArrow(run, "place int, sums array<double>")
@@ -68,7 +69,10 @@ def drawn_columns(matrix: CellMatrix, draw: RowDraw) -> np.ndarray:
         uniform_value("e", int(c), draw.iteration, draw.sweep, draw.seed)
         for c in matrix.col_ids[matrix.positions]
     ])
-    return (running[:, :-1] < u[:, None] * running[:, -1:]).sum(axis=1)
+    labels = (running[:, :-1] < u[:, None] * running[:, -1:]).sum(axis=1)
+    if len(np.unique(labels)) < model.n_cols:
+        raise EmptyClusterError("a column cluster has vanished")
+    return labels
 
 
 def moments_of(

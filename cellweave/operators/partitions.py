@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.draws import uniform
 from cellweave.operators.ranks import dense_index, uniform_rank
 from cellweave.operators.shape import with_blocks
-from cellweave.runtime import broadcast_if_small
+from cellweave.runtime import broadcast_if_small, counted_broadcast
 
 
 def balanced_col_partition(columns: DataFrame, n_groups: int, seed: int, n_cols: int) -> DataFrame:
@@ -38,20 +38,37 @@ def cond_block_partition(cells: DataFrame, row_part: DataFrame, col_part: DataFr
 
 
 def block_partition(cells: DataFrame, row_part: DataFrame, col_part: DataFrame) -> DataFrame:
-    """One number per distinct (k, l) pair, ``(row_id, col_id, block)``, numbered in the
-    order of (l, k). The pairs are numbered on their own table, which has one record per
-    block."""
+    """One number per block, ``(row_id, col_id, block)``, numbered in the order of (l, k). The
+    blocks are listed from the labels, one record per block, not from the cells."""
     pairs = cond_block_partition(cells, row_part, col_part)
     order = Window.orderBy("l", "k")
-    numbers = pairs.select("l", "k").distinct().withColumn("block", F.row_number().over(order) - 1)
-    return pairs.join(F.broadcast(numbers), ["l", "k"]).select("row_id", "col_id", "block")
+    listed = row_part.select("l", "k").distinct().join(col_part.select("l").distinct(), "l", "left_semi")
+    numbers = listed.withColumn("block", F.row_number().over(order) - 1)
+    return pairs.join(counted_broadcast(numbers, 16), ["l", "k"]).select("row_id", "col_id", "block")
+
+
+def two_block_partitions(
+    cells: DataFrame, first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]
+) -> DataFrame:
+    """``(row_id, col_id, a, b)``: the block of each cell under two pairs of row and column
+    partitions, as structs of l and k, from one pass over the cells."""
+    met = cells.select("row_id", "col_id")
+    for name, (row_part, col_part) in (("a", first), ("b", second)):
+        met = with_blocks(met, row_part, col_part).withColumn(name, F.struct("l", "k")).drop("l", "k")
+    return met
+
+
+def row_label_lists(row_part: DataFrame, out: str) -> DataFrame:
+    """``(row_id, out)``: the labels of a row in all column clusters, in their order."""
+    pairs = F.sort_array(F.collect_list(F.struct("l", "k")))
+    return row_part.groupBy("row_id").agg(F.transform(pairs, lambda p: p["k"]).alias(out))
 
 
 def entire_row_partition(row_part: DataFrame, n_labels: int) -> DataFrame:
     """Rows with the same label in every column cluster share one number,
-    ``(row_id, label)``. ``n_labels`` bounds the number of distinct label lists."""
-    pairs = F.sort_array(F.collect_list(F.struct("l", "k")))
-    lists = row_part.groupBy("row_id").agg(F.transform(pairs, lambda p: p["k"]).alias("labels"))
+    ``(row_id, label)``. ``n_labels`` bounds the number of distinct label lists: the product of
+    the numbers of clusters, or the number of rows if that is less."""
+    lists = row_label_lists(row_part, "labels")
     numbers = dense_index(lists.select("labels").distinct(), ["labels"], "label", n_labels)
     return lists.join(broadcast_if_small(numbers, n_labels, 128), "labels").select(
         "row_id", F.col("label")
@@ -82,6 +99,21 @@ def adjusted_rand_index(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return counts.select(F.try_divide(F.col("both") - expected, most - expected).alias("ari"))
 
 
+def partition_scores(
+    cells: DataFrame, first: tuple[DataFrame, DataFrame], second: tuple[DataFrame, DataFrame]
+) -> DataFrame:
+    """``(what, ari)`` of two pairs of row and column partitions: entire rows, columns, blocks."""
+    rows = row_label_lists(first[0], "a").join(row_label_lists(second[0], "b"), "row_id")
+    columns = first[1].select("col_id", F.col("l").alias("a")).join(
+        second[1].select("col_id", F.col("l").alias("b")), "col_id")
+    scores = [
+        adjusted_rand_index(pairs, "a", "b").select(F.lit(what).alias("what"), "ari")
+        for what, pairs in (
+            ("rows", rows), ("columns", columns), ("blocks", two_block_partitions(cells, first, second)))
+    ]
+    return scores[0].unionByName(scores[1]).unionByName(scores[2])
+
+
 def partitions_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """One record ``(equal)``: 1 when both labellings hold the same items with the same
     labels, else 0."""

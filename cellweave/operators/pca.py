@@ -79,8 +79,3 @@ def project_column(vector: str, loadings: np.ndarray) -> Column:
 
 def project_loadings(df: DataFrame, vector: str, out: str, loadings: np.ndarray) -> DataFrame:
     return df.withColumn(out, project_column(vector, loadings))
-
-
-def vector_column(vector: str) -> Column:
-    """An ML vector column as an array."""
-    return vector_to_array(vector)

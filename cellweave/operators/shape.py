@@ -41,14 +41,24 @@ def packed(cells: DataFrame, by: str, along: str, ids: str, width: int) -> DataF
     )
 
 
+def label_maps(row_part: DataFrame) -> DataFrame:
+    """``(row_id, z)``: the labels of a row by column cluster, as many as there are clusters."""
+    return row_part.groupBy("row_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("l", "k"))).alias("z")
+    )
+
+
 def attach_row_partition(cells: DataFrame, row_part: DataFrame) -> DataFrame:
-    """Cells with the row label of each column cluster, ``(row_id, col_id, feat, l, k)``."""
-    return cells.join(row_part, "row_id")
+    """Cells with the row labels of all column clusters, ``(row_id, col_id, feat, z)``. The map
+    ``z`` from l to k is attached once to a cell, which stays where it is."""
+    return cells.join(label_maps(row_part), "row_id")
 
 
 def with_blocks(cells: DataFrame, row_part: DataFrame, col_part: DataFrame) -> DataFrame:
-    """Cells with the block (l, k) they belong to."""
-    return cells.join(counted_broadcast(col_part), "col_id").join(row_part, ["row_id", "l"])
+    """Cells with the block (l, k) they belong to. The labels of a row travel as one map, so a
+    table kept by row is not moved; cells without labels are left out."""
+    met = cells.join(counted_broadcast(col_part), "col_id").join(label_maps(row_part), "row_id")
+    return met.withColumn("k", F.try_element_at("z", F.col("l"))).where("k is not null").drop("z")
 
 
 def block_filter(cells: DataFrame, row_part: DataFrame, col_part: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.kernels import fourier, normalised_power
+from cellweave.runtime import checkpoint
 
 # Fixed values of the feature chain.
 FLAT_SERIES_SD = 0.0001
@@ -98,20 +98,20 @@ def grid_values(df: DataFrame, freq: str, points: int = GRID_POINTS) -> list[flo
 def linear_interpolation(
     df: DataFrame, freq: str, values: str, grid: Sequence[float], out: str
 ) -> DataFrame:
-    """Values at the grid frequencies. Fourier bins are evenly spaced from zero, so the two
-    bins around a grid point are found by division."""
+    """Values at the grid frequencies, between the two nearest of the ascending frequencies of a
+    cell; null outside their range. A cell's frequencies need not be even nor begin at zero."""
     last = F.size(freq) - 2
-    step = F.get(freq, F.lit(1)) - F.get(freq, F.lit(0))
 
     def at(frequency: Column) -> Column:
-        place = frequency / F.col("_step")
-        left = F.least(F.floor(place).cast("int"), F.col("_last"))
-        share = place - left
-        return F.get(values, left) * (1 - share) + F.get(values, left + 1) * share
+        left = F.size(F.filter(freq, lambda f: f <= frequency)) - 1
+        place = F.least(left, last)
+        low, high = F.get(freq, place), F.get(freq, place + 1)
+        share = (frequency - low) / (high - low)
+        value = F.get(values, place) * (1 - share) + F.get(values, place + 1) * share
+        return F.when((left >= 0) & (frequency <= high), value)
 
     points = F.array(*[F.lit(float(g)) for g in grid])
-    prepared = df.withColumn("_step", step).withColumn("_last", last)
-    return prepared.withColumn(out, F.transform(points, at)).drop("_step", "_last")
+    return df.withColumn(out, F.transform(points, at))
 
 
 def log_scale(df: DataFrame, values: str, out: str, offset: float = LOG_OFFSET) -> DataFrame:
@@ -143,15 +143,16 @@ def spectral_features(table: DataFrame) -> DataFrame:
     """Series table ``(decorators, time_from, time_to, time_step, series)`` to feature cells
     ``(row_id, col_id, feat)``: normalise, transform, power, common grid, log, standardise.
 
-    The log powers, a few numbers per cell, are kept: the scale is taken from them before
-    they are scaled, and the series need not be built again for either."""
+    The series are stored once, as both the grid and the powers read them, and so are the log
+    powers, a few numbers per cell, as the scale is taken from them before they are scaled."""
+    table = checkpoint(table)
     with_freq = dft_frequencies(table, "series", "time_step", "freq")
     grid = grid_values(with_freq, "freq")
     powered = with_freq.withColumn("power", normalised_power(FLAT_SERIES_SD)(F.col("series")))
     resampled = linear_interpolation(powered, "freq", "power", grid, "resampled")
-    logged = log_scale(resampled, "resampled", "logged").select(
+    logged = checkpoint(log_scale(resampled, "resampled", "logged").select(
         F.element_at("decorators", "row_id").cast("bigint").alias("row_id"),
         F.element_at("decorators", "col_id").cast("bigint").alias("col_id"),
         "logged",
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ))
     return column_scale(logged, "logged", "feat", len(grid)).select("row_id", "col_id", "feat")

@@ -123,7 +123,12 @@ def register_steps(prefix: str, clusters: Sequence[int], shared: bool) -> None:
             labels.matrix, labels.row_labels, estimated(labels, clusters, shared), 1, 1, 0)
         return drawn.select("col_id", big("l").alias("l"))
 
-    @query(f"{prefix}_se_step")
+    swept = chain()
+    drawn_rows, drawn_cols = sql.add_sweeps(swept, "s", "ll", "cp", shared, 1, 0)
+
+    @query(f"{prefix}_se_step", swept.select(
+        f"SELECT 'row' AS side, row_id::BIGINT AS id, l::BIGINT AS l, k::BIGINT AS label FROM {drawn_rows} UNION ALL "
+        f"SELECT 'column', col_id, 0, l FROM {drawn_cols}", inline=["ll"]))
     def se_step(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels = balanced(spark, sf_dir, clusters, 0, shared)
         drawn, columns = blocks.se_step(

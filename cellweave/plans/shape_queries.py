@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.draws import uniform
-from cellweave.operators import partitions, shape, spectral
+from cellweave.operators import fit, partitions, shape, spectral
 from cellweave.operators.matrix import matrix_shape
 from cellweave.operators.pca import pca_threshold, pooled_pca_loadings, project_loadings
 from cellweave.plans import sql, tables
 from cellweave.plans.catalogue import big, embedding_matrix, entry_of, pairs_matrix, query, r6
-from cellweave.plans.model_queries import balanced, estimated_model
+from cellweave.plans.model_queries import CLBM, ITERATIONS, ROTATION, balanced, estimated_model
 from cellweave.plans.sql import Chain
-from cellweave.runtime import ensure_checkpoint_dir
+from cellweave.runtime import checkpoint, ensure_checkpoint_dir
 from cellweave.sources import series, sinks
 
 # An arbitrary projection of the eight embedding features to two.
@@ -110,7 +110,8 @@ def column_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attach_row_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = balanced(spark, sf_dir, (3, 2))
     joined = shape.attach_row_partition(labels.matrix.cells, labels.row_part)
-    return joined.select("row_id", "col_id", big("l").alias("l"), big("k").alias("k"), r6(entry_of("feat", 0)).alias("f0"))
+    listed = joined.select("row_id", "col_id", F.explode("z").alias("l", "k"), "feat")
+    return listed.select("row_id", "col_id", big("l").alias("l"), big("k").alias("k"), r6(entry_of("feat", 0)).alias("f0"))
 
 
 @query("id_dictionary", "SELECT p_brand AS name, (dense_rank() OVER (ORDER BY p_brand) - 1)::BIGINT AS id "
@@ -172,7 +173,7 @@ def supplier_labels(chain: Chain) -> Chain:
     "string_agg(x::VARCHAR, ':' ORDER BY t) AS x FROM sb JOIN cp USING (col_id) JOIN rp USING (row_id, l) "
     "JOIN sb_names USING (col_id) GROUP BY ALL"))
 def labelled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = tables.supplier_brand_raw(spark, sf_dir).select("row_id", "col_id", "x").persist()
+    raw = checkpoint(tables.supplier_brand_raw(spark, sf_dir).select("row_id", "col_id", "x"))
     found = matrix_shape(raw).first()
     rows, cols = raw.select("row_id").distinct(), raw.select("col_id").distinct()
     row_part = partitions.balanced_row_partition(rows, (2, 2, 3), 4, found.n_rows)
@@ -199,26 +200,55 @@ def two_labellings() -> Chain:
     chain = labels_chain(sql.pairs_chain())
     sql.add_col_labels(chain, "cp2", 2, 1)
     sql.add_row_labels(chain, "rp2", (3, 2), 1)
-    chain.add("rows2", "SELECT a.row_id, a.k AS a, b.k AS b FROM rp a JOIN rp2 b USING (row_id, l) WHERE l = 0")
+    chain.add("rows2", "SELECT row_id, list(a.k ORDER BY l) AS a, list(b.k ORDER BY l) AS b "
+              "FROM rp a JOIN rp2 b USING (row_id, l) GROUP BY row_id")
     chain.add("cols2", "SELECT a.col_id, a.l AS a, b.l AS b FROM cp a JOIN cp2 b USING (col_id)")
     add_ari(chain, "row_ari", "a", "b", "rows2")
     return add_ari(chain, "col_ari", "a", "b", "cols2")
 
 
-@query("score_append", two_labellings().select(
-    f"SELECT 1::BIGINT AS run, 'rows' AS what, {sql.r6('ari')} AS ari FROM row_ari UNION ALL "
-    f"SELECT 2, 'columns', {sql.r6('ari')} FROM col_ari"))
+def scored_fit() -> str:
+    """Scores of a fit against known labels: the line of a results table."""
+    chain = labels_chain(sql.pairs_chain(), CLBM, 1)
+    sql.add_col_labels(chain, "cq", len(CLBM), 0)
+    sql.add_row_labels(chain, "rq", CLBM, 0)
+    sql.add_labelled(chain, "lab_s", "rq", "cq", False)
+    sql.add_model(chain, "mod_s", "lab_s", False)
+    names, rows, cols = sql.add_fit(chain, "f", "mod_s", "cq", False, ITERATIONS, 0)
+    chain.add("rows2", f"SELECT row_id, list(a.k ORDER BY l) AS a, list(b.k ORDER BY l) AS b "
+              f"FROM {rows} a JOIN rp b USING (row_id, l) GROUP BY row_id")
+    chain.add("cols2", f"SELECT a.l AS a, b.l AS b FROM {cols} a JOIN cp b USING (col_id)")
+    sql.add_labelled(chain, "lab_f", rows, cols, False)
+    sql.add_labelled(chain, "lab_t", "rp", "cp", False)
+    chain.add("cells2", "SELECT a.l * 100 + a.k AS a, b.l * 100 + b.k AS b FROM lab_f a JOIN lab_t b USING (row_id, col_id)")
+    for what, source in (("row", "rows2"), ("col", "cols2"), ("block", "cells2")):
+        add_ari(chain, f"{what}_ari", "a", "b", source)
+    aris = ", ".join(f"(SELECT {sql.r6('ari')} FROM {what}_ari) AS {what}_ari" for what in ("row", "col", "block"))
+    sizes = "(SELECT count(DISTINCT row_id)::DOUBLE AS n, count(DISTINCT col_id)::DOUBLE AS p FROM cell)"
+    total, count = sum(CLBM), len(CLBM)
+    penalty = f"(ln(n) * ({total} - {count}) / 2 + ln(p) * ({count} - 1) / 2 + ln(n * p) * {total * count} * 5.0 / 2)"
+    return chain.select(f"SELECT 1::BIGINT AS run, {aris}, {sql.r6('loglik')} AS loglik, {sql.r6(f'loglik - {penalty}')} AS icl FROM {names[-1]}, {sizes}",
+                        inline=[f"df_{i}" for i in range(ITERATIONS + 1)])
+
+
+@query("score_append", scored_fit())
 def score_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = balanced(spark, sf_dir, (3, 2), 0), balanced(spark, sf_dir, (3, 2), 1)
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/scores-{uuid.uuid4().hex}"
-    rows = (first.row_part.filter("l = 0").withColumnRenamed("k", "a")
-            .join(second.row_part.filter("l = 0").withColumnRenamed("k", "b"), "row_id"))
-    cols = first.col_part.withColumnRenamed("l", "a").join(second.col_part.withColumnRenamed("l", "b"), "col_id")
-    for run, (what, pairs) in enumerate((("rows", rows), ("columns", cols)), start=1):
-        score = partitions.adjusted_rand_index(pairs, "a", "b")
-        sinks.score_append(score.select(F.lit(run).cast("bigint").alias("run"), F.lit(what).alias("what"), "ari"), path)
-    return spark.read.parquet(path).select("run", "what", r6("ari").alias("ari"))
+    return score_line(spark, sf_dir, f"{spark.sparkContext.getCheckpointDir()}/scores-{uuid.uuid4().hex}")
+
+
+def score_line(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Fit, score against the known labels and append the line to the table at ``path``."""
+    truth = balanced(spark, sf_dir, CLBM, 1)
+    found = fit.fit(truth.matrix, fit.clbm_settings(CLBM, iterations=1, burn_in=ITERATIONS - 1, **ROTATION))
+    scores = partitions.partition_scores(
+        truth.matrix.cells, (found.row_part(), found.col_part), (truth.row_part, truth.col_part))
+    aris = [F.max(F.when(F.col("what") == what, F.col("ari"))).alias(name)
+            for what, name in (("rows", "row_ari"), ("columns", "col_ari"), ("blocks", "block_ari"))]
+    sinks.score_append(scores.agg(*aris).select(
+        F.lit(1).cast("bigint").alias("run"), "*", F.lit(found.loglik).alias("loglik"), F.lit(float(found.icl)).alias("icl")), path)
+    return spark.read.parquet(path).select(
+        "run", *[r6(c).alias(c) for c in ("row_ari", "col_ari", "block_ari", "loglik", "icl")])
 
 
 @query("matrix_sink", sql.pairs_chain().select(

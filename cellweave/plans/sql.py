@@ -34,8 +34,11 @@ class Chain:
         self.links.setdefault(name, query)
         return self
 
-    def select(self, query: str) -> str:
-        body = ",\n".join(f"{name} AS MATERIALIZED ({q})" for name, q in self.links.items())
+    def select(self, query: str, inline: Sequence[str] = ()) -> str:
+        """``inline`` names links to be expanded where they are used: DuckDB may wait forever
+        for a stored table that a link and its own source both read."""
+        kind = {name: "NOT MATERIALIZED" for name in inline}
+        body = ",\n".join(f"{name} AS {kind.get(name, 'MATERIALIZED')} ({q})" for name, q in self.links.items())
         return f"WITH {body}\n{query}"
 
 

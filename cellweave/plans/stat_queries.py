@@ -271,7 +271,8 @@ def block_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
        .select("SELECT row_id::BIGINT AS row_id, (dense_rank() OVER (ORDER BY labels) - 1)::BIGINT AS label FROM lists"))
 def entire_row_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = balanced(spark, sf_dir, CLBM)
-    found = partitions.entire_row_partition(labels.row_part, int(np.prod(CLBM)))
+    found = partitions.entire_row_partition(
+        labels.row_part, min(int(np.prod(CLBM)), labels.matrix.n_rows))
     return found.select("row_id", big("label").alias("label"))
 
 
@@ -289,29 +290,18 @@ def ari_sql() -> str:
 @query("adjusted_rand_index", ari_sql())
 def adjusted_rand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = balanced(spark, sf_dir, CLBM, 0), balanced(spark, sf_dir, CLBM, 1)
-    rows = (first.row_part.filter("l = 0").withColumnRenamed("k", "a")
-            .join(second.row_part.filter("l = 0").withColumnRenamed("k", "b"), "row_id"))
-    cols = first.col_part.withColumnRenamed("l", "a").join(second.col_part.withColumnRenamed("l", "b"), "col_id")
-    cells = first.matrix.cells
-    both = (
-        partitions.block_partition(cells, first.row_part, first.col_part).withColumnRenamed("block", "a")
-        .join(partitions.block_partition(cells, second.row_part, second.col_part).withColumnRenamed("block", "b"),
-              ["row_id", "col_id"])
-    )
-    scores = [
-        partitions.adjusted_rand_index(pairs, "a", "b").select(F.lit(what).alias("what"), r6("ari").alias("ari"))
-        for what, pairs in (("rows", rows), ("columns", cols), ("blocks", both))
-    ]
-    return scores[0].unionByName(scores[1]).unionByName(scores[2])
+    scores = partitions.partition_scores(
+        first.matrix.cells, (first.row_part, first.col_part), (second.row_part, second.col_part))
+    return scores.select("what", r6("ari").alias("ari"))
 
 
 @query("partitions_equal", two_labellings().select(
-    "SELECT 'same' AS what, 1::BIGINT AS equal UNION ALL SELECT 'other', bool_and(a = b)::BIGINT FROM rows2"))
+    "SELECT 'same' AS what, 1::BIGINT AS equal UNION ALL SELECT 'other', bool_and(a.k = b.k)::BIGINT "
+    "FROM rp a JOIN rp2 b USING (row_id, l)"))
 def partitions_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = balanced(spark, sf_dir, CLBM, 0), balanced(spark, sf_dir, CLBM, 1)
     same = partitions.partitions_equal(first.row_part, first.row_part.select("k", "l", "row_id"), ["row_id", "l"], "k")
-    other = partitions.partitions_equal(
-        first.row_part.filter("l = 0"), second.row_part.filter("l = 0"), ["row_id", "l"], "k")
+    other = partitions.partitions_equal(first.row_part, second.row_part, ["row_id", "l"], "k")
     return same.select(F.lit("same").alias("what"), big("equal").alias("equal")).unionByName(
         other.select(F.lit("other").alias("what"), big("equal").alias("equal")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.ranks import dense_index
+from cellweave.operators.shape import label_maps
 from cellweave.runtime import counted_broadcast
 
 SEPARATOR = ":"
@@ -35,15 +36,16 @@ def labelled_cells(
     row_names: DataFrame, col_names: DataFrame, vectors: list[str],
 ) -> DataFrame:
     """Cells under their original names with their clusters; the row cluster is the one of
-    the row inside the column's cluster. ``vectors`` become joined strings."""
-    labelled = (
-        cells.join(counted_broadcast(col_part.join(col_names, "col_id"), 128), "col_id")
-        .join(row_part, ["row_id", "l"])
-        .join(row_names.select("row_id", "row_name"), "row_id")
-    )
+    the row inside the column's cluster. ``vectors`` become joined strings. A cell without a
+    name goes under its id, one without a label has none. Names and labels of a row are put
+    together first, so cells kept by row are not moved."""
+    columns = col_part.join(col_names, "col_id", "full_outer")
+    rows = label_maps(row_part).join(row_names.select("row_id", "row_name"), "row_id", "full_outer")
+    labelled = cells.join(counted_broadcast(columns, 128), "col_id", "left").join(rows, "row_id", "left")
     return labelled.select(
-        "row_name", "col_name",
-        F.col("k").alias("row_cluster"), F.col("l").alias("col_cluster"),
+        F.coalesce("row_name", F.col("row_id").cast("string")).alias("row_name"),
+        F.coalesce("col_name", F.col("col_id").cast("string")).alias("col_name"),
+        F.try_element_at("z", F.col("l")).alias("row_cluster"), F.col("l").alias("col_cluster"),
         *[joined(F.col(v)).alias(v) for v in vectors],
     )
 

@@ -11,7 +11,7 @@ from cellweave.operators.blocks import cell_log_densities
 from cellweave.operators.kmeans import Items
 from cellweave.operators.matrix import CellMatrix, IncompleteMatrixError
 from cellweave.operators.model import (
-    BlockModel, clbm_penalty, gaussian_scorer, mean_model, update_model,
+    BlockModel, clbm_penalty, gaussian_scorer, mean_model, parameters_per_block, update_model,
 )
 from cellweave.operators.pca import pca_threshold
 from planted import feature_cells
@@ -64,8 +64,8 @@ def test_arrays_of_one_table_share_a_length():
 
 
 def test_icl_penalty_of_the_recorded_runs():
-    assert np.isclose(clbm_penalty([3, 2, 2], 90, 90, 20), 21747.58013670617, rtol=0, atol=1e-8)
-    assert clbm_penalty([3, 2, 2], 90, 90, 20, count_blocks_once=True) < 8000
+    assert np.isclose(clbm_penalty([3, 2, 2], 90, 90, parameters_per_block(20)), 21747.58013670617, rtol=0, atol=1e-8)
+    assert clbm_penalty([3, 2, 2], 90, 90, parameters_per_block(20), count_blocks_once=True) < 8000
 
 
 def test_incomplete_matrices_are_refused(truth):
