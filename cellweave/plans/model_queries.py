@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.operators import blocks, fit, model, partitions, starts
@@ -18,7 +19,8 @@ from cellweave.plans.sql import Chain
 
 CLBM = (3, 2)
 LBM = (3, 3)
-ITERATIONS = 2
+# Iterations of the fits that are written out in SQL; the models after burn-in are averaged.
+ITERATIONS, BURN_IN = 4, 2
 # With both components kept the projection is a rotation, which leaves densities unchanged.
 ROTATION = {"threshold": 1.0}
 
@@ -202,8 +204,33 @@ def register_steps(prefix: str, clusters: Sequence[int], shared: bool) -> None:
         found, _ = starts.from_component_sample(pairs_matrix(spark, sf_dir), settings, 0)
         return model_columns(rotated_back(found).to_frame(spark))
 
-    def trace(result: fit.FitResult) -> DataFrame:
-        return result.trace().select(big("iter").alias("iter"), r6("loglik_cells").alias("loglik_cells"))
+    def outcome(result: fit.FitResult) -> DataFrame:
+        """Likelihoods, labels and proportions of a fit as ``(what, id, l, value)``."""
+        def lines(frame: DataFrame, what: str, id_: str, l: Column, value: Column) -> DataFrame:
+            return frame.select(F.lit(what).alias("what"), big(id_).alias("id"), big(l).alias("l"), r6(value).alias("value"))
+
+        zero, number = F.lit(0), lambda c: F.col(c).cast("double")
+        parts = result.blocks()
+        return reduce(DataFrame.unionAll, [
+            lines(result.trace(), "loglik", "iter", zero, number("loglik_cells")),
+            lines(result.row_part(), "row", "row_id", F.col("l"), number("k")),
+            lines(result.col_part, "column", "col_id", zero, number("l")),
+            lines(parts, "row_prop", "k", F.col("l"), number("row_prop")),
+            lines(parts, "col_prop", "k", F.col("l"), number("col_prop")),
+        ])
+
+    def outcome_sql(tag: str, likelihoods: Sequence[str], rows: str, cols: str, condition: str = "true") -> str:
+        """The same from the links of ``add_fit``."""
+        late = " UNION ALL ".join(f"SELECT * FROM m{tag}_{it}" for it in range(BURN_IN + 1, ITERATIONS + 1))
+        traced = [f"SELECT 'loglik' AS what, {i}::BIGINT AS id, 0::BIGINT AS l, {sql.r6('loglik')} AS value FROM {name} WHERE {condition}"
+                  for i, name in enumerate(likelihoods)]
+        props = [f"SELECT '{p}', k, l, {sql.r6(f'avg({p})')} FROM ({late}) WHERE {condition} GROUP BY l, k" for p in ("row_prop", "col_prop")]
+        return " UNION ALL ".join([
+            *traced, f"SELECT 'row', row_id, l, k::DOUBLE FROM {rows} WHERE {condition}",
+            f"SELECT 'column', col_id, 0, l::DOUBLE FROM {cols} WHERE {condition}", *props])
+
+    def densities_of(*tags: str) -> list[str]:
+        return [f"d{tag}_{it}" for tag in tags for it in range(ITERATIONS + 1)]
 
     def start_chain(chain: Chain, tag: str, seed: int) -> tuple[str, str]:
         """Model and columns of the default start."""
@@ -217,30 +244,28 @@ def register_steps(prefix: str, clusters: Sequence[int], shared: bool) -> None:
     def default_settings(**options) -> fit.Settings:
         init = "random" if shared else "random_partition"
         return fit.Settings(tuple(clusters), **{
-            "shared": shared, "init": init, "iterations": 1, "burn_in": ITERATIONS - 1, **ROTATION, **options})
+            "shared": shared, "init": init, "iterations": ITERATIONS - BURN_IN, "burn_in": BURN_IN, **ROTATION, **options})
 
     fitted = sql.pairs_chain()
-    likelihoods, _, _ = sql.add_fit(fitted, "f", *start_chain(fitted, "_s", 0), shared, ITERATIONS, 0)
+    found = sql.add_fit(fitted, "f", *start_chain(fitted, "_s", 0), shared, ITERATIONS, 0)
 
-    @query(f"{prefix}_fit", fitted.select(sql.trace_select(likelihoods)))
+    @query(f"{prefix}_fit", fitted.select(outcome_sql("f", *found), densities_of("f")))
     def fit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return trace(fit.fit(pairs_matrix(spark, sf_dir), default_settings()))
+        return outcome(fit.fit(pairs_matrix(spark, sf_dir), default_settings()))
 
     several = sql.pairs_chain()
     ends = []
     for n in range(2):
         seed = n * fit.START_SEED_STEP
-        names, _, _ = sql.add_fit(several, f"g{n}", *start_chain(several, f"_t{n}", seed), shared, ITERATIONS, seed)
-        ends.append(names)
-    last = ", ".join(f"(SELECT loglik FROM {names[-1]})" for names in ends)
+        ends.append(sql.add_fit(several, f"g{n}", *start_chain(several, f"_t{n}", seed), shared, ITERATIONS, seed))
+    last = ", ".join(f"(SELECT loglik FROM {names[-1]})" for names, _, _ in ends)
     picked = " UNION ALL ".join(
-        f"SELECT {i}::BIGINT AS iter, {sql.r6('loglik')} AS loglik_cells FROM {name} "
-        f"WHERE (SELECT loglik FROM {names[-1]}) = greatest({last})"
-        for names in ends for i, name in enumerate(names))
+        outcome_sql(f"g{n}", names, rows, cols, f"(SELECT loglik FROM {names[-1]}) = greatest({last})")
+        for n, (names, rows, cols) in enumerate(ends))
 
-    @query(f"{prefix}_multi_start", several.select(picked))
+    @query(f"{prefix}_multi_start", several.select(picked, densities_of("g0", "g1")))
     def multi_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return trace(fit.multi_start(pairs_matrix(spark, sf_dir), default_settings(), 2))
+        return outcome(fit.multi_start(pairs_matrix(spark, sf_dir), default_settings(), 2))
 
     given = chain_of(clusters, shared, 5, "_g")
     if shared:
@@ -250,15 +275,15 @@ def register_steps(prefix: str, clusters: Sequence[int], shared: bool) -> None:
         given.add("runs", "SELECT l, sum(col_prop) OVER (ORDER BY l) AS running, max(l) OVER () AS top FROM props")
         given.add("cq_g", f"SELECT col_id, sum(CASE WHEN running < {u} AND l < top THEN 1 ELSE 0 END)::BIGINT AS l "
                   "FROM (SELECT DISTINCT col_id FROM cell), runs GROUP BY col_id")
-    given_names, _, _ = sql.add_fit(given, "h", "mod_g", "cq_g" if shared else "cp_g", shared, ITERATIONS, 0)
+    given_fit = sql.add_fit(given, "h", "mod_g", "cq_g" if shared else "cp_g", shared, ITERATIONS, 0)
 
-    @query(f"{prefix}_init_given_model", given.select(sql.trace_select(given_names)))
+    @query(f"{prefix}_init_given_model", given.select(outcome_sql("h", *given_fit), densities_of("h")))
     def init_given_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels = balanced(spark, sf_dir, clusters, 5, shared)
         table = estimated(labels, clusters, shared).to_frame(spark)
         settings = default_settings(
             init="", model=BlockModel.from_frame(table), col_part=None if shared else labels.col_part)
-        return trace(fit.fit(labels.matrix, settings))
+        return outcome(fit.fit(labels.matrix, settings))
 
 
 register_steps("lbm", LBM, True)

@@ -14,7 +14,7 @@ from cellweave.operators.matrix import matrix_shape
 from cellweave.operators.pca import pca_threshold, pooled_pca_loadings, project_loadings
 from cellweave.plans import sql, tables
 from cellweave.plans.catalogue import big, embedding_matrix, entry_of, pairs_matrix, query, r6
-from cellweave.plans.model_queries import CLBM, ITERATIONS, ROTATION, balanced, estimated_model
+from cellweave.plans.model_queries import BURN_IN, CLBM, ITERATIONS, ROTATION, balanced, estimated_model
 from cellweave.plans.sql import Chain
 from cellweave.runtime import checkpoint, ensure_checkpoint_dir
 from cellweave.sources import series, sinks
@@ -240,7 +240,7 @@ def score_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_line(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     """Fit, score against the known labels and append the line to the table at ``path``."""
     truth = balanced(spark, sf_dir, CLBM, 1)
-    found = fit.fit(truth.matrix, fit.clbm_settings(CLBM, iterations=1, burn_in=ITERATIONS - 1, **ROTATION))
+    found = fit.fit(truth.matrix, fit.clbm_settings(CLBM, iterations=ITERATIONS - BURN_IN, burn_in=BURN_IN, **ROTATION))
     scores = partitions.partition_scores(
         truth.matrix.cells, (found.row_part(), found.col_part), (truth.row_part, truth.col_part))
     aris = [F.max(F.when(F.col("what") == what, F.col("ari"))).alias(name)

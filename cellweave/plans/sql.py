@@ -239,13 +239,6 @@ def add_fit(chain: Chain, tag: str, model: str, cols: str, shared: bool, iterati
     return likelihoods, rows, cols
 
 
-def trace_select(likelihoods: Sequence[str]) -> str:
-    return " UNION ALL ".join(
-        f"SELECT {i}::BIGINT AS iter, {r6('loglik')} AS loglik_cells FROM {name}"
-        for i, name in enumerate(likelihoods)
-    )
-
-
 def add_sampled_model(chain: Chain, name: str, row_clusters: Sequence[int], m: int, seed: int) -> Chain:
     """Blocks from ``m`` sampled rows each and one random column of every row."""
     blocks = ", ".join(f"({l}, {k}, {size})" for l, size in enumerate(row_clusters) for k in range(size))
