@@ -353,7 +353,7 @@ def lbm_to_clbm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_columns(model.lbm_to_clbm_table(parts, row_props, col_props))
 
 
-SEARCH = {"iterations": 1, "burn_in": 1, "max_tries": 5}
+SEARCH = {"iterations": 3, "burn_in": 2, "max_tries": 10}
 
 
 def search_result(found: fit.FitResult) -> DataFrame:
@@ -369,40 +369,40 @@ def search_result(found: fit.FitResult) -> DataFrame:
 
 @query("clbm_grid_search")
 def clbm_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.clbm_grid_search(spectral_matrix(spark, sf_dir), [1, 2], [1, 2], **SEARCH)
+    found = selection.clbm_grid_search(spectral_matrix(spark, sf_dir), [1, 2], [1, 2], n_starts=2, **SEARCH)
     return search_result(found)
 
 
 @query("lbm_grid_search")
 def lbm_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.lbm_grid_search(spectral_matrix(spark, sf_dir), [1, 2], [1, 2], n_starts=1, **SEARCH)
+    found = selection.lbm_grid_search(spectral_matrix(spark, sf_dir), [1, 2], [1, 2], n_starts=2, **SEARCH)
     return search_result(found)
 
 
 @query("lbm_greedy_search")
 def lbm_greedy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.lbm_greedy_search(spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=1, **SEARCH)
+    found = selection.lbm_greedy_search(spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=2, **SEARCH)
     return search_result(found)
 
 
 @query("clbm_greedy_search")
 def clbm_greedy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = selection.clbm_greedy_search(
-        spectral_matrix(spark, sf_dir), [1, 2], max_l=3, n_starts=1, split_starts=1, **SEARCH)
+        spectral_matrix(spark, sf_dir), [1, 2], max_l=3, n_starts=2, split_starts=2, **SEARCH)
     return search_result(found)
 
 
 @query("clbm_after_lbm_grid")
 def clbm_after_lbm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = selection.clbm_after_lbm_grid(
-        spectral_matrix(spark, sf_dir), [1, 2], [2], n_starts=1, inner_starts=1, **SEARCH)
+        spectral_matrix(spark, sf_dir), [1, 2], [2], n_starts=2, inner_starts=2, **SEARCH)
     return search_result(found)
 
 
 @query("clbm_after_lbm_greedy")
 def clbm_after_lbm_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = selection.clbm_after_lbm_greedy(
-        spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=1, inner_starts=1, **SEARCH)
+        spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=2, inner_starts=2, **SEARCH)
     return search_result(found)
 
 
