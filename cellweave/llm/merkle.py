@@ -88,7 +88,7 @@ def with_next(docs: DataFrame, id_col: str, columns: dict[str, Column]) -> DataF
     are spread by the hash of the row. Rows that share an id stay together."""
     spark = docs.sparkSession
     low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    rows = min(max(n // (4 * shuffle_partitions(spark)), ROWS_PER_BAND[0]), ROWS_PER_BAND[1])
+    rows = min(max(n // (16 * shuffle_partitions(spark)), ROWS_PER_BAND[0]), ROWS_PER_BAND[1])
     bands = max(1, n // rows)
     low, width = (low, (high - low) // bands + 1) if n else (0, 1)
     # Decimals, as the difference of two 64-bit ids may not fit into one.
