@@ -13,9 +13,9 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     A large star hangs the greater neighbours of a node on the least node it knows, a small
     star the lesser ones; both in turn, until nothing changes (about log n rounds). Only the
-    links are shuffled. Minima are added up before the shuffle, and the joins that bring them
-    back have no order to keep, so Spark may split the partitions of a hot node. Each round
-    is stored in the shared folder and the one before deleted. Links with a null end and
+    links are shuffled. Minima are added up before the shuffle and stored before they are joined
+    back to the links, so Spark may split the partitions of a hot node; after a large star a
+    node has few lesser neighbours. Each round is stored and the one before deleted. Links with a null end and
     loops are passed over; repeated links count once."""
     a, b = F.col(left), F.col(right)
     edges = stored(
@@ -25,9 +25,10 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     seen = signature(edges)
     while seen[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # Stored, so that the join is one of two plain tables, whose hot nodes Spark splits.
+        nearest = stored(both.groupBy("u").agg(F.min("v").alias("m")), "nearest")
         large = (
-            both.join(least, "u")
+            both.join(nearest, "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
             .distinct()
@@ -42,6 +43,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         fresh = stored(small, "links")
         now = signature(fresh)
         discard(edges)
+        discard(nearest)
         edges = fresh
         if now == seen:
             break
