@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.draws import pick_category, uniform
 from cellweave.operators.model import EmptyClusterError
+from cellweave.operators.ranks import first_of_each
 from cellweave.runtime import broadcast_if_small, checkpoint
 
 SAMPLE_SIZE = 20
@@ -108,12 +109,9 @@ def check_sizes(labels: DataFrame, k: int) -> None:
 def kmeans_init_random(items: Items, k: int, seed: int) -> DataFrame:
     """Each centre is the mean of up to 20 random items; ``(k, attr, feat)``."""
     m = min(items.n_items, SAMPLE_SIZE)
-    keys = items.cells.select("item").distinct()
-    chosen = None
-    for c in range(k):
-        ordered = keys.orderBy(uniform("k", F.col("item"), c, seed), "item").limit(m)
-        picked = ordered.select("item", F.lit(c).alias("k"))
-        chosen = picked if chosen is None else chosen.unionByName(picked)
+    numbers = F.sequence(F.lit(0), F.lit(k - 1))
+    spread = items.cells.select("item").distinct().withColumn("k", F.explode(numbers))
+    chosen = first_of_each(spread, ["k"], uniform("k", F.col("item"), F.col("k"), seed), "item", m)
     means = F.array(*[F.avg(F.get("feat", F.lit(i))) for i in range(items.dim)])
     return (
         items.cells.join(broadcast_if_small(chosen, m * k, 32), "item")

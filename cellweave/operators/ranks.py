@@ -38,6 +38,14 @@ def dense_index(df: DataFrame, columns: Sequence[str], out: str, n_rows: int) ->
     )
 
 
+def first_of_each(df: DataFrame, groups: Sequence[str], u: Column, tie: str, m: int) -> DataFrame:
+    """The ``m`` rows of each group that come first in the order of a hash uniform, ties by id,
+    from one pass: every task keeps ``m`` rows of a group before they are shuffled."""
+    order = Window.partitionBy(*groups).orderBy("_u", tie)
+    ranked = df.withColumn("_u", u).withColumn("_place", F.row_number().over(order))
+    return ranked.where(F.col("_place") <= m).drop("_u", "_place")
+
+
 def uniform_rank(
     df: DataFrame, groups: Sequence[str], u: Column, tie: str, out: str, n_rows: int
 ) -> DataFrame:

@@ -17,6 +17,7 @@ from cellweave.operators.matrix import CellMatrix, wide_row_part
 from cellweave.operators.model import BlockModel, EmptyClusterError
 from cellweave.operators.partitions import balanced_col_partition, balanced_row_partition
 from cellweave.operators.pca import project_loadings
+from cellweave.operators.ranks import first_of_each
 from cellweave.operators.stats import block_sums, unpack_sums
 from cellweave.runtime import broadcast_if_small, checkpoint, run_together
 
@@ -31,14 +32,10 @@ def sampled_block_cells(
     matrix: CellMatrix, blocks: Sequence[tuple[int, int]], m: int, seed: int
 ) -> DataFrame:
     """For each block ``m`` random rows and one random column of each, ``(l, k, feat)``."""
-    rows = matrix.rows()
-    chosen = None
-    for l, k in blocks:
-        order = uniform("b", F.col("row_id"), l, k, seed)
-        picked = rows.orderBy(order, "row_id").limit(m).select(
-            "row_id", F.lit(l).alias("l"), F.lit(k).alias("k")
-        )
-        chosen = picked if chosen is None else chosen.unionByName(picked)
+    names = F.array(*[F.struct(F.lit(l).alias("l"), F.lit(k).alias("k")) for l, k in blocks])
+    spread = matrix.rows().select("row_id", F.inline(names))
+    order = uniform("b", F.col("row_id"), F.col("l"), F.col("k"), seed)
+    chosen = first_of_each(spread, ["l", "k"], order, "row_id", m)
     column = F.struct(uniform("s", F.col("row_id"), F.col("col_id"), F.col("l"), F.col("k"), seed),
                       F.col("col_id"))
     return (
