@@ -388,21 +388,21 @@ def lbm_greedy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("clbm_greedy_search")
 def clbm_greedy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = selection.clbm_greedy_search(
-        spectral_matrix(spark, sf_dir), [1, 2], max_l=3, n_starts=2, split_starts=2, **SEARCH)
+        spectral_matrix(spark, sf_dir), [1, 2], max_l=3, n_starts=2, split_starts=1, **SEARCH)
     return search_result(found)
 
 
 @query("clbm_after_lbm_grid")
 def clbm_after_lbm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = selection.clbm_after_lbm_grid(
-        spectral_matrix(spark, sf_dir), [1, 2], [2], n_starts=2, inner_starts=2, **SEARCH)
+        spectral_matrix(spark, sf_dir), [1, 2], [2], n_starts=1, inner_starts=1, **SEARCH)
     return search_result(found)
 
 
 @query("clbm_after_lbm_greedy")
 def clbm_after_lbm_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = selection.clbm_after_lbm_greedy(
-        spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=2, inner_starts=2, **SEARCH)
+        spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=1, inner_starts=1, **SEARCH)
     return search_result(found)
 
 
