@@ -102,6 +102,66 @@ def test_one_of_each_group_keeps_clean_and_unnamed_rows(spark):
     assert ids == [1, 4, 5, 6, None, None]
 
 
+def shingle_set(text, size=5):
+    words = tuple((text or "").encode().lower().split())
+    return {words[i : i + size] for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def slow_groups(texts, similarity=0.8):
+    sets = {i: shingle_set(t) for i, t in texts}
+    near = [
+        (a, b) for a in sets for b in sets
+        if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9
+    ]
+    return slow_components(sets, near), near
+
+
+def found_groups(spark, texts):
+    return {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, texts)).collect()}
+
+
+def edits(rng, words, n):
+    """``words`` with ``n`` changed ones, so far apart that each changes five shingles."""
+    out = list(words)
+    for at in rng.sample(range(5, len(words) - 5, 6), n):
+        out[at] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def test_copies_in_a_bucket_of_other_orders_are_found(spark):
+    rng = random.Random(5)
+    texts = []
+    for base in range(0, 40, 10):
+        orders = [prose(rng, 200).split()]
+        orders += [rng.sample(orders[0], 200) for _ in range(2)]
+        near = edits(rng, orders[1], 2)
+        texts += [(base + i, " ".join(orders[k])) for i, k in ((1, 0), (2, 1), (4, 2))]
+        texts += [(base + 3, "  ".join(orders[1])), (base + 5, " ".join(near)), (base + 6, " ".join(orders[0][:150]))]
+    expected, near = slow_groups(texts)
+    assert expected[3] == 2 and expected[5] == 2 and len({expected[i] for i in (1, 2, 4, 6)}) == 4
+    assert found_groups(spark, texts) == expected
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8])
+def test_all_links_of_one_bucket_are_kept(spark, similarity):
+    """Whatever its hubs: sets of one bucket in chains, copies and strangers."""
+    rng = random.Random(6)
+    sets = {}
+    for chain in range(5):
+        for i in range(12):
+            begin, width = chain * 1000 + i * rng.choice([1, 3]), rng.choice([10, 11, 14])
+            sets[rng.randbytes(4)] = frozenset(range(begin, begin + width))
+    sets |= {rng.randbytes(4): frozenset(rng.sample(range(9000), 12)) for _ in range(30)}
+    members = spark.createDataFrame(
+        [(key, bytearray(n), len(s)) for n, s in sets.items() for key in (1, 2)], "key bigint, node binary, size bigint"
+    )
+    table = spark.createDataFrame([(bytearray(n), sorted(s)) for n, s in sets.items()], "node binary, shingles array<bigint>")
+    rows = simhash.bucket_links(members, table, similarity).collect()
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9]
+    found = {n: n for n in sets} | {bytes(r.node): bytes(r.root) for r in rows}
+    assert near and found == slow_components(sets, near)
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(8, 60)]
