@@ -162,6 +162,20 @@ def test_all_links_of_one_bucket_are_kept(spark, similarity):
     assert near and found == slow_components(sets, near)
 
 
+def test_near_copies_at_the_threshold_are_found(spark):
+    rng = random.Random(7)
+    texts = []
+    for i in range(60):
+        words = prose(rng, rng.randrange(80, 200)).split()
+        n = 1
+        while (len(words) - 4 - 5 * (n + 1)) / (len(words) - 4 + 5 * (n + 1)) >= 0.8:
+            n += 1
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edits(rng, words, n)))]
+    expected, near = slow_groups(texts)
+    assert len(near) == 60
+    assert found_groups(spark, texts) == expected
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(8, 60)]
