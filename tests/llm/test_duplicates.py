@@ -176,6 +176,21 @@ def test_near_copies_at_the_threshold_are_found(spark):
     assert found_groups(spark, texts) == expected
 
 
+def test_texts_below_the_threshold_are_kept(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        words = prose(rng, 300).split()
+        n = 7 + i % 5
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edits(rng, words, n)))]
+    line = prose(rng, 12) + " "
+    texts += [(200 + i, line * 40 + prose(rng, 100)) for i in range(6)]
+    expected, near = slow_groups(texts)
+    assert near == []
+    assert found_groups(spark, texts) == expected
+    assert simhash.one_of_each_group(documents(spark, texts)).count() == len(texts)
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(8, 60)]
