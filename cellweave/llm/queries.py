@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, decontaminate, html_text, language, merkle, mixing, simhash, suffixes, tokens, toxicity
+from cellweave.llm import (
+    chat, decontaminate, html_text, language, manifest, merkle, mixing, simhash, suffixes, tokens, toxicity,
+)
 from cellweave.llm.common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,6 +208,100 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents by language, with some rows tampered with after it was
+    made, and what their proofs then come to."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    n_chars = F.when(altered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    claimed = manifest.leaf(*[n_chars if name == "n_chars" else F.col(name) for name in columns])
+    made = manifest.manifest(docs, manifest.leaf(*map(F.col, columns)), carried={"claimed": claimed})
+    return made.select(
+        "doc_id", "leaf", "subroot", "root",
+        manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        manifest.folded(F.col("claimed"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Fixed value: the polynomial of CRC-32, reversed.
+CRC_SQL = """
+bits AS (
+  SELECT range AS i, 0 AS step, CAST(range AS UBIGINT) AS c FROM range(256)
+  UNION ALL
+  SELECT i, step + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE step < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS steps FROM bits WHERE step = 8
+)"""
+
+
+def crc_sql(octets: str) -> str:
+    """crc32 of a list of octets in a query that has ``crc_table``."""
+    turn = "xor(steps[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)"
+    return f"xor(list_reduce({octets}, lambda c, b: {turn}, 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def field_sql(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(field_sql, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+
+def tree_sql(name: str, leaves: str) -> str:
+    """Table ``name(g, lv, i, h)``: all nodes over ``leaves(g, i, h)``, level by level."""
+    return f"""
+{name} AS (
+  SELECT g, 0 AS lv, i, h, count(*) OVER (PARTITION BY g) AS n FROM {leaves}
+  UNION ALL
+  SELECT g, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 1) // 2
+  FROM {name} WHERE n > 1 GROUP BY g, lv, i // 2
+)"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL}, docs AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, {leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)")} % 7 = 0
+              THEN {leaf_sql("(n_chars + 1)")} ELSE {leaf_sql("n_chars")} END AS claimed
+  FROM documents, crc_table
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs
+), leaves AS (
+  SELECT g, i, leaf AS h FROM ordered
+), {tree_sql("lower_tree", "leaves")}, subroots AS (
+  SELECT g, h AS subroot FROM lower_tree WHERE n = 1
+), tops AS (
+  SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, subroot AS h, g AS lang_key FROM subroots
+), {tree_sql("upper_tree", "tops")}, whole AS (
+  SELECT h AS root FROM upper_tree WHERE n = 1
+), walked AS (
+  SELECT o.doc_id, o.leaf, o.claimed, o.g, o.i, 0 AS k, CAST('' AS VARCHAR) AS proof, o.claimed AS at_node FROM ordered o
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.claimed, w.g, w.i // 2, w.k + 1, w.proof || coalesce(s.h, ''),
+         sha256(CASE WHEN w.i % 2 = 1 THEN s.h || w.at_node ELSE w.at_node || coalesce(s.h, '') END)
+  FROM walked w JOIN lower_tree t ON t.g = w.g AND t.lv = w.k AND t.i = w.i AND t.n > 1
+  LEFT JOIN lower_tree s ON s.g = w.g AND s.lv = w.k AND s.i = xor(w.i, 1)
+), grounded AS (
+  SELECT w.doc_id, w.leaf, w.proof, w.at_node, x.subroot, p.i, 0 AS k
+  FROM walked w JOIN lower_tree t ON t.g = w.g AND t.lv = w.k AND t.i = w.i AND t.n = 1
+  JOIN subroots x ON x.g = w.g JOIN tops p ON p.lang_key = w.g
+), climbed AS (
+  SELECT * FROM grounded
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.proof || coalesce(s.h, ''),
+         sha256(CASE WHEN w.i % 2 = 1 THEN s.h || w.at_node ELSE w.at_node || coalesce(s.h, '') END),
+         w.subroot, w.i // 2, w.k + 1
+  FROM climbed w JOIN upper_tree t ON t.lv = w.k AND t.i = w.i AND t.n > 1
+  LEFT JOIN upper_tree s ON s.lv = w.k AND s.i = xor(w.i, 1)
+)
+SELECT c.doc_id, c.leaf, c.subroot, root, sha256(c.proof) AS proof_sha256, c.at_node AS folded_root,
+       c.at_node = root AS verified
+FROM climbed c, whole JOIN upper_tree t ON t.n = 1 WHERE c.k = t.lv
+"""
+
+
 OP8_SQL = r"""
 WITH words AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
@@ -239,10 +335,12 @@ QUERIES: dict[str, Query] = {
     "op8_suffixes": op8_suffixes,
     "op9_tokens": op9_tokens,
     "op10_chat": op10_chat,
+    "op11_manifest": op11_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": OP1_SQL,
     "op6_merkle": OP6_SQL,
     "op8_suffixes": OP8_SQL,
+    "op11_manifest": OP11_SQL,
 }
