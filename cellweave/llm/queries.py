@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import (
-    chat, decontaminate, html_text, language, manifest, merkle, mixing, simhash, suffixes, tokens, toxicity,
+    bpe, chat, decontaminate, html_text, language, manifest, merkle, mixing, simhash, suffixes, tokens, toxicity,
 )
 from cellweave.llm.common import id_remainder
 
@@ -324,6 +324,18 @@ SELECT doc_id, CAST(min(pos) AS INTEGER) AS begin, CAST(max(pos) + 50 AS INTEGER
 FROM grouped GROUP BY doc_id, stretch
 """
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all documents, and the bytes that the tokens come to."""
+    coded = bpe.encode(table(spark, sf_dir, "documents"), offsets=False)
+    return bpe.decode(coded, text=False, carried=("ids", "n_split")).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_split",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -336,6 +348,7 @@ QUERIES: dict[str, Query] = {
     "op9_tokens": op9_tokens,
     "op10_chat": op10_chat,
     "op11_manifest": op11_manifest,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES: dict[str, str] = {
