@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import (
-    bpe, chat, decontaminate, html_text, language, manifest, merkle, mixing, simhash, suffixes, tokens, toxicity,
+    bpe, chat, decontaminate, html_text, language, manifest, merkle, mixing, simhash, spelling, suffixes, tokens,
+    toxicity,
 )
 from cellweave.llm.common import id_remainder
 
@@ -324,6 +325,54 @@ SELECT doc_id, CAST(min(pos) AS INTEGER) AS begin, CAST(max(pos) + 50 AS INTEGER
 FROM grouped GROUP BY doc_id, stretch
 """
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the long words of all documents, some of them planted."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), min_length=7, min_count=2, drop_one_in=31)
+    return spelling.spelling_variants(words, factor=10)
+
+
+#: Octets of a text in UTF-8 as a list.
+OCTETS_SQL = "list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::UBIGINT)"
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_SQL}, runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+), of_doc AS (
+  SELECT doc_id, run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS marked
+  FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, {crc_sql(OCTETS_SQL.format("marked"))} AS h FROM of_doc, crc_table
+), written AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+              ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM written WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cuts AS (
+  SELECT word, n, unnest(range(length(word))) AS i FROM words
+), shapes AS (
+  SELECT word, n, i, left(word, i) AS head, substr(word, i + 2) AS tail FROM cuts
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shapes a JOIN shapes b
+    ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM shapes a JOIN words b ON a.head || a.tail = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM shapes a JOIN words b ON a.head || a.tail = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), followed AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL
+  SELECT f.word, f.next, g.form FROM followed f JOIN forms g ON g.word = f.next
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN followed r ON r.word = f.word AND r.next IS NULL
+"""
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of all documents, and the bytes that the tokens come to."""
     coded = bpe.encode(table(spark, sf_dir, "documents"), offsets=False)
@@ -348,6 +397,7 @@ QUERIES: dict[str, Query] = {
     "op9_tokens": op9_tokens,
     "op10_chat": op10_chat,
     "op11_manifest": op11_manifest,
+    "op12_spelling": op12_spelling,
     "op13_bpe": op13_bpe,
 }
 
@@ -356,4 +406,5 @@ ORACLES: dict[str, str] = {
     "op6_merkle": OP6_SQL,
     "op8_suffixes": OP8_SQL,
     "op11_manifest": OP11_SQL,
+    "op12_spelling": OP12_SQL,
 }
