@@ -122,15 +122,16 @@ def near_duplicates(
 
 #: Bands of least hashes that find candidates, and least hashes in each.
 BANDS, DEPTH = 25, 5
-#: Nodes of a bucket that all others are compared with in the next round, for each in this one.
-GROWTH = 4
-
-
+#: Bits in which the sketches of two sets may differ before they are held to be unlike: one bit for each
+#: least hash. Sets of similarity 0.8 differ in 12.5 of the 125, and in more than 34 with
+#: probability 10^-8.
+SKETCH_BITS = 34
 def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A key of each text for each band: texts whose sets have Jaccard similarity s share it with
-    probability s ** DEPTH. ``hashes`` are the sets of all texts, ``first`` where each begins
-    among them (one entry more than texts); empty sets have key 0."""
-    keys = np.zeros((BANDS, len(first) - 1), np.uint64)
+    """A key of each text for each band, and in two rows more its sketch: texts whose sets have
+    Jaccard similarity s share a key with probability s ** DEPTH, and a bit of the sketch with
+    probability (1 + s) / 2. ``hashes`` are the sets of all texts, ``first`` where each begins
+    among them (one entry more than texts); empty sets have zeros."""
+    keys = np.zeros((BANDS + 2, len(first) - 1), np.uint64)
     full = np.flatnonzero(np.diff(first))
     if not len(full):
         return keys
@@ -141,6 +142,8 @@ def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         for mask, factor in zip(masks[band], factors[band] | np.uint64(1), strict=True):
             least = np.minimum.reduceat((hashes ^ mask) * factor, first[:-1][full])
             key = mixed(key * np.uint64(MIX_2) + least)
+            sketch = BANDS + band % 2
+            keys[sketch, full] = (keys[sketch, full] << np.uint64(1)) | (least >> np.uint64(9) & np.uint64(1))
         keys[band, full] = key
     return keys
 
@@ -166,8 +169,8 @@ def digested(sets: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def set_prints(docs: DataFrame, size: int) -> DataFrame:
-    """``id, node, size, k0..``: digest and size of the set of shingles of each of ``docs(id, text)``,
-    and its keys."""
+    """``id, node, size, k0.., s0, s1``: digest and size of the set of shingles of each of
+    ``docs(id, text)``, its keys and its sketch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, sizes, keys = [], [], []
@@ -180,7 +183,7 @@ def set_prints(docs: DataFrame, size: int) -> DataFrame:
         columns = [batch.column(0), pa.concat_arrays(nodes), pa.array(np.concatenate(sizes)), *map(pa.array, rows)]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["id", "node", "size", *(f"k{i}" for i in range(BANDS))]
+    names = ["id", "node", "size", *(f"k{i}" for i in range(BANDS)), "s0", "s1"]
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
         by_batch(run), f"id {kind}, node binary, " + ", ".join(f"{name} bigint" for name in names[2:])
@@ -202,49 +205,66 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(by_batch(run), "node binary, shingles array<bigint>")
 
 
+#: What the members of a bucket are compared for: links with each other, or of one kind with the other.
+ALL, CLOSE, FAR = 0, 1, 2
+
+
+def open_buckets(members: DataFrame, *picked: Column) -> DataFrame:
+    """``key`` of the buckets of ``members(key, node, root, kind)`` that may still hold a link: whose
+    members are in several components, and of both kinds if they have kinds."""
+    spread = members.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"),
+        F.min("kind").alias("low_kind"), F.max("kind").alias("high_kind"), *picked,
+    )
+    return spread.where((F.col("low") != F.col("high")) & ((F.col("high_kind") == ALL) | (F.col("low_kind") != F.col("high_kind"))))
+
+
+def at_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``members`` with the root of each node, itself if it has no link yet."""
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    known = roots.select(F.col("node").alias("at"), F.col("root").alias("at_root"))
+    joined = members.join(known, F.col("node") == F.col("at"), "left")
+    return joined.select(*members.columns, F.coalesce("at_root", "node").alias("root"))
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``node, root`` of the components of all links of ``similarity`` or more inside the buckets of
     ``members(key, node, size)``, for every node that has one.
 
-    In each round some nodes of a bucket, its hubs, are compared with all others that are not
-    yet in their component, and leave it; a bucket is done when the rest of it is in one
-    component. So no two nodes of a bucket end apart without having been compared. A bucket of
-    copies is done after one hub or few; hubs grow in number from round to round, so that the
-    rounds are few in a bucket of texts that are not alike."""
-    links, roots, hubs = None, None, 1
+    In each round the hub of a bucket, the member that meets most others (of copies that is mostly
+    the original), is compared with all others and leaves it. Buckets whose rest is in one
+    component are done; the rest of the others is dealt out anew by ``refined``, in such a way
+    that two members that may be alike meet again. So no two nodes of a bucket end apart
+    unless they have been compared or cannot be alike, and a round compares each member of a
+    bucket once."""
+    sketch = [c for c in ("s0", "s1") if c in members.columns]
+    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    degrees = members.join(met, "key").groupBy("node").agg(F.sum("n").alias("degree"))
+    members = members.join(degrees, "node").select("key", "node", "size", *sketch, "degree", F.lit(ALL).alias("kind"))
     # By the ratio of sizes alone, without rounding a similarity that is met exactly.
-    fits = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - 1e-9
+    fits = F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size") - 1e-9
+    if sketch:
+        fits &= sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}"))) for c in sketch) <= SKETCH_BITS
+    hub = F.max(F.struct("degree", "node", "size", "root", *sketch)).alias("hub")
+    roots = None
     while True:
-        placed = members.withColumn("root", F.col("node")) if roots is None else members.join(
-            roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left"
-        ).select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-        placed = stored(placed, "members")
-        spread = stored(
-            placed.groupBy("key").agg(
-                F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("least"),
-                F.count(F.lit(1)).alias("n"),
-            ).where("low != high").select("key", "least", "n"),
-            "open-buckets",
-        )
-        if spread.isEmpty():
+        placed = stored(at_roots(members, roots), "members")
+        hubs = stored(open_buckets(placed, hub).select("key", "hub"), "hubs")
+        if hubs.isEmpty():
             break
-        step = F.greatest(F.floor(F.col("n") / hubs), F.lit(1))
-        is_hub = (F.col("node") == F.col("least")) | ((F.lit(hubs) > 1) & (F.pmod(F.xxhash64("node"), step) == 0))
-        marked = stored(placed.join(spread, "key").withColumn("is_hub", is_hub).drop("least", "n"), "hubs")
-        chosen = marked.where("is_hub").select(
-            "key", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("size").alias("hub_size")
-        )
-        pairs = marked.join(chosen, "key").where((F.col("root") != F.col("hub_root")) & fits)
-        pairs = stored(
-            pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs"
-        )
-        found = stored(similar_pairs(pairs, sets, similarity), "similar")
-        links = found if links is None else links.unionAll(found)
-        roots = components(links, "a", "b")
-        discard(placed)
-        discard(pairs)
-        members, hubs = marked.where("not is_hub").select("key", "node", "size"), hubs * GROWTH
-    return components(members.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b")), "a", "b") if roots is None else roots
+        rest = stored(placed.join(hubs, "key").where(F.col("node") != F.col("hub.node")), "rest")
+        pairs = rest.where((F.col("root") != F.col("hub.root")) & fits).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        pairs = stored(pairs.distinct(), "pairs")
+        found = similar_pairs(pairs, sets, similarity)
+        stars = found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        fresh = stored(components(stars, "a", "b"), "components")
+        members = stored(refined(at_roots(rest.drop("root"), fresh), sets, similarity), "lists")
+        for table in (placed, hubs, rest, pairs, *([] if roots is None else [roots])):
+            discard(table)
+        roots = fresh
+    none = members.limit(0).select("node", F.col("node").alias("root"))
+    return none if roots is None else roots
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -256,6 +276,54 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(own, "a").join(other, "b").where(common >= similarity * total - 1e-9).select("a", "b")
 
 
+def refined(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """New buckets for the members ``rest(key, node, root, hub, ...)`` of buckets without their hub.
+
+    Every member is written as its difference from the hub, the elements that one of the two sets
+    has and the other has not. The distance of two members is that of their differences: with
+    t = (1 - s) / (1 + s), sets x and y have similarity s or more just if the differences have
+    (|dx| - t |x| + |dy| - t |y|) / 2 elements in common or more. Members close to the hub are in
+    one component already, so one of the two is far from it, and the least |d| - t |d's set| among
+    the far ones, or the close ones, says how many elements a member must share. Of its elements,
+    the rarest first, the first |d| - that + 1 therefore hold one that it shares with any partner:
+    they are its new buckets, one list for far members with each other and one for close
+    members with far ones. Elements that no other member has need no bucket."""
+    t = (1 - similarity) / (1 + similarity)
+    sketch = [c for c in ("s0", "s1") if c in rest.columns]
+    still = rest.join(open_buckets(rest).select("key"), "key", "left_semi")
+    asked = still.select(F.col("hub.node").alias("hub"), "node", "size", *sketch, "degree").distinct()
+    own = sets.select("node", F.col("shingles").alias("own"))
+    other = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
+    diff = F.concat(F.array_except("own", "other"), F.array_except("other", "own"))
+    differences = asked.join(own, "node").join(other, "hub").withColumn("diff", diff).select(
+        "hub", "node", "size", *sketch, "degree", "diff",
+        (F.size("diff") > t * (F.col("size") + F.size("other")) + 1e-9).alias("far"),
+        (F.size("diff") - t * F.col("size")).alias("slack"),
+    )
+    differences = stored(differences, "differences")
+    least = differences.groupBy("hub").agg(
+        F.min(F.when(F.col("far"), F.col("slack"))).alias("least_far"), F.min(F.when(~F.col("far"), F.col("slack"))).alias("least_close")
+    )
+    elements = differences.select("hub", "node", F.explode("diff").alias("element"))
+    known = stored(elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "elements")
+    shared = elements.join(known, ["hub", "element"]).groupBy("hub", "node").agg(
+        F.sort_array(F.collect_list(F.struct("n", "element"))).alias("shared")
+    )
+    ready = differences.drop("diff").join(shared, ["hub", "node"]).join(stored(least, "least"), "hub")
+
+    def first(slack: str, kind: int, lists: int) -> Column:
+        common = F.greatest(F.ceil((F.col("slack") + F.col(slack)) / 2 - 1e-9), F.lit(1))
+        length = F.greatest(F.size("shared") - common + 1, F.lit(0)).cast("int")
+        taken = F.when(F.col(slack).isNull(), F.slice("shared", 1, 0)).otherwise(F.slice("shared", F.lit(1), length))
+        return F.transform(taken, lambda e: F.struct(F.xxhash64("hub", e["element"], F.lit(lists)).alias("key"), F.lit(kind).alias("kind")))
+
+    far = F.concat(first("least_far", ALL, 0), first("least_close", FAR, 1))
+    lists = F.when(F.col("far"), far).otherwise(first("least_far", CLOSE, 1))
+    return ready.select(F.explode(lists).alias("in"), "node", "size", *sketch, "degree").select(
+        "in.key", "node", "size", *sketch, "degree", "in.kind"
+    )
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5
 ) -> DataFrame:
@@ -265,23 +333,26 @@ def similar_groups(
     Texts with the same set are one class first. Then the least hashes of a set under several
     permutations are put together to keys; a pair of similarity 0.8 misses all of them with
     probability (1 - 0.8^5)^25, or 0.00005, whatever the length of the texts, and one of 0.85
-    with 0.0000008. What meets on a key is compared by the sets themselves, so every link is exact. Texts
+    with 0.0000008; its sketches pass it over with 0.00000001. What meets on a key is compared by the sets themselves, so every link is exact. Texts
     without words are one class; repeated rows get the same group; an empty table gives an
     empty result."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = stored(set_prints(rows, size), "fingerprints")
     bands = [f"k{i}" for i in range(BANDS)]
     classes = stored(
-        prints.groupBy("node").agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in ["size", *bands]]), "classes"
+        prints.groupBy("node").agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in ["size", "s0", "s1", *bands]]), "classes"
     )
-    keyed = classes.where("size > 0").select("node", "size", F.explode(F.array(*bands)).alias("key"))
+    keyed = classes.where("size > 0").select("node", "size", "s0", "s1", F.explode(F.array(*bands)).alias("key"))
     shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
-    members = stored(keyed.join(shared, "key").select("key", "node", "size"), "members")
+    members = stored(keyed.join(shared, "key").select("key", "node", "size", "s0", "s1"), "members")
     wanted = stored(members.select("node").distinct().join(classes.select("node", "rep"), "node"), "candidates")
     texts = rows.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
     # Rows that share an id may hold other texts, and a class has one set.
     sets = sets_of(texts, size).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    roots = bucket_links(members, stored(sets, "sets"), similarity)
+    sets = stored(sets, "sets")
+    roots = bucket_links(members, sets, similarity)
+    for table in (shared, members, wanted, sets):
+        discard(table)
     named = classes.select("node", "rep").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(
         "node", "rep", F.coalesce("root", "node").alias("root")
     )
