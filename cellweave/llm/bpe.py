@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Regex, Tokenizer
+from tokenizers import Regex
 from tokenizers.models import BPE
-from tokenizers.pre_tokenizers import ByteLevel, Split
+from tokenizers.pre_tokenizers import Split
 
 from cellweave.llm.common import text_slices
 from cellweave.llm.tokens import PATTERN, VOCABULARY
@@ -68,6 +68,8 @@ class Pieces:
 
     known: dict[str, int] = field(default_factory=dict)
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    #: How many tokens of a piece begin inside a character.
+    split: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     #: Id, and first and last character (plus one) of each token in its piece.
     tokens: np.ndarray = field(default_factory=lambda: np.zeros((3, 0), np.int32))
 
@@ -79,18 +81,18 @@ class Encoder:
         ranks, chars = read_ranks(ranks_file), byte_characters()
         named = {token: "".join(map(chars.__getitem__, token)) for token in ranks}
         merges = [(named[a], named[b]) for a, b in merges_of(ranks)]
-        model = BPE({named[t]: i for t, i in ranks.items()}, merges, ignore_merges=True, cache_capacity=0)
-        self.library = Tokenizer(model)
-        self.library.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = BPE({named[t]: i for t, i in ranks.items()}, merges, ignore_merges=True, cache_capacity=0)
+        self.characters = {byte: ord(char) for byte, char in chars.items()}
         self.cut = Split(Regex(pattern), "isolated")
         self.quick = regex.compile(pattern)
         self.unsettled = re.compile(f"[^{SETTLED}]")
         self.pieces = Pieces()
         octets = {char: byte for byte, char in chars.items()}
         table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-        for token, i in self.library.get_vocab().items():
-            table[i] = bytes(map(octets.__getitem__, token))
+        for token, i in ranks.items():
+            table[i] = bytes(map(octets.__getitem__, named[token]))
         self.table = pa.array([*table, None], pa.binary())  # the last stands for ids that are not known
+        self.lengths = np.array([len(token or b"") for token in table], np.int64)
 
     def parts(self, text: str) -> Iterator[tuple[int, list[str]]]:
         """The pieces of a text, some at a time, and the character where they begin."""
@@ -104,55 +106,75 @@ class Encoder:
                 yield begin, self.quick.findall(part)
             begin += len(part)
 
+    def written(self, piece: str) -> str:
+        """A piece with one character for every byte."""
+        return piece.encode().decode("latin-1").translate(self.characters)
+
     def places(self, pieces: list[str]) -> np.ndarray:
-        """The number of each piece among those that are known; new ones are encoded together."""
+        """The number of each piece among those that are known; new ones are encoded."""
         store = self.pieces
         fresh = list(set(pieces).difference(store.known))
         if fresh:
-            made = self.library.encode_batch(fresh, add_special_tokens=False)
-            counts = np.array([len(m) for m in made])
-            ids = np.concatenate([np.array(m.ids, np.int32) for m in made])
-            spans = np.concatenate([np.array(m.offsets, np.int32).reshape(-1, 2) for m in made])
+            made = [self.model.tokenize(self.written(piece)) for piece in fresh]
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            ids = np.fromiter((token.id for m in made for token in m), np.int32, counts.sum())
+            ends = np.cumsum(self.lengths[ids])
+            data = np.frombuffer("".join(fresh).encode(), np.uint8)
+            character = np.cumsum((data & 0xC0) != 0x80) - 1  # of every byte, over all new pieces
+            first, last = character[ends - self.lengths[ids]], character[ends - 1] + 1
+            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+            inside = np.concatenate([[False], first[1:] < last[:-1]])
+            split = np.bincount(np.repeat(np.arange(len(fresh)), counts)[inside], minlength=len(fresh))
+            begin = np.repeat(np.cumsum(sizes) - sizes, counts)
             store.known.update(zip(fresh, range(len(store.known), len(store.known) + len(fresh)), strict=True))
             store.first = np.concatenate([store.first, store.first[-1] + np.cumsum(counts)])
-            store.tokens = np.concatenate([store.tokens, np.stack([ids, *spans.T])], axis=1)
+            store.split = np.concatenate([store.split, split])
+            store.tokens = np.concatenate([store.tokens, np.stack([ids, first - begin, last - begin]).astype(np.int32)], axis=1)
         return np.fromiter(map(store.known.__getitem__, pieces), np.int64, len(pieces))
 
-    def tokens_of(self, parts: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens of parts of texts as three rows, and how many each part has."""
+    def tokens_of(self, parts: list[tuple[int, list[str]]], offsets: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of parts of texts, and how many each part has and how many of these begin
+        inside a character. The tokens are one row of ids or, with ``offsets``, three rows."""
         if self.pieces.first[-1] > REMEMBERED:
             self.pieces = Pieces()
         pieces = list(chain.from_iterable(part for _, part in parts))
         at = self.places(pieces)
-        first, sizes = self.pieces.first[at], self.pieces.first[at + 1] - self.pieces.first[at]
+        first = self.pieces.first[at]
+        sizes = self.pieces.first[at + 1] - first
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        tokens = self.pieces.tokens[:, np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)]
-        chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        rows = self.pieces.tokens if offsets else self.pieces.tokens[:1]
+        tokens = rows[:, np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)]
         counts = np.array([len(part) for _, part in parts])
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        shift = np.array([begin for begin, _ in parts]) - chars[bounds[:-1]]
-        tokens[1:] += np.repeat(chars[:-1] + np.repeat(shift, counts), sizes).astype(np.int32)
-        return tokens, np.diff(ends[bounds])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Id, first and last character (plus one) of the tokens of all texts, as three rows, and how
-        many each text has."""
-        counts = np.zeros(len(texts), np.int64)
-        found, held, owners, size = [np.zeros((3, 0), np.int32)], [], [], 0
+        if offsets:
+            chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+            shift = np.array([begin for begin, _ in parts]) - chars[bounds[:-1]]
+            tokens[1:] += np.repeat(chars[:-1] + np.repeat(shift, counts), sizes).astype(np.int32)
+        split = np.concatenate([[0], np.cumsum(self.pieces.split[at])])
+        return tokens, np.stack([np.diff(ends[bounds]), np.diff(split[bounds])])
+
+    def encode(self, texts: list[str | None], offsets: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the tokens of all texts as one row or, with ``offsets``, with their first and
+        last character (plus one) as three; and how many tokens each text has and how many of
+        these begin inside a character, as two rows."""
+        counts = np.zeros((2, len(texts)), np.int64)
+        found, held, owners, size = [np.zeros((3 if offsets else 1, 0), np.int32)], [], [], 0
+
+        def look_up() -> None:
+            tokens, of_part = self.tokens_of(held, offsets)
+            np.add.at(counts, (slice(None), owners), of_part)
+            found.append(tokens)
+
         for i, text in enumerate(texts):
             for begin, part in self.parts(text or ""):
                 held.append((begin, part))
                 owners.append(i)
                 size += len(part)
                 if size >= HELD:
-                    tokens, of_part = self.tokens_of(held)
-                    np.add.at(counts, owners, of_part)
-                    found.append(tokens)
+                    look_up()
                     held, owners, size = [], [], 0
         if held:
-            tokens, of_part = self.tokens_of(held)
-            np.add.at(counts, owners, of_part)
-            found.append(tokens)
+            look_up()
         return np.concatenate(found, axis=1), counts
 
 
@@ -187,15 +209,10 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, texts in text_slices(batch.column(1), LONGEST):
-                (ids, first, last), counts = encoder(ranks_file.value, pattern).encode(texts)
+                tokens, (counts, split) = encoder(ranks_file.value, pattern).encode(texts, offsets)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                inside = np.concatenate([[0], first[1:] < last[:-1], [0]])
-                inside[bounds[:-1]] = 0  # the first token of a text begins no later than its first character
-                before = np.concatenate([[0], np.cumsum(inside[:-1])])
-                split = pa.array(np.diff(before[bounds]), pa.int32())
-                columns = [batch.column(0).slice(begin, end - begin), list_of(ids, bounds), split]
-                if offsets:
-                    columns += [list_of(first, bounds), list_of(last, bounds)]
+                lists = [list_of(values, bounds) for values in tokens]
+                columns = [batch.column(0).slice(begin, end - begin), lists[0], pa.array(split.astype(np.int32)), *lists[1:]]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

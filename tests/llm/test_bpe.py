@@ -79,6 +79,8 @@ def test_forgetting_pieces_and_small_portions_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "LONGEST", 9)
     found, other = bpe.Encoder(RANKS, PATTERN).encode(texts)
     assert found.tolist() == expected.tolist() and counts.tolist() == other.tolist()
+    ids, other = bpe.Encoder(RANKS, PATTERN).encode(texts, offsets=False)
+    assert ids.tolist() == expected[:1].tolist() and counts.tolist() == other.tolist()
 
 
 def test_offsets_are_characters_and_split_ones_are_counted(spark):
