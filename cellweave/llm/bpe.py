@@ -6,7 +6,6 @@ begin or end inside a character, so ids are decoded to bytes first and to text a
 
 from __future__ import annotations
 
-import base64
 import codecs
 import re
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Split
 
 from cellweave.llm.common import text_slices
-from cellweave.llm.tokens import PATTERN, VOCABULARY
+from cellweave.llm.tokens import PATTERN, VOCABULARY, read_ranks
 
 #: Characters whose classes are the same in every version of Unicode that the libraries hold, so
 #: that ``regex`` cuts them as the library does, in a third of the time.
@@ -48,10 +47,6 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def read_ranks(ranks_file: bytes) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
-
-
 def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     """The merges that a table of ranks allows, best first: every pair of tokens of lower rank that
     make up a token has the rank of that token."""

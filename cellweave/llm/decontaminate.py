@@ -30,9 +30,12 @@ def plain(text: str | None) -> str:
 
 @dataclass(frozen=True)
 class Item:
+    """A test item; a ``short`` one is looked for as whole words without any edit."""
+
     item_id: int
     text: str
     budget: int
+    short: bool = False
 
     def pieces(self) -> list[tuple[int, str]]:
         """The item in ``budget`` + 1 pieces of nearly equal length, with their offsets."""
@@ -110,7 +113,11 @@ class Matcher:
 
     def verify(self, item: Item, text: str, low: int, high: int) -> tuple[int, int, int]:
         """Distance, begin and end of the best match that begins about ``low`` to ``high``."""
-        if low == high and text.startswith(item.text, max(low, 0)):
+        if item.short:
+            end = low + len(item.text)
+            inside = text[max(low - 1, 0) : low + 1], text[end - 1 : end + 1]
+            return (1, 0, 0) if any(len(x) == 2 and x.isalnum() for x in inside) else (0, low, end)
+        if low == high and low >= 0 and text.startswith(item.text, low):
             return 0, low, low + len(item.text)
         first = max(0, low - item.budget)
         distance, end = best_match(item.text, text[first : high + len(item.text) + item.budget])
@@ -124,6 +131,8 @@ class Matcher:
 
 def stretches(starts: set[int], item: Item) -> list[tuple[int, int]]:
     """Begins that one edited copy can explain, put together."""
+    if item.short:
+        return [(start, start) for start in sorted(starts)]
     joined: list[tuple[int, int]] = []
     for start in sorted(starts):
         if joined and start - joined[-1][1] <= item.budget:
@@ -156,7 +165,8 @@ class Benchmark:
     def block(self, number: int) -> list[Item]:
         mine = F.pmod(F.xxhash64("item_id"), F.lit(self.n_blocks)) == number
         texts = {(row["item_id"], plain(row["text"])) for row in self.rows.where(mine).collect()}
-        return [Item(i, t, int(self.rate * len(t))) for i, t in sorted(texts) if len(t) >= self.min_chars]
+        whole = self.min_chars
+        return [Item(i, t, int(self.rate * len(t)) if len(t) >= whole else 0, len(t) < whole) for i, t in sorted(texts) if t]
 
 
 def matcher_of(block: list[Item]) -> Callable[[], Matcher]:
@@ -177,9 +187,11 @@ def find_contamination(
     """``id_col, item_id, distance, begin, end``: one row for each document and item it holds, with
     the best match (begin and end in the ``plain`` text).
 
-    An item of m characters may differ by ``rate`` * m edits. ``min_chars`` leaves out items too
-    short to tell a copy from chance, and so are null and empty ones; items with equal texts
-    are each reported. Documents are read whole and never moved; null and empty ones hold
+    An item of m characters may differ by ``rate`` * m edits. One of fewer than ``min_chars``
+    characters, too short to tell an edited copy from chance, must be there exactly and as whole
+    words; null and empty items are left out; items with equal texts are each reported. Of
+    matches with the least distance the one that begins first is given, of those that end in one
+    place the shortest; none begins before the text. Documents are read whole and never moved; null and empty ones hold
     nothing; repeated rows and null ids are reported like any other; an empty table on either
     side gives an empty result. Blocks of items are looked for one after another."""
     found = []

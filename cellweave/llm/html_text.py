@@ -6,6 +6,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -49,8 +50,11 @@ CLOSED_BY = {
 #: End tags do not reach over these.
 SCOPES = {"table", "td", "th", "caption", "html"}
 HEAD_TAGS = set("html head title meta link base script style noscript template".split())
-#: Nesting beyond this is put beside its parent, as browsers do; columns are padded up to this.
-MAX_DEPTH, MAX_PAD, MAX_SPAN = 150, 60, 1000
+#: Nesting beyond this is put beside its parent, as browsers do. Spans end here, as they do there.
+MAX_DEPTH, MAX_SPAN = 150, 1000
+#: A table may get so many blanks for each of its characters; columns of one that would need more
+#: are aligned up to this width only.
+MAX_BLANKS, MAX_PAD = 16, 60
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</[a-zA-Z][^>]*>?"""
@@ -59,7 +63,8 @@ TOKEN = re.compile(
 )
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
 KEEPS_SPACE = re.compile(r"white-space\s*:\s*(?:pre|break-spaces)", re.I)
 ALIGNED = re.compile(r"text-align\s*:\s*(right|center)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -70,12 +75,16 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
+    #: Whether its own text is seen, by its own or the nearest visibility given around it, and whether
+    #: some element in it is seen.
+    shown: bool = True
+    reveals: bool = False
 
     def number(self, name: str, default: int) -> int:
         found = re.match(r"\s*(-?\d{1,9})", self.attributes.get(name, ""))
         return int(found[1]) if found else default
 
-    def visible(self) -> bool:
+    def displayed(self) -> bool:
         return not (
             self.tag in HIDDEN
             or "hidden" in self.attributes
@@ -83,6 +92,9 @@ class Node:
             or UNSEEN.search(self.attributes.get("style", ""))
         )
 
+    def visible(self) -> bool:
+        return (self.shown or self.reveals) and self.displayed()
+
 
 def attributes_of(tag: str) -> dict[str, str]:
     found: dict[str, str] = {}
@@ -97,12 +109,14 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("html")
         self.stack = [self.root]
+        self.deeper: list[str] = []  # open elements that are nested too deep to have a place
 
     def text(self, value: str) -> None:
         if "&" in value:
             value = html.unescape(value)
         self.leave_head(None if value.strip() else "head")
-        self.stack[-1].children.append(value)
+        if self.stack[-1].shown:
+            self.stack[-1].children.append(value)
 
     def leave_head(self, tag: str | None) -> None:
         """A visible element or text ends an open head."""
@@ -119,6 +133,7 @@ class Builder:
                 at = i
         if at is not None:
             del self.stack[at:]
+            self.deeper.clear()
 
     def start(self, tag: str, source: str) -> None:
         self.leave_head(tag)
@@ -130,14 +145,32 @@ class Builder:
         if tag in CLOSED_BY:
             self.close(*CLOSED_BY[tag])
         node = Node(tag, attributes_of(source) if len(source) > len(tag) + 2 else {})
-        self.stack[-1].children.append(node)
-        if tag not in VOID and not (source.endswith("/>") and tag in {"svg", "math"}) and len(self.stack) < MAX_DEPTH:
+        node.shown = self.stack[-1].shown
+        for given in VISIBILITY.findall(node.attributes.get("style", "")):
+            node.shown = given.lower() in {"visible", "initial"}
+        if node.shown and not self.stack[-1].shown:
+            for around in reversed(self.stack):
+                if around.shown or around.reveals:
+                    break
+                around.reveals = True
+        if tag in VOID or (source.endswith("/>") and tag in {"svg", "math"}):
+            self.stack[-1].children.append(node)
+        elif len(self.stack) < MAX_DEPTH or (not node.displayed() and self.stack[-1].displayed()):
+            # What is not displayed needs no place in the layout, but has to hold what is in it.
+            self.stack[-1].children.append(node)
             self.stack.append(node)
+            self.deeper.clear()
+        else:
+            self.deeper.append(tag)
 
     def end(self, tag: str) -> None:
+        if tag in self.deeper:
+            del self.deeper[len(self.deeper) - 1 - self.deeper[::-1].index(tag) :]
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 del self.stack[i:]
+                self.deeper.clear()
                 return
             if self.stack[i].tag in SCOPES and tag not in {"table", "tbody", "thead", "tfoot", "tr", "body", "html"}:
                 return
@@ -309,13 +342,14 @@ def rows_of(node: Node) -> tuple[list[Node], list[Node]]:
     return rows, captions
 
 
-def table(node: Node, listed: int) -> list[str]:
-    """A table: cells of a column begin below each other, over spans of rows and columns."""
-    rows, captions = rows_of(node)
+def grid_of(rows: list[Node], listed: int) -> list[list[tuple[int, int, list[str], str]]]:
+    """By row its cells: first column, columns it spans, lines and alignment. Columns in which no
+    cell begins are left out, so that spans cannot make a table wider than it has cells."""
     grid: list[list[tuple[int, int, list[str], str]]] = []
-    blocked: dict[int, int] = {}  # columns that cells from above still fill, and for how many rows
+    blocked: list[tuple[int, int, int]] = []  # stretches of columns that cells from above still fill
     for row in rows:
-        cells, column = [], 0
+        cells, column, ahead = [], 0, sorted(blocked)
+        fresh = []
         for cell in row.children:
             if isinstance(cell, str):
                 if not cell.strip():
@@ -323,25 +357,41 @@ def table(node: Node, listed: int) -> list[str]:
                 cell = Node("td", {}, [cell])
             elif not cell.visible():
                 continue
-            while blocked.get(column, 0) > 0:
-                column += 1
+            while ahead and ahead[0][0] <= column:
+                column = max(column, ahead.pop(0)[1])
             span = min(max(cell.number("colspan", 1), 1), MAX_SPAN)
             below = min(max(cell.number("rowspan", 1), 1), MAX_SPAN)
             found = ALIGNED.search(cell.attributes.get("style", ""))
             align = (found[1] if found else cell.attributes.get("align", "")).lower()
             whole = cell if cell.tag in {"td", "th"} else Node("td", {}, [cell])
             cells.append((column, span, flow(whole, False, listed), align))
-            for i in range(column, column + span):
-                blocked[i] = max(blocked.get(i, 0), below)
+            fresh.append((column, column + span, below))
             column += span
-        blocked = {i: n - 1 for i, n in blocked.items() if n > 1}
+        blocked = [(a, b, n - 1) for a, b, n in blocked + fresh if n > 1]
         grid.append(cells)
+    begins = sorted({cell[0] for cells in grid for cell in cells})
+    return [
+        [
+            (bisect_left(begins, a), bisect_left(begins, a + span) - bisect_left(begins, a), lines, align)
+            for a, span, lines, align in cells
+        ]
+        for cells in grid
+    ]
+
+
+def table(node: Node, listed: int) -> list[str]:
+    """A table: cells of a column begin below each other, over spans of rows and columns."""
+    rows, captions = rows_of(node)
+    grid = grid_of(rows, listed)
     widths: dict[int, int] = {}
     for cells in grid:
         for column, span, lines, _ in cells:
             if span == 1:
                 widths[column] = max(widths.get(column, 0), *map(width, lines), 0) if lines else widths.get(column, 0)
-    widths = {column: min(size, MAX_PAD) for column, size in widths.items()}
+    size = sum(len(line) + 1 for cells in grid for cell in cells for line in cell[2])
+    n_lines = sum(max((len(cell[2]) for cell in cells), default=0) for cells in grid)
+    if n_lines * sum(n + 2 for n in widths.values()) > MAX_BLANKS * size + 10_000:
+        widths = {column: min(n, MAX_PAD) for column, n in widths.items()}
     out = [line for caption in captions for line in flow(caption, False, listed)]
     for cells in grid:
         for i in range(max((len(cell[2]) for cell in cells), default=0)):
@@ -370,8 +420,11 @@ def text_of(source: str | None) -> str | None:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id_col, text``: the visible text of every page, as it would be laid out.
 
-    Text of a hidden element (by tag, ``hidden``, ``display: none`` or ``visibility: hidden``)
-    is left out, all other text stays. A null page gives null, an empty one an empty text;
+    Text of a hidden element (by tag, ``hidden``, ``display: none`` or ``visibility: hidden``) is
+    left out, but for elements in a hidden one that set ``visibility: visible`` again; all other
+    text stays. Elements nested more than 150 deep are laid out as text of the one around them.
+    Columns are aligned whatever their width, unless that takes more than 16 blanks for every
+    character of the table (then up to 60). A null page gives null, an empty one an empty text;
     broken mark-up is repaired; pages are read whole; repeated rows and null ids are kept;
     other columns are not read."""
 

@@ -158,7 +158,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: fl
     are told at once; the others advance word by word together, the longest first, so that
     those that have ended drop out."""
     single, settled = one_language(scores, first, size, penalty)
-    labels = np.repeat(single, size).astype(np.int8)
+    kind = np.int16 if scores.shape[1] < 1 << 15 else np.int32
+    labels = np.repeat(single, size).astype(kind)
     order = np.argsort(-size, kind="stable")
     order = order[~settled[order]]
     first, size = first[order], size[order]
@@ -166,9 +167,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: fl
     if not longest:
         return labels
     active = np.searchsorted(-size, -np.arange(longest + 1), side="left")  # texts with word t
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
-    at_end = np.zeros(len(size), np.int8)
+    back = np.zeros(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)
+    at_end = np.zeros(len(size), kind)
     best = scores[first[: active[0]]]
     for t in range(longest):
         n = active[t]
@@ -176,7 +177,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: fl
             best, word = best[:n], first[:n] + t
             top = best.argmax(axis=1)
             switched = best[np.arange(n), top][:, None] - penalty
-            back[word] = np.where(best >= switched, own, top[:, None].astype(np.int8))
+            back[word] = np.where(best >= switched, own, top[:, None].astype(kind))
             best = np.maximum(best, switched) + scores[word]
         if active[t + 1] < n:
             at_end[active[t + 1] : n] = best[active[t + 1] :].argmax(axis=1)

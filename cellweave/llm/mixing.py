@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import WORD
+from cellweave.llm.manifest import field
 from cellweave.runtime import broadcast_if_small
 
 #: Places of the exponent, and documents of one source that are ordered together.
@@ -128,7 +129,7 @@ def mixture(
 
     ``tokens`` is what a document costs (by default its words and one). Without ``budget`` every
     document is read at least once; with it, a source may end before its last document, which
-    is the feature. In an epoch each source has a new seeded order; a document belongs to the
+    is the feature, and one whose budget comes to less than half a token is not read at all. In an epoch each source has a new seeded order; a document belongs to the
     block that its first token falls into, and blocks hold the sources in the same proportion,
     mixed by ``position``.
 
@@ -143,7 +144,7 @@ def mixture(
     )
     budgets = source_budgets(rows, target_entropy, max_repetition, budget, block_tokens)
     read = rows.join(budgets, F.col("source").eqNullSafe(F.col("named")))
-    epochs = read.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    epochs = read.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     ordered = epochs.withColumn("u", drawn(F.lit(seed), F.col("epoch"), key)).withColumn(
         "band", F.floor(F.col("u") * F.col("bands")).cast("int")
@@ -182,8 +183,9 @@ def mixture(
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` as often and in the order that ``mixture`` says, with its ``tokens, epoch,
-    block, position``. The plan is made of ids and sizes; whole rows are moved once."""
-    key = F.xxhash64(*docs.columns)
+    block, position``. The plan is made of ids, sizes and a 128-bit digest of each row; whole rows
+    are moved once. Rows that are alike in all columns are read as often as they are there."""
+    key = F.md5(F.concat(*[field(F.col(name)) for name in docs.columns]))
     plan = mixture(docs.withColumn("_row", key), id_col, carried=["_row"], **options)
     rows = docs.withColumn("_row", key).dropDuplicates(["_row"])
     added = plan.select("_row", "tokens", "epoch", "block", "position")

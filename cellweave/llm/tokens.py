@@ -6,6 +6,7 @@ joined to the spans of its sections; a token over a boundary is given away by a
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from pathlib import Path
 
@@ -19,19 +20,49 @@ from cellweave.llm.common import by_batch
 
 #: Fixed value: how byte-level BPE vocabularies of 50,257 entries cut texts, as published.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Longer stretches of white space are encoded by themselves: searching them for the place where the
+#: pattern ends them would exhaust the stack of the library.
+MAX_BLANKS = 10_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The white space of the pattern, which is that of Unicode without the separators U+001C to U+001F.
+LONG_BLANKS = re.compile(rf"[^\S\x1c-\x1f]{{{MAX_BLANKS},}}")
 RULES = ("begin", "end", "most", "share")
 
 
+def read_ranks(ranks_file: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+
+
 @lru_cache(maxsize=2)
 def encoder(ranks_file: bytes, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoding of a file of ranks, and the number of bytes of every token."""
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
+    ranks = read_ranks(ranks_file)
     lengths = np.zeros(max(ranks.values()) + 1, np.int64)
     lengths[list(ranks.values())] = [len(token) for token in ranks]
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+@lru_cache(maxsize=2)
+def encoder_of_blanks(ranks_file: bytes) -> tiktoken.Encoding:
+    """The encoding that takes any stretch of white space as one piece."""
+    return tiktoken.Encoding("blanks", pat_str=r"\s+", mergeable_ranks=read_ranks(ranks_file), special_tokens={})
+
+
+def encoded(body: str, ranks_file: bytes, pattern: str) -> np.ndarray:
+    """The tokens of a whole text. The published pattern ends a piece before white space; a stretch of
+    it is a piece but for its last character, which goes with what follows, or whole at the
+    end of a text. Long stretches are therefore cut out without changing any token."""
+    encoding = encoder(ranks_file, pattern)[0]
+    found, at = [], 0
+    for stretch in LONG_BLANKS.finditer(body) if pattern == PATTERN else ():
+        last = stretch.end() if stretch.end() == len(body) else stretch.end() - 1
+        found.append(encoding.encode_to_numpy(body[at : stretch.start()], disallowed_special=()))
+        blanks = body[stretch.start() : last]
+        found.append(encoder_of_blanks(ranks_file).encode_to_numpy(blanks, disallowed_special=()))
+        at = last
+    return np.concatenate([*found, encoding.encode_to_numpy(body[at:], disallowed_special=())])
+
+
 def attributed(
     begin: np.ndarray, end: np.ndarray, tokens: np.ndarray, rule: str
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +138,7 @@ def token_counts(
 
     A null or empty text has one empty line; null sections are an empty list; repeated rows
     and null ids are counted like any other; clashing names are not read. Texts are encoded
-    whole, one at a time. The driver reads the file of ranks, whose size the vocabulary bounds."""
+    whole, one at a time; very long white space is no exception. The driver reads the file of ranks, whose size the vocabulary bounds."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     ranks_file = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
@@ -116,14 +147,14 @@ def token_counts(
     own_lines = sections is None
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoding, lengths = encoder(ranks_file.value, pattern)
+        lengths = encoder(ranks_file.value, pattern)[1]
         given = batch.column(2)
         owners, begins, ends, counts, crossings, names = [], [], [], [], [], []
         for i, value in enumerate(batch.column(1)):
             body = value.as_py() or ""
             data = np.frombuffer(body.encode(), np.uint8)
             chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-            tokens = np.cumsum(lengths[encoding.encode_to_numpy(body, disallowed_special=())])
+            tokens = np.cumsum(lengths[encoded(body, ranks_file.value, pattern)])
             if own_lines:
                 begin, end = lines(data)
             else:
