@@ -222,58 +222,94 @@ def pack_labels(draw: tuple, positions: np.ndarray, dim: int) -> Callable:
     return labels
 
 
-def pack_column_sums(draw: tuple, positions: np.ndarray, dim: int) -> Callable:
-    """Draw the row labels, then add up each column's log densities under every column
-    cluster over a whole partition; one record per column leaves the task."""
-    scorers = draw[1]
+def pack_column_totals(x: np.ndarray, z: np.ndarray, scorers: list[list[Scorer]]) -> np.ndarray:
+    """Each column's log densities under every column cluster, added up over the rows."""
+    n, width, dim = x.shape
+    total = np.zeros((width, len(scorers)))
+    for l, row in enumerate(scorers):
+        own = z[:, l if z.shape[1] > 1 else 0]
+        for k in np.unique(own):
+            part = x[own == k]
+            scores = score(part.reshape(-1, dim), row[k])
+            total[:, l] += scores.reshape(len(part), width).sum(axis=0)
+    return total
+
+
+def pack_block_sums(x: np.ndarray, z: np.ndarray, col_labels: np.ndarray, shift: np.ndarray) -> dict:
+    """Count, sums and products of each block ``(l, k)``."""
+    found = {}
+    for l in np.unique(col_labels):
+        own = z[:, l if z.shape[1] > 1 else 0]
+        for k in np.unique(own):
+            part = x[own == k][:, col_labels == l].reshape(-1, len(shift)) - shift
+            found[int(l), int(k)] = triangle_sums(part)
+    return found
+
+
+def pack_moments(col_labels: np.ndarray, shift: np.ndarray, positions: np.ndarray) -> Callable:
+    """The moments of column clusters whose rows all have label 0, added up over a partition."""
+    dim = len(shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(positions), len(scorers)))
+        totals: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = pack_cells(batch.column("feats"), positions, dim)
-            z = pack_row_labels(x, to_matrix(batch.column("u")), *draw)
-            for l, row in enumerate(scorers):
-                own = z[:, l if z.shape[1] > 1 else 0]
-                for k in np.unique(own):
-                    part = x[own == k]
-                    scores = score(part.reshape(-1, dim), row[k])
-                    total[:, l] += scores.reshape(len(part), -1).sum(axis=0)
-        place = pa.array(np.arange(len(positions)), pa.int32())
-        yield pa.RecordBatch.from_arrays([place, to_lists(total)], ["place", "sums"])
+            if batch.num_rows:
+                x = pack_cells(batch.column("feats"), positions, dim)
+                add_sums(totals, pack_block_sums(x, np.zeros((len(x), 1), dtype=int), col_labels, shift))
+        if totals:
+            yield moment_record(totals)
 
     return run
 
 
-def pack_moments(
-    draw: tuple | None, col_labels: np.ndarray, shift: np.ndarray, positions: np.ndarray
-) -> Callable:
-    """Draw the row labels and add up the moments of each block over a partition. Without a
-    draw all rows have label 0."""
-    dim = len(shift)
+def add_sums(totals: dict, fresh: dict) -> None:
+    for key, sums in fresh.items():
+        totals[key] = totals[key] + sums if key in totals else sums
+
+
+def pack_answers(asked: list[tuple], dim: int) -> Callable:
+    """What several passes ask of whole rows, in one pass over them.
+
+    Each pass is ``(number, positions, labelling, col_labels, shift)``. A labelling is a draw with
+    the places of its uniforms in the column ``u``, or sizes of balanced groups with the places
+    of their ranks in the column ``ranks``. Without ``col_labels`` the answer is the sum of
+    every column (records ``number, place, -1``), otherwise the moments of every block
+    (``number, l, k``); both are added up over a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[int, int], np.ndarray] = {}
+        totals: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = pack_cells(batch.column("feats"), positions, dim)
-            if draw is None:
-                z = np.zeros((len(x), 1), dtype=int)
-            else:
-                z = pack_row_labels(x, to_matrix(batch.column("u")), *draw)
-            for l in np.unique(col_labels):
-                own = z[:, l if z.shape[1] > 1 else 0]
-                for k in np.unique(own):
-                    part = x[own == k][:, col_labels == l].reshape(-1, dim) - shift
-                    key, sums = (int(l), int(k)), triangle_sums(part)
-                    totals[key] = totals[key] + sums if key in totals else sums
+            u, ranks = to_matrix(batch.column("u")), to_matrix(batch.column("ranks"))
+            chosen: dict[bytes, np.ndarray] = {}
+            for number, positions, (draw, sizes, places), col_labels, shift in asked:
+                key = positions.tobytes()
+                if key not in chosen:
+                    chosen[key] = pack_cells(batch.column("feats"), positions, dim)
+                x = chosen[key]
+                if draw is None:
+                    z = ranks[:, places] % np.array(sizes)
+                else:
+                    z = pack_row_labels(x, u[:, places], *draw)
+                if col_labels is None:
+                    sums = pack_column_totals(x, z, draw[1])
+                    add_sums(totals, {(number, place, -1): row for place, row in enumerate(sums)})
+                else:
+                    sums = pack_block_sums(x, z, col_labels, shift)
+                    add_sums(totals, {(number, *block): row for block, row in sums.items()})
         if totals:
-            yield moment_record(totals)
+            yield answer_record(totals)
 
     return run
 
 
+def answer_record(totals: dict[tuple[int, int, int], np.ndarray]) -> pa.RecordBatch:
+    keys = [pa.array([key[i] for key in totals], pa.int32()) for i in range(3)]
+    bounds = np.concatenate([[0], np.cumsum([len(v) for v in totals.values()])]).astype(np.int32)
+    sums = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(list(totals.values()))))
+    return pa.RecordBatch.from_arrays([*keys, sums], ["number", "a", "b", "sums"])
+
+
 # Workers receive these functions with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

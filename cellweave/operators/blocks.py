@@ -90,14 +90,15 @@ def row_scores(
 
 def draw_rows(
     matrix: CellMatrix, col_part: DataFrame, model: BlockModel, shared: bool,
-    iteration: int, sweep: int, seed: int,
+    iteration: int, sweep: int, seed: int, tags: Sequence[int] | None = None,
 ) -> DataFrame:
-    """One label per row, or per row and column cluster: ``(row_id, z)``."""
+    """One label per row, or per row and column cluster: ``(row_id, z)``. ``tags`` number the column
+    clusters in the key of the draw, by default by their places."""
     wide = wide_row_scores(matrix, col_part, model, shared)
     labels = [
         pick_from_log_scores(
             [F.col(name) for name in names],
-            uniform("d", F.col("row_id"), l, iteration, sweep, seed),
+            uniform("d", F.col("row_id"), l if tags is None else tags[l], iteration, sweep, seed),
         )
         for l, names in enumerate(row_score_names(model, shared))
     ]
@@ -213,6 +214,13 @@ def collected_moments(
 ) -> BlockMoments:
     """Bring the moments of the expected blocks, one record each, to the driver."""
     found = {(r.l, r.k): unpack_sums(r.sums, len(shift)) for r in sums.collect()}
+    return moments_found(found, shift, row_clusters)
+
+
+def moments_found(
+    found: dict[tuple[int, int], tuple], shift: np.ndarray, row_clusters: Sequence[int]
+) -> BlockMoments:
+    """The moments of the expected blocks; fails on one with fewer than two cells."""
     empty = [
         (l, k) for l, size in enumerate(row_clusters) for k in range(size)
         if found.get((l, k), (0,))[0] < 2

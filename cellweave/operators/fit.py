@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from inspect import isgenerator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,15 @@ from cellweave.operators.model import (
     lbm_penalty,
     mean_model,
 )
-from cellweave.operators.packed import RowDraw, drawn_columns, drawn_rows, moments_of
+from cellweave.operators.packed import (
+    ColumnPass,
+    MomentPass,
+    RowDraw,
+    Steps,
+    col_labels_from,
+    drawn_rows,
+    together,
+)
 from cellweave.runtime import checkpoint, run_together
 
 # The loop stops when the last two changes stay below this.
@@ -119,14 +128,15 @@ def lbm_settings(k: int = 2, l: int = 2, **options) -> Settings:
 @dataclass
 class FitResult:
     """A fit as tables. ``status`` is 'converged', 'averaged' or 'failed'; a failed fit has
-    scores of minus infinity and no labels."""
+    scores of minus infinity and no labels. Row labels are drawn when they are asked for: of the
+    many fits of a search only the chosen one needs them."""
 
     spark: SparkSession
     status: str
     settings: Settings
     model: BlockModel | None = None
     history: list[BlockModel] = field(default_factory=list)
-    row_labels: DataFrame | None = None
+    row_labels: DataFrame | Callable[[], DataFrame] | None = None
     col_part: DataFrame | None = None
     logliks: list[float] = field(default_factory=lambda: [-np.inf])
     icls: list[float] = field(default_factory=lambda: [-np.inf])
@@ -150,7 +160,13 @@ class FitResult:
 
     def row_part(self) -> DataFrame:
         """``(row_id, l, k)``; with shared rows l is 0."""
-        return long_row_part(self.row_labels)
+        return long_row_part(self.labels())
+
+    def labels(self) -> DataFrame:
+        """``(row_id, z)``, stored once."""
+        if callable(self.row_labels):
+            self.row_labels = checkpoint(self.row_labels())
+        return self.row_labels
 
     def trace(self) -> DataFrame:
         records = [
@@ -174,32 +190,33 @@ def penalties(model: BlockModel, matrix: CellMatrix, shared: bool) -> tuple[floa
 
 
 class WholeRowSteps:
-    """Passes over whole rows. An iteration is one job per column draw and one for the block
+    """Passes over whole rows. An iteration is one pass per column draw and one for the block
     moments."""
 
-    def __init__(self, matrix: CellMatrix, settings: Settings, seed: int, col_part: DataFrame):
+    def __init__(self, matrix: CellMatrix, settings: Settings, seed: int, columns: np.ndarray | DataFrame):
         self.matrix, self.settings, self.seed = matrix, settings, seed
-        self.labels = matrix.col_labels(col_part)
+        self.labels = columns if isinstance(columns, np.ndarray) else matrix.col_labels(columns)
         self.draw: RowDraw | None = None
 
     def row_draw(self, model: BlockModel, iteration: int, sweep: int) -> RowDraw:
         return RowDraw(model, self.labels, self.settings.shared, iteration, sweep, self.seed)
 
-    def moments(self) -> BlockMoments:
-        return moments_of(self.matrix, self.draw, self.labels, self.settings.row_clusters)
+    def moments(self) -> Steps:
+        return (yield MomentPass(self.matrix, self.draw, self.labels, self.settings.row_clusters))
 
-    def first_likelihood(self, model: BlockModel) -> float:
+    def first_likelihood(self, model: BlockModel) -> Steps:
         self.draw = self.row_draw(model, 0, 0)
-        return likelihood_of(model, self.moments())
+        return likelihood_of(model, (yield from self.moments()))
 
-    def iterate(self, model: BlockModel, iteration: int) -> BlockMoments:
+    def iterate(self, model: BlockModel, iteration: int) -> Steps:
         for sweep in range(1, SWEEPS + 1):
             self.draw = self.row_draw(model, iteration, sweep)
-            self.labels = drawn_columns(self.matrix, self.draw)
-        return self.moments()
+            self.labels = yield ColumnPass(self.matrix, self.draw)
+        return (yield from self.moments())
 
-    def result(self) -> tuple[DataFrame, DataFrame]:
-        return checkpoint(drawn_rows(self.matrix, self.draw)), self.matrix.col_part(self.labels)
+    def result(self) -> tuple[Callable[[], DataFrame], DataFrame]:
+        draw = self.draw
+        return lambda: drawn_rows(self.matrix, draw), self.matrix.col_part(self.labels)
 
 
 class LongSteps:
@@ -217,14 +234,16 @@ class LongSteps:
             self.matrix, self.rows, self.col_part, self.settings.row_clusters, self.settings.shared
         )
 
-    def first_likelihood(self, model: BlockModel) -> float:
+    def first_likelihood(self, model: BlockModel) -> Steps:
+        yield from ()  # nothing to ask for: these steps run jobs of their own
         shared = self.settings.shared
         self.rows = checkpoint(
             draw_rows(self.matrix, self.col_part, model, shared, 0, 0, self.seed)
         )
         return likelihood_of(model, self.moments())
 
-    def iterate(self, model: BlockModel, iteration: int) -> BlockMoments:
+    def iterate(self, model: BlockModel, iteration: int) -> Steps:
+        yield from ()
         self.rows, self.col_part = se_step(
             self.matrix, self.col_part, model, self.settings.shared, iteration, self.seed
         )
@@ -235,14 +254,14 @@ class LongSteps:
 
 
 def sem_gibbs(
-    matrix: CellMatrix, model: BlockModel, col_part: DataFrame, settings: Settings, seed: int
-) -> FitResult:
+    matrix: CellMatrix, model: BlockModel, columns: np.ndarray | DataFrame, settings: Settings, seed: int
+) -> Steps:
     """Iterate draws and estimation until the likelihood settles or the iterations end. The
     likelihood of an iteration comes from the moments its model was estimated from."""
     shared = settings.shared
     kind = LongSteps if matrix.packs is None else WholeRowSteps
-    steps = kind(matrix, settings, seed, col_part)
-    logliks, history = [-np.inf, steps.first_likelihood(model)], [model]
+    steps = kind(matrix, settings, seed, columns)
+    logliks, history = [-np.inf, (yield from steps.first_likelihood(model))], [model]
     components = model.dim
     update_after = loading_start(settings.update_loadings)
 
@@ -254,7 +273,7 @@ def sem_gibbs(
         )
 
     for iteration in range(1, settings.burn_in + settings.iterations + 1):
-        moments = steps.iterate(model, iteration)
+        moments = yield from steps.iterate(model, iteration)
         loadings = None if iteration > update_after else model.loadings
         model, loglik = estimate_with_likelihood(
             moments, matrix, shared, loadings,
@@ -268,7 +287,7 @@ def sem_gibbs(
     late = history[1 + settings.burn_in :] or history[-1:]
     penalty, penalty_blocks = penalties(model, matrix, shared)
     scores = logliks[1:]
-    rows, columns = steps.result()
+    rows, col_part = steps.result()
     return FitResult(
         matrix.cells.sparkSession,
         "converged" if converged else "averaged",
@@ -276,54 +295,83 @@ def sem_gibbs(
         history[-1] if converged else mean_model(late),
         history,
         rows,
-        columns,
+        col_part,
         scores,
         [ll - penalty for ll in scores],
         [ll - penalty_blocks for ll in scores],
     )
 
 
-def start(matrix: CellMatrix, settings: Settings, seed: int) -> tuple[BlockModel, DataFrame]:
-    """Initial model and column partition."""
+def start(matrix: CellMatrix, settings: Settings, seed: int) -> Steps:
+    """Initial model and column labels."""
     if settings.model is not None:
         if settings.col_part is None:
-            return settings.model, draw_cols_from_proportions(matrix, settings.model.col_props, seed)
+            props = settings.model.col_props
+            if matrix.packs is None:
+                return settings.model, draw_cols_from_proportions(matrix, props, seed)
+            return settings.model, col_labels_from(matrix, props, seed)
         given = settings.col_part.select(F.count_distinct("l").alias("n")).first().n
         if given != len(settings.row_clusters):
             raise ValueError(f"the column partition has {given} clusters")
         return settings.model, settings.col_part
     known = starts.LBM_STARTS if settings.shared else starts.CLBM_STARTS
-    return known[settings.init](matrix, settings, seed)
+    begun = known[settings.init](matrix, settings, seed)
+    return (yield from begun) if isgenerator(begun) else begun
 
 
-def fit(matrix: CellMatrix, settings: Settings) -> FitResult:
+def attempts(matrix: CellMatrix, settings: Settings) -> Steps:
     """One fit. A start that runs into an empty cluster is tried again with another seed, up
     to ``max_tries``; any other error is raised."""
     for attempt in range(settings.max_tries):
         seed = settings.seed + RETRY_SEED_STEP * attempt
         try:
-            model, col_part = start(matrix, settings, seed)
-            return sem_gibbs(matrix, model, col_part, settings, seed)
+            model, columns = yield from start(matrix, settings, seed)
+            return (yield from sem_gibbs(matrix, model, columns, settings, seed))
         except EmptyClusterError:
             continue
     return FitResult(matrix.cells.sparkSession, "failed", settings)
 
 
+def fit_all(tasks: Sequence[tuple[CellMatrix, Settings]], width: int = 4) -> list[FitResult]:
+    """Independent fits. Those on whole rows go in step, so that all of them, whatever their models
+    and columns, share each pass over the rows; those on long tables run from ``width`` threads."""
+    for matrix, _ in tasks:
+        matrix.pooled()
+    found: list[FitResult | None] = [None] * len(tasks)
+    packed = [i for i, (matrix, _) in enumerate(tasks) if matrix.packs is not None]
+    for i, result in zip(packed, together([attempts(*tasks[i]) for i in packed]), strict=True):
+        found[i] = result
+    long = [i for i in range(len(tasks)) if i not in packed]
+    for i, result in zip(long, run_together([lambda i=i: fit(*tasks[i]) for i in long], width), strict=True):
+        found[i] = result
+    return found
+
+
+def fit(matrix: CellMatrix, settings: Settings) -> FitResult:
+    return together([attempts(matrix, settings)])[0]
+
+
 def best_of(results: Sequence[FitResult], score: Callable[[FitResult], float]) -> FitResult:
     """The result of the greatest score, the first on ties."""
     return max(results, key=score)
 
 
-def multi_start(matrix: CellMatrix, settings: Settings, n_starts: int, width: int = 4) -> FitResult:
-    """Several fits from different seeds; the greatest last log-likelihood wins."""
+def started(matrix: CellMatrix, settings: Settings, n_starts: int) -> list[tuple[CellMatrix, Settings]]:
+    """The same fit from several seeds."""
     if n_starts < 1:
         raise ValueError("n_starts must be positive")
-    matrix.pooled()
-    tasks = [
-        lambda s=s: fit(matrix, replace(settings, seed=settings.seed + START_SEED_STEP * s))
-        for s in range(n_starts)
-    ]
-    return best_of(run_together(tasks, width), lambda r: r.loglik)
+    return [(matrix, replace(settings, seed=settings.seed + START_SEED_STEP * s)) for s in range(n_starts)]
+
+
+def multi_starts(tasks: Sequence[tuple[CellMatrix, Settings]], n_starts: int, width: int = 4) -> list[FitResult]:
+    """For each task the fit of the greatest last log-likelihood among its starts, all fits together."""
+    found = fit_all([one for matrix, settings in tasks for one in started(matrix, settings, n_starts)], width)
+    return [best_of(found[i : i + n_starts], lambda r: r.loglik) for i in range(0, len(found), n_starts)]
+
+
+def multi_start(matrix: CellMatrix, settings: Settings, n_starts: int, width: int = 4) -> FitResult:
+    """Several fits from different seeds; the greatest last log-likelihood wins."""
+    return multi_starts([(matrix, settings)], n_starts, width)[0]
 
 
 def clbm_fit(matrix: CellMatrix, row_clusters: Sequence[int] = (2, 2), **options) -> FitResult:

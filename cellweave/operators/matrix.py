@@ -183,7 +183,8 @@ class CellMatrix:
         remain those of the whole matrix, so that models of slices have one dimension."""
         pooled = self.pooled()
         if self.packs is not None:
-            kept = self.positions[self.col_labels(col_part) == l]
+            wanted = [r.col_id for r in col_part.filter(F.col("l") == l).select("col_id").collect()]
+            kept = self.positions[np.isin(self.col_ids[self.positions], wanted)]
             view = pack_view(self.packs, self.col_ids, kept, self.dim)
             return replace(self, cells=view, n_cols=len(kept), positions=kept, _pooled=pooled)
         wanted = col_part.filter(F.col("l") == l).select("col_id")
@@ -197,9 +198,7 @@ class CellMatrix:
             if self.packs is not None:
                 feats = np.array(self.packs.select("feats").first().feats)
                 guess = feats.reshape(-1, self.dim)[self.positions].mean(axis=0)
-                run = pack_moments(
-                    None, np.zeros(self.n_cols, dtype=int), guess, self.positions
-                )
+                run = pack_moments(np.zeros(self.n_cols, dtype=int), guess, self.positions)
                 sums = add_partial_sums(self.packs.select("feats").mapInArrow(run, SUMS_SCHEMA))
             else:
                 guess = np.array(self.cells.select("feat").first().feat)

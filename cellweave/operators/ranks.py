@@ -38,12 +38,17 @@ def dense_index(df: DataFrame, columns: Sequence[str], out: str, n_rows: int) ->
     )
 
 
-def first_of_each(df: DataFrame, groups: Sequence[str], u: Column, tie: str, m: int) -> DataFrame:
+def first_of_each(
+    df: DataFrame, groups: Sequence[str], u: Column, tie: str, m: int, own_m: str | None = None
+) -> DataFrame:
     """The ``m`` rows of each group that come first in the order of a hash uniform, ties by id,
-    from one pass: every task keeps ``m`` rows of a group before they are shuffled."""
+    from one pass: every task keeps ``m`` rows of a group before they are shuffled. A column
+    ``own_m`` may give a group fewer."""
     order = Window.partitionBy(*groups).orderBy("_u", tie)
     ranked = df.withColumn("_u", u).withColumn("_place", F.row_number().over(order))
-    return ranked.where(F.col("_place") <= m).drop("_u", "_place")
+    kept = ranked.where(F.col("_place") <= m)
+    kept = kept if own_m is None else kept.where(F.col("_place") <= F.col(own_m))
+    return kept.drop("_u", "_place")
 
 
 def uniform_rank(

@@ -11,10 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.draws import uniform
-from cellweave.operators.blocks import draw_cols_from_proportions, m_step
+from cellweave.operators.blocks import draw_cols_from_proportions, estimate, m_step
 from cellweave.operators.kmeans import Items, kmeans_fit
 from cellweave.operators.matrix import CellMatrix, wide_row_part
 from cellweave.operators.model import BlockModel, EmptyClusterError
+from cellweave.operators.packed import (
+    Balanced,
+    MomentPass,
+    SamplePass,
+    Steps,
+    balanced_col_labels,
+    col_labels_from,
+    together,
+)
 from cellweave.operators.partitions import balanced_col_partition, balanced_row_partition
 from cellweave.operators.pca import project_loadings
 from cellweave.operators.ranks import first_of_each
@@ -46,20 +55,23 @@ def sampled_block_cells(
     )
 
 
-def from_component_sample(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataFrame]:
+# The steps of a start return the model and the column labels: an array in the order of the columns
+# if rows are kept whole, otherwise a table.
+
+
+def component_steps(matrix: CellMatrix, settings, seed: int) -> Steps:
     """Pooled loadings, each block's normal from sampled cells, uniform proportions, columns
     drawn from the proportions."""
     sizes = settings.row_clusters
-    blocks = [(l, k) for l, size in enumerate(sizes) for k in range(size)]
+    blocks = tuple((l, k) for l, size in enumerate(sizes) for k in range(size))
     w = matrix.pooled_loadings(settings.max_components, settings.threshold)
     m = min(matrix.n_rows, SAMPLE_ROWS)
     shift = matrix.pooled()[0]
-    found = {
-        (r.l, r.k): unpack_sums(r.sums, matrix.dim)
-        for r in block_sums(
-            sampled_block_cells(matrix, blocks, m, seed), matrix.dim, shift
-        ).collect()
-    }
+    if matrix.packs is None:
+        cells = sampled_block_cells(matrix, blocks, m, seed)
+        found = {(r.l, r.k): unpack_sums(r.sums, matrix.dim) for r in block_sums(cells, matrix.dim, shift).collect()}
+    else:
+        found = yield SamplePass(matrix, blocks, m, seed)
     means, covs = {}, {}
     for block in blocks:
         n, s, q = found[block]
@@ -79,7 +91,19 @@ def from_component_sample(matrix: CellMatrix, settings, seed: int) -> tuple[Bloc
         table(covs),
         [[w] * size for size in sizes],
     )
-    return model, draw_cols_from_proportions(matrix, model.col_props, seed)
+    if matrix.packs is None:
+        return model, draw_cols_from_proportions(matrix, model.col_props, seed)
+    return model, col_labels_from(matrix, model.col_props, seed)
+
+
+def as_tables(matrix: CellMatrix, steps: Steps) -> tuple[BlockModel, DataFrame]:
+    """The model and column partition of a start."""
+    model, columns = together([steps])[0]
+    return model, matrix.col_part(columns) if isinstance(columns, np.ndarray) else columns
+
+
+def from_component_sample(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataFrame]:
+    return as_tables(matrix, component_steps(matrix, settings, seed))
 
 
 def from_given_partition(
@@ -94,12 +118,24 @@ def from_given_partition(
     return model, col_part
 
 
-def from_random_partition(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataFrame]:
+def random_partition_steps(matrix: CellMatrix, settings, seed: int) -> Steps:
     """Balanced random labels, then the given-partition start."""
     sizes = settings.row_clusters
-    col_part = checkpoint(balanced_col_partition(matrix.columns(), len(sizes), seed, matrix.n_cols))
-    rows = balanced_row_partition(matrix.rows(), sizes, seed, matrix.n_rows)
-    return from_given_partition(matrix, wide_row_part(rows, len(sizes)), col_part, settings)
+    if matrix.packs is None:
+        col_part = checkpoint(balanced_col_partition(matrix.columns(), len(sizes), seed, matrix.n_cols))
+        rows = balanced_row_partition(matrix.rows(), sizes, seed, matrix.n_rows)
+        return from_given_partition(matrix, wide_row_part(rows, len(sizes)), col_part, settings)
+    labels = balanced_col_labels(matrix, len(sizes), seed)
+    moments = yield MomentPass(matrix, Balanced(tuple(sizes), seed), labels, tuple(sizes))
+    w = matrix.pooled_loadings(settings.max_components, settings.threshold)
+    model = estimate(
+        moments, matrix.n_rows, matrix.n_cols, settings.shared, w, center_divisor=settings.center_divisor
+    )
+    return model, labels
+
+
+def from_random_partition(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataFrame]:
+    return as_tables(matrix, random_partition_steps(matrix, settings, seed))
 
 
 def joined_row_labels(parts: Sequence[DataFrame]) -> DataFrame:
@@ -145,37 +181,38 @@ def from_kmeans(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, Da
 
 
 def from_lbm(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataFrame]:
-    """An LBM for the columns, then a one-cluster CLBM on each column cluster for its rows."""
-    from cellweave.operators.fit import clbm_settings, fit, lbm_settings
+    """An LBM for the columns, then a one-cluster CLBM on each column cluster for its rows, all of
+    these at once."""
+    from cellweave.operators.fit import clbm_settings, fit, fit_all, lbm_settings
 
     sizes = settings.row_clusters
     outer = fit(matrix, lbm_settings(
         max(sizes), len(sizes), iterations=LBM_START_ITERATIONS, burn_in=LBM_START_ITERATIONS,
         update_loadings=START_LOADING_STRATEGY, max_tries=START_TRIES, seed=seed,
+        max_components=settings.max_components, threshold=settings.threshold,
     ))
     if outer.status == "failed":
         raise EmptyClusterError("the LBM start failed")
-
-    def rows_inside(l: int) -> DataFrame:
-        piece = matrix.slice(outer.col_part, l)
-        inner = fit(piece, clbm_settings(
-            (sizes[l],), init="random", update_loadings=START_LOADING_STRATEGY,
-            max_tries=START_TRIES, seed=seed,
+    inner = fit_all([
+        (matrix.slice(outer.col_part, l), clbm_settings(
+            (size,), init="random", update_loadings=START_LOADING_STRATEGY, max_tries=START_TRIES,
+            seed=seed, max_components=settings.max_components, threshold=settings.threshold,
         ))
-        if inner.status == "failed":
-            raise EmptyClusterError("the start inside a column cluster failed")
-        return inner.row_part().select("row_id", "k")
-
-    parts = run_together([lambda l=l: rows_inside(l) for l in range(len(sizes))])
+        for l, size in enumerate(sizes)
+    ])
+    if any(found.status == "failed" for found in inner):
+        raise EmptyClusterError("the start inside a column cluster failed")
+    parts = [found.row_part().select("row_id", "k") for found in inner]
     return from_given_partition(
         matrix, checkpoint(joined_row_labels(parts)), outer.col_part, replace(settings, shared=False)
     )
 
 
+#: By name, the steps of a start, or a start that takes jobs of its own.
 CLBM_STARTS = {
-    "random": from_component_sample,
-    "random_partition": from_random_partition,
+    "random": component_steps,
+    "random_partition": random_partition_steps,
     "kmeans": from_kmeans,
     "lbm": from_lbm,
 }
-LBM_STARTS = {"random": from_component_sample}
+LBM_STARTS = {"random": component_steps}

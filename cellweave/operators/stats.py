@@ -118,15 +118,15 @@ def block_sums(cells: DataFrame, dim: int, shift: np.ndarray | None = None) -> D
     )
 
 
-def add_partial_sums(partial: DataFrame) -> DataFrame:
+def add_partial_sums(partial: DataFrame, keys: Sequence[str] = ("l", "k")) -> DataFrame:
     """Add up the records of the tasks by position."""
     added = (
-        partial.select("l", "k", F.posexplode("sums").alias("i", "value"))
-        .groupBy("l", "k", "i")
+        partial.select(*keys, F.posexplode("sums").alias("i", "value"))
+        .groupBy(*keys, "i")
         .agg(F.sum("value").alias("value"))
     )
     pairs = F.sort_array(F.collect_list(F.struct("i", "value")))
-    return added.groupBy("l", "k").agg(F.transform(pairs, lambda p: p["value"]).alias("sums"))
+    return added.groupBy(*keys).agg(F.transform(pairs, lambda p: p["value"]).alias("sums"))
 
 
 def unpack_sums(values: Sequence[float], dim: int) -> tuple[int, np.ndarray, np.ndarray]:
