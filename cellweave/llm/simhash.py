@@ -123,9 +123,9 @@ def near_duplicates(
 #: Bands of least hashes that find candidates, and least hashes in each.
 BANDS, DEPTH = 25, 5
 #: Bits in which the sketches of two sets may differ before they are held to be unlike: one bit for each
-#: least hash. Sets of similarity 0.8 differ in 12.5 of the 125, and in more than 34 with
-#: probability 10^-8.
-SKETCH_BITS = 34
+#: least hash. Sets of similarity 0.8 differ in 12.5 of the 125, and in more than 31 with
+#: probability 10^-6.
+SKETCH_BITS = 31
 def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A key of each text for each band, and in two rows more its sketch: texts whose sets have
     Jaccard similarity s share a key with probability s ** DEPTH, and a bit of the sketch with
@@ -205,6 +205,8 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(by_batch(run), "node binary, shingles array<bigint>")
 
 
+#: Buckets of up to so many members are compared pair by pair; larger ones by their hubs.
+SMALL = 32
 #: What the members of a bucket are compared for: links with each other, or of one kind with the other.
 ALL, CLOSE, FAR = 0, 1, 2
 
@@ -232,35 +234,48 @@ def bucket_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     """``node, root`` of the components of all links of ``similarity`` or more inside the buckets of
     ``members(key, node, size)``, for every node that has one.
 
-    In each round the hub of a bucket, the member that meets most others (of copies that is mostly
-    the original), is compared with all others and leaves it. Buckets whose rest is in one
-    component are done; the rest of the others is dealt out anew by ``refined``, in such a way
-    that two members that may be alike meet again. So no two nodes of a bucket end apart
-    unless they have been compared or cannot be alike, and a round compares each member of a
-    bucket once."""
+    In each round the members of small buckets are compared with each other, which is at most
+    ``SMALL`` comparisons a member. In a large one the hub, the member that meets most others (of
+    copies that is mostly the original), is compared with all others and leaves it. If the rest
+    is in one component the bucket is done; what is left of the others is dealt out anew by
+    ``refined``, in such a way that two members that may be alike meet again. So no two nodes of
+    a bucket end apart unless they have been compared or cannot be alike."""
     sketch = [c for c in ("s0", "s1") if c in members.columns]
     met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degrees = members.join(met, "key").groupBy("node").agg(F.sum("n").alias("degree"))
     members = members.join(degrees, "node").select("key", "node", "size", *sketch, "degree", F.lit(ALL).alias("kind"))
-    # By the ratio of sizes alone, without rounding a similarity that is met exactly.
-    fits = F.least("size", "hub.size") >= similarity * F.greatest("size", "hub.size") - 1e-9
-    if sketch:
-        fits &= sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}"))) for c in sketch) <= SKETCH_BITS
-    hub = F.max(F.struct("degree", "node", "size", "root", *sketch)).alias("hub")
+
+    def fits(other: str) -> Column:
+        """Whether a member and ``other`` have different roots and may be alike, by the ratio of sizes
+        alone (without rounding a similarity that is met exactly) and by their sketches."""
+        may = F.least("size", f"{other}.size") >= similarity * F.greatest("size", f"{other}.size") - 1e-9
+        for c in sketch[:1]:
+            bits = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}.{c}"))) for c in sketch)
+            may &= bits <= SKETCH_BITS
+        return may & (F.col("root") != F.col(f"{other}.root"))
+
+    picked = ["node", "size", "root", *sketch]
+    hub = F.max(F.struct("degree", *picked)).alias("hub")
+    other = F.struct(*picked, "kind")
     roots = None
     while True:
         placed = stored(at_roots(members, roots), "members")
-        hubs = stored(open_buckets(placed, hub).select("key", "hub"), "hubs")
+        hubs = stored(open_buckets(placed, hub, F.count(F.lit(1)).alias("n")).select("key", "hub", "n"), "hubs")
         if hubs.isEmpty():
             break
-        rest = stored(placed.join(hubs, "key").where(F.col("node") != F.col("hub.node")), "rest")
-        pairs = rest.where((F.col("root") != F.col("hub.root")) & fits).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        rest = stored(placed.join(hubs.where(F.col("n") > SMALL), "key").where(F.col("node") != F.col("hub.node")), "rest")
+        small = stored(placed.join(hubs.where(F.col("n") <= SMALL).select("key"), "key", "left_semi"), "small")
+        apart = (F.col("node") < F.col("other.node")) & ((F.col("kind") == ALL) | (F.col("kind") != F.col("other.kind")))
+        beside = small.select("key", other.alias("other"))
+        pairs = rest.where(fits("hub")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).unionAll(
+            small.join(beside, "key").where(apart & fits("other")).select(F.col("node").alias("a"), F.col("other.node").alias("b"))
+        )
         pairs = stored(pairs.distinct(), "pairs")
         found = similar_pairs(pairs, sets, similarity)
         stars = found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         fresh = stored(components(stars, "a", "b"), "components")
         members = stored(refined(at_roots(rest.drop("root"), fresh), sets, similarity), "lists")
-        for table in (placed, hubs, rest, pairs, *([] if roots is None else [roots])):
+        for table in (placed, hubs, rest, small, pairs, *([] if roots is None else [roots])):
             discard(table)
         roots = fresh
     none = members.limit(0).select("node", F.col("node").alias("root"))
@@ -333,7 +348,7 @@ def similar_groups(
     Texts with the same set are one class first. Then the least hashes of a set under several
     permutations are put together to keys; a pair of similarity 0.8 misses all of them with
     probability (1 - 0.8^5)^25, or 0.00005, whatever the length of the texts, and one of 0.85
-    with 0.0000008; its sketches pass it over with 0.00000001. What meets on a key is compared by the sets themselves, so every link is exact. Texts
+    with 0.0000008; its sketches pass it over with 0.000001. What meets on a key is compared by the sets themselves, so every link is exact. Texts
     without words are one class; repeated rows get the same group; an empty table gives an
     empty result."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
