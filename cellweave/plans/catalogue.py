@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellweave.operators.matrix import CellMatrix
 from cellweave.operators.spectral import spectral_features
 from cellweave.plans import tables
+from cellweave.plans.sql import MEASURES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,11 +57,16 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> CellMatrix:
     return prepared(spark.sparkContext.applicationId, sf_dir, "embedding", spark)
 
 
+def measures_matrix(spark: SparkSession, sf_dir: str) -> CellMatrix:
+    return prepared(spark.sparkContext.applicationId, sf_dir, "measures", spark)
+
+
 @lru_cache(maxsize=16)
 def prepared(app: str, sf_dir: str, kind: str, spark: SparkSession) -> CellMatrix:
     sources = {
         "pairs": lambda: tables.events_pairs(spark, sf_dir),
         "spectral": lambda: spectral_features(tables.events_series(spark, sf_dir)),
         "embedding": lambda: tables.embedding_cells(spark, sf_dir),
+        "measures": lambda: tables.measure_pairs(spark, sf_dir, MEASURES),
     }
     return CellMatrix.prepare(sources[kind]())

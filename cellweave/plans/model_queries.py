@@ -14,7 +14,7 @@ from cellweave.operators import blocks, fit, model, partitions, starts
 from cellweave.operators.matrix import CellMatrix, long_row_part, wide_row_part
 from cellweave.operators.model import BlockModel
 from cellweave.plans import sql
-from cellweave.plans.catalogue import big, pairs_matrix, query, r6, spectral_matrix
+from cellweave.plans.catalogue import big, pairs_matrix, query, r6
 from cellweave.plans.sql import Chain
 
 CLBM = (3, 2)
@@ -385,21 +385,3 @@ def clbm_init_given_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = starts.from_given_partition(
         labels.matrix, labels.row_labels, labels.col_part, fit.clbm_settings(CLBM, **ROTATION))
     return model_columns(found.to_frame(spark))
-
-
-def start_summary(found: tuple[BlockModel, DataFrame], spark: SparkSession) -> DataFrame:
-    frame = found[0].to_frame(spark)
-    return frame.select("l", "k", "n_cells", r6("row_prop").alias("row_prop"), r6("col_prop").alias("col_prop"),
-                        F.size("mean").alias("components"))
-
-
-@query("clbm_init_kmeans")
-def clbm_init_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return start_summary(starts.from_kmeans(spectral_matrix(spark, sf_dir), fit.clbm_settings((2, 2)), 0), spark)
-
-
-@query("clbm_init_lbm")
-def clbm_init_lbm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return start_summary(starts.from_lbm(spectral_matrix(spark, sf_dir), fit.clbm_settings((2, 2)), 0), spark)
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.plans import catalogue, model_queries, shape_queries, stat_queries  # noqa: F401
+from cellweave.plans import catalogue, model_queries, search_queries, shape_queries, stat_queries  # noqa: F401
 from cellweave.plans.catalogue import Query
 
 

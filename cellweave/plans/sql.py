@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 PI2 = "(2 * pi())"
+#: Measures of a line, with factors that make them comparable.
+MEASURES = {"l_quantity": 0.1, "l_discount": 10.0, "l_tax": 20.0}
 
 
 def uniform_sql(*parts: str) -> str:
@@ -68,6 +70,18 @@ def pairs_chain() -> Chain:
     )
 
 
+def measures_chain() -> Chain:
+    """``cell(row_id, col_id, f0, f1)``: mean and sd of three measures of the lines of each supplier
+    and return flag."""
+    values = ", ".join(f"({i}, {column} * {factor})" for i, (column, factor) in enumerate(MEASURES.items()))
+    return (
+        Chain()
+        .add("flags", "SELECT l_returnflag, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS flag FROM (SELECT DISTINCT l_returnflag FROM lineitem)")
+        .add("cell", f"SELECT l_suppkey AS row_id, flag * {len(MEASURES)} + m AS col_id, avg(v) AS f0, stddev_samp(v) AS f1 "
+             f"FROM lineitem JOIN flags USING (l_returnflag), LATERAL (VALUES {values}) x(m, v) GROUP BY ALL")
+    )
+
+
 def supplier_chain() -> Chain:
     """``sb(row_id, col_id, t, x)``: quarterly quantities per supplier and brand."""
     return (
@@ -122,27 +136,27 @@ def spectral_chain() -> Chain:
 # -- labels and block models on two features --------------------------------------------
 
 
-def add_col_labels(chain: Chain, name: str, n_groups: int, seed: int) -> Chain:
+def add_col_labels(chain: Chain, name: str, n_groups: int, seed: int, cells: str = "cell") -> Chain:
     u = uniform_sql(text("c"), "col_id", text(seed))
     return chain.add(name, f"SELECT col_id, (row_number() OVER (ORDER BY {u}, col_id) - 1) % {n_groups} AS l "
-                     "FROM (SELECT DISTINCT col_id FROM cell)")
+                     f"FROM (SELECT DISTINCT col_id FROM {cells})")
 
 
-def add_row_labels(chain: Chain, name: str, row_clusters: Sequence[int], seed: int) -> Chain:
+def add_row_labels(chain: Chain, name: str, row_clusters: Sequence[int], seed: int, cells: str = "cell") -> Chain:
     u = uniform_sql(text("r"), "row_id", "l", text(seed))
     sizes = ", ".join(f"({l}, {k})" for l, k in enumerate(row_clusters))
     return chain.add(name, f"SELECT row_id, l, (row_number() OVER (PARTITION BY l ORDER BY {u}, row_id) - 1) % g AS k "
-                     f"FROM (SELECT DISTINCT row_id FROM cell), (VALUES {sizes}) s(l, g)")
+                     f"FROM (SELECT DISTINCT row_id FROM {cells}), (VALUES {sizes}) s(l, g)")
 
 
 def row_join(shared: bool) -> str:
     return "USING (row_id)" if shared else "USING (row_id, l)"
 
 
-def add_labelled(chain: Chain, name: str, rows: str, cols: str, shared: bool) -> Chain:
+def add_labelled(chain: Chain, name: str, rows: str, cols: str, shared: bool, cells: str = "cell") -> Chain:
     """Cells with their block. Shared row labels carry no l."""
     source = f"(SELECT row_id, k FROM {rows})" if shared else rows
-    return chain.add(name, f"SELECT c.row_id, c.col_id, p.l, r.k, f0, f1 FROM cell c JOIN {cols} p USING (col_id) "
+    return chain.add(name, f"SELECT c.row_id, c.col_id, p.l, r.k, f0, f1 FROM {cells} c JOIN {cols} p USING (col_id) "
                      f"JOIN {source} r {row_join(shared)}")
 
 
@@ -154,12 +168,12 @@ def add_model(chain: Chain, name: str, labelled: str, shared: bool) -> Chain:
                      f"covar_samp(f0, f1) AS c01, covar_samp(f1, f1) AS c11 FROM {labelled} GROUP BY l, k)")
 
 
-def add_densities(chain: Chain, name: str, model: str) -> Chain:
+def add_densities(chain: Chain, name: str, model: str, cells: str = "cell") -> Chain:
     """Log density of every cell under every block."""
     return chain.add(name, "SELECT row_id, col_id, l, k, row_prop, col_prop, "
                      "-ln(2 * pi()) - 0.5 * ln(c00 * c11 - c01 * c01) - 0.5 * (c11 * (f0 - m0) * (f0 - m0) "
                      "- 2 * c01 * (f0 - m0) * (f1 - m1) + c00 * (f1 - m1) * (f1 - m1)) / (c00 * c11 - c01 * c01) AS ll "
-                     f"FROM cell, {model}")
+                     f"FROM {cells}, {model}")
 
 
 def add_row_scores(chain: Chain, name: str, densities: str, cols: str, shared: bool) -> Chain:
@@ -195,11 +209,11 @@ def add_col_draw(chain: Chain, name: str, scores: str, iteration: int, sweep: in
     return chain.add(name, draw(scores, "col_id", "l", u))
 
 
-def add_cols_from_proportions(chain: Chain, name: str, n_groups: int, seed: int) -> Chain:
+def add_cols_from_proportions(chain: Chain, name: str, n_groups: int, seed: int, cells: str = "cell") -> Chain:
     """Columns drawn from uniform proportions."""
     u = uniform_sql(text("e"), "col_id", text(0), text(0), text(seed))
     return chain.add(name, f"SELECT col_id, greatest(ceil({u} * {n_groups}) - 1, 0)::BIGINT AS l "
-                     "FROM (SELECT DISTINCT col_id FROM cell)")
+                     f"FROM (SELECT DISTINCT col_id FROM {cells})")
 
 
 def add_sweeps(chain: Chain, tag: str, densities: str, cols: str, shared: bool,
@@ -221,9 +235,10 @@ def add_likelihood(chain: Chain, name: str, densities: str, rows: str, cols: str
     return chain.add(name, f"SELECT sum(ll) AS loglik FROM {densities} SEMI JOIN {cols} USING (col_id, l) SEMI JOIN {source}")
 
 
-def add_fit(chain: Chain, tag: str, model: str, cols: str, shared: bool, iterations: int, seed: int) -> tuple[list[str], str, str]:
+def add_fit(chain: Chain, tag: str, model: str, cols: str, shared: bool, iterations: int, seed: int,
+            cells: str = "cell") -> tuple[list[str], str, str]:
     """A fit written out: names of the likelihoods, the last rows and the last columns."""
-    add_densities(chain, f"d{tag}_0", model)
+    add_densities(chain, f"d{tag}_0", model, cells)
     add_row_scores(chain, f"rs{tag}_00", f"d{tag}_0", cols, shared)
     rows = f"r{tag}_00"
     add_row_draw(chain, rows, f"rs{tag}_00", 0, 0, seed)
@@ -231,23 +246,23 @@ def add_fit(chain: Chain, tag: str, model: str, cols: str, shared: bool, iterati
     likelihoods = [f"k{tag}_0"]
     for it in range(1, iterations + 1):
         rows, cols = add_sweeps(chain, f"{tag}_{it}", f"d{tag}_{it - 1}", cols, shared, it, seed)
-        add_labelled(chain, f"b{tag}_{it}", rows, cols, shared)
+        add_labelled(chain, f"b{tag}_{it}", rows, cols, shared, cells)
         add_model(chain, f"m{tag}_{it}", f"b{tag}_{it}", shared)
-        add_densities(chain, f"d{tag}_{it}", f"m{tag}_{it}")
+        add_densities(chain, f"d{tag}_{it}", f"m{tag}_{it}", cells)
         add_likelihood(chain, f"k{tag}_{it}", f"d{tag}_{it}", rows, cols, shared)
         likelihoods.append(f"k{tag}_{it}")
     return likelihoods, rows, cols
 
 
-def add_sampled_model(chain: Chain, name: str, row_clusters: Sequence[int], m: int, seed: int) -> Chain:
+def add_sampled_model(chain: Chain, name: str, row_clusters: Sequence[int], m: int, seed: int, cells: str = "cell") -> Chain:
     """Blocks from ``m`` sampled rows each and one random column of every row."""
     blocks = ", ".join(f"({l}, {k}, {size})" for l, size in enumerate(row_clusters) for k in range(size))
     by_row = uniform_sql(text("b"), "row_id", "l", "k", text(seed))
     by_col = uniform_sql(text("s"), "row_id", "col_id", "l", "k", text(seed))
     chain.add(f"{name}_rows", f"SELECT * FROM (SELECT row_id, l, k, size, row_number() OVER (PARTITION BY l, k ORDER BY {by_row}, row_id) AS place "
-              f"FROM (SELECT DISTINCT row_id FROM cell), (VALUES {blocks}) s(l, k, size)) WHERE place <= {m}")
+              f"FROM (SELECT DISTINCT row_id FROM {cells}), (VALUES {blocks}) s(l, k, size)) WHERE place <= {m}")
     chain.add(f"{name}_cells", f"SELECT * FROM (SELECT r.row_id, r.l, r.k, r.size, f0, f1, row_number() OVER (PARTITION BY r.l, r.k, r.row_id ORDER BY {by_col}, col_id) AS pick "
-              f"FROM {name}_rows r JOIN cell USING (row_id)) WHERE pick = 1")
+              f"FROM {name}_rows r JOIN {cells} USING (row_id)) WHERE pick = 1")
     return chain.add(name, "SELECT l, k, avg(f0) AS m0, avg(f1) AS m1, covar_samp(f0, f0) AS c00, covar_samp(f0, f1) AS c01, "
                      f"covar_samp(f1, f1) AS c11, 1.0 / any_value(size) AS row_prop, 1.0 / {len(row_clusters)} AS col_prop FROM {name}_cells GROUP BY l, k")
 

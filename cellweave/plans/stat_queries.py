@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.draws import uniform
-from cellweave.operators import fit, kmeans, model, partitions, selection, shape, stats
+from cellweave.operators import kmeans, model, partitions, shape, stats
 from cellweave.operators.kmeans import Items
 from cellweave.plans import sql, tables
-from cellweave.plans.catalogue import big, embedding_matrix, pairs_matrix, query, r6, spectral_matrix
+from cellweave.plans.catalogue import big, embedding_matrix, pairs_matrix, query, r6
 from cellweave.plans.model_queries import (
     CLBM, LBM, MODEL_COLUMNS, balanced, chain_of, estimated, model_columns,
 )
@@ -351,58 +351,3 @@ def lbm_to_clbm(spark: SparkSession, sf_dir: str) -> DataFrame:
     row_props = found.filter("l = 0").select("k", "row_prop")
     col_props = found.filter("k = 0").select("l", "col_prop")
     return model_columns(model.lbm_to_clbm_table(parts, row_props, col_props))
-
-
-SEARCH = {"iterations": 3, "burn_in": 2, "max_tries": 10}
-
-
-def search_result(found: fit.FitResult) -> DataFrame:
-    """Cell counts per block of the chosen model with its score."""
-    columns = found.col_part.groupBy("l").agg(F.count(F.lit(1)).alias("n_cols"))
-    rows = found.row_part()
-    if found.settings.shared:
-        rows = rows.drop("l").withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(found.model.n_cols - 1))))
-    sizes = rows.groupBy("l", "k").agg(F.count(F.lit(1)).alias("n_rows"))
-    return sizes.join(columns, "l").select(
-        "l", "k", "n_rows", "n_cols", r6(F.lit(float(found.loglik))).alias("loglik"), r6(F.lit(float(found.icl))).alias("icl"))
-
-
-@query("clbm_grid_search")
-def clbm_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.clbm_grid_search(spectral_matrix(spark, sf_dir), [1, 2], [1, 2], n_starts=2, **SEARCH)
-    return search_result(found)
-
-
-@query("lbm_grid_search")
-def lbm_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.lbm_grid_search(spectral_matrix(spark, sf_dir), [1, 2], [1, 2], n_starts=2, **SEARCH)
-    return search_result(found)
-
-
-@query("lbm_greedy_search")
-def lbm_greedy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.lbm_greedy_search(spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=2, **SEARCH)
-    return search_result(found)
-
-
-@query("clbm_greedy_search")
-def clbm_greedy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.clbm_greedy_search(
-        spectral_matrix(spark, sf_dir), [1, 2], max_l=3, n_starts=2, split_starts=1, **SEARCH)
-    return search_result(found)
-
-
-@query("clbm_after_lbm_grid")
-def clbm_after_lbm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.clbm_after_lbm_grid(
-        spectral_matrix(spark, sf_dir), [1, 2], [2], n_starts=1, inner_starts=1, **SEARCH)
-    return search_result(found)
-
-
-@query("clbm_after_lbm_greedy")
-def clbm_after_lbm_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.clbm_after_lbm_greedy(
-        spectral_matrix(spark, sf_dir), max_k=2, max_l=2, n_starts=1, inner_starts=1, **SEARCH)
-    return search_result(found)
-
-

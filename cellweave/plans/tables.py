@@ -70,6 +70,18 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("col_id", F.col("col_id").cast("bigint"))
 
 
+def measure_pairs(spark: SparkSession, sf_dir: str, measures: dict[str, float]) -> DataFrame:
+    """Two features per cell of suppliers x (return flag, measure of a line): mean and sample sd over
+    the lines. Columns of one measure are alike."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", *measures)
+    names, n_names = dictionary(lines, "l_returnflag", "flag")
+    coded = apply_dictionary(lines, names, "l_returnflag", n_names)
+    values = [F.struct(F.lit(i).alias("m"), (F.col(c) * factor).alias("v")) for i, (c, factor) in enumerate(measures.items())]
+    spread = coded.select(F.col("l_suppkey").alias("row_id"), "flag", F.inline(F.array(*values)))
+    column = (F.col("flag") * len(measures) + F.col("m")).cast("bigint")
+    return spread.groupBy("row_id", column.alias("col_id")).agg(F.array(F.avg("v"), F.stddev_samp("v")).alias("feat"))
+
+
 def events_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two features per cell of the event matrix: mean and sample sd of the series."""
     raw = events_raw(spark, sf_dir)
