@@ -124,19 +124,26 @@ def kmeans_init_pp(items: Items, k: int, seed: int) -> DataFrame:
     """First centre: the item of lowest id. Each next one is drawn with probability
     proportional to the distance to its nearest centre; ``(k, attr, feat)``.
 
-    The draw goes through the items in order of id. Running sums are formed over bands of
-    the id hash in two levels, so no task walks through all items."""
-    first = items.cells.agg(F.min("item").alias("item"))
-    centres = items.cells.join(F.broadcast(first), "item").select(F.lit(0).alias("k"), "attr", "feat")
+    Each item carries its distance to the nearest centre so far; a round compares it with the
+    newest centre only. The draw goes through the items in order of id. Running sums are
+    formed over bands of the id in two levels, so no task walks through all items."""
+
+    def centre(item: DataFrame, c: int) -> DataFrame:
+        found = items.cells.join(F.broadcast(item), "item").select(F.lit(c).alias("k"), "attr", "feat")
+        return checkpoint(found) if k > 1 else found
+
+    newest = centre(items.cells.agg(F.min("item").alias("item")), 0)
+    centres, weights = newest, None
     for c in range(1, k):
-        distances = kmeans_distance(items, pack_centres(centres, c), c)
-        nearest_gap = F.least(*[F.col(f"d{i}") for i in range(c)]) if c > 1 else F.col("d0")
+        alone = pack_centres(newest.withColumn("k", F.lit(0)), 1)
+        distances = kmeans_distance(items, alone, 1).withColumnRenamed("d0", "gap")
+        if weights is not None:
+            distances = distances.join(items.beside_labels(weights), "item")
+        nearest_gap = F.col("gap") if weights is None else F.least("gap", "weight")
         weights = checkpoint(distances.select("item", nearest_gap.alias("weight")))
         chosen = draw_item(weights, uniform("p", F.lit(c), seed), items.n_items)
-        added = items.cells.join(F.broadcast(chosen), "item").select(F.lit(c).alias("k"), "attr", "feat")
-        centres = centres.unionByName(added)
-        if c + 1 < k:
-            centres = checkpoint(centres)
+        newest = centre(chosen, c)
+        centres = centres.unionByName(newest)
     return centres
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.runtime import checkpoint, partitions_for
+from cellweave.runtime import broadcast_if_small, checkpoint, partitions_for
 
 ROW_BYTES = 64
 ROWS_PER_BAND = 1 << 17
@@ -32,7 +32,7 @@ def dense_index(df: DataFrame, columns: Sequence[str], out: str, n_rows: int) ->
     inside = Window.partitionBy("range_no").orderBy(*columns)
     return (
         split.withColumn("in_range", F.row_number().over(inside))
-        .join(F.broadcast(starts), "range_no")
+        .join(broadcast_if_small(starts, parts, ROW_BYTES), "range_no")
         .withColumn(out, (F.col("in_range") + F.col("start") - 1).cast("bigint"))
         .drop("range_no", "in_range", "start")
     )
@@ -56,7 +56,8 @@ def uniform_rank(
 ) -> DataFrame:
     """Number the rows of each group 0..n-1 in the order of a hash uniform ``u``, ties by
     id. ``n_rows`` is the size of a group. The uniform cuts every group into bands of equal
-    expected size, so a band is ranked by one task and a group is not."""
+    expected size, so a band is ranked by one task and a group is not. Where a band begins is
+    joined by its key: one record per 131,072 rows and group, left to the optimizer to move."""
     bands = max(1, -(-n_rows // ROWS_PER_BAND))
     drawn = df.withColumn("u", u).withColumn("band", F.floor(F.col("u") * bands).cast("int"))
     if bands == 1:
@@ -74,7 +75,7 @@ def uniform_rank(
     inside = Window.partitionBy(*groups, "band").orderBy("u", tie)
     return (
         drawn.withColumn("in_band", F.row_number().over(inside))
-        .join(F.broadcast(starts), [*groups, "band"])
+        .join(starts, [*groups, "band"])
         .withColumn(out, (F.col("in_band") + F.col("start") - 1).cast("bigint"))
         .drop("u", "band", "in_band", "start")
     )

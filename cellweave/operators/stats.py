@@ -97,6 +97,14 @@ def centred_products(
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+def whole_entries(dim: int) -> list[Column]:
+    """The entries of ``feat``; another number of them, or a missing one, is an error."""
+    refused = F.raise_error(F.lit(f"a cell has not {dim} features without a null")).cast("double")
+    x = [F.coalesce(F.get("feat", F.lit(i)), refused) for i in range(dim)]
+    x[0] = x[0] + F.when(F.size("feat") == dim, F.lit(0.0)).otherwise(refused)
+    return x
+
+
 def block_sums(cells: DataFrame, dim: int, shift: np.ndarray | None = None) -> DataFrame:
     """Count, sums and products of ``feat - shift`` per block, ``(l, k, sums)`` where
     ``sums`` holds n, then the sums, then the upper product triangle.
@@ -105,10 +113,7 @@ def block_sums(cells: DataFrame, dim: int, shift: np.ndarray | None = None) -> D
     however large a block is."""
     shift = np.zeros(dim) if shift is None else shift
     if dim <= NATIVE_DIM:
-        refused = F.raise_error(F.lit(f"a cell has not {dim} features without a null")).cast("double")
-        extra = F.when(F.size("feat") == dim, F.lit(0.0)).otherwise(refused)
-        x = [F.coalesce(F.get("feat", F.lit(i)), refused) - F.lit(float(shift[i])) for i in range(dim)]
-        x[0] = x[0] + extra
+        x = [entry - F.lit(float(shift[i])) for i, entry in enumerate(whole_entries(dim))]
         products = [F.sum(x[i] * x[j]) for i in range(dim) for j in range(i, dim)]
         total = F.array(F.count(F.lit(1)).cast("double"), *[F.sum(v) for v in x], *products)
         return cells.groupBy("l", "k").agg(total.alias("sums"))
@@ -140,8 +145,14 @@ def unpack_sums(values: Sequence[float], dim: int) -> tuple[int, np.ndarray, np.
 
 def grouped_covariance(cells: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
     """Covariance ``(l, k, i, j, cov)`` of each block about the centre given for it in
-    ``centres(l, k, mean)``, divided by its cell count less one. The centre, one per block, is
-    taken off the cells before the products are formed, so a large mean costs no digits."""
+    ``centres(l, k, mean)``, divided by its cell count less one.
+
+    Up to ``NATIVE_DIM`` features the cells are read once: counts, means and centred products are
+    merged pairwise as Spark's covariances do, so that a large mean costs no digits, and the
+    centres, one per block, meet the results. With more, the centre is taken off the cells before
+    the products are formed in numpy."""
+    if dim <= NATIVE_DIM:
+        return moments_about(cells, centres, dim)
     gaps = F.zip_with("feat", "mean", lambda x, m: x - m)
     centred = cells.join(counted_broadcast(centres.select("l", "k", "mean"), 16 + 8 * dim), ["l", "k"])
     sums = block_sums(centred.select("l", "k", gaps.alias("feat")), dim)
@@ -155,6 +166,29 @@ def grouped_covariance(cells: DataFrame, centres: DataFrame, dim: int) -> DataFr
     return sums.select("l", "k", F.inline(F.array(*entries)))
 
 
+def moments_about(cells: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
+    """``grouped_covariance`` from the covariances about the true means: a product about c is the one
+    about the mean plus the product of what the mean is off."""
+    x = whole_entries(dim)
+    pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
+    found = cells.groupBy("l", "k").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(v) for v in x]).alias("true"),
+        F.array(*[F.covar_pop(x[i], x[j]) for i, j in pairs]).alias("spread"),
+    )
+    place = {pair: n for n, pair in enumerate(pairs)}
+    off = F.zip_with("true", "mean", lambda a, b: a - b)
+    met = found.join(centres.select("l", "k", "mean"), ["l", "k"]).withColumn("off", off)
+    entries = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"),
+            (F.col("n") * (F.get("spread", F.lit(place[min(i, j), max(i, j)])) + F.get("off", F.lit(i)) * F.get("off", F.lit(j)))
+             / (F.col("n") - 1)).alias("cov"),
+        )
+        for i in range(dim) for j in range(dim)
+    ]
+    return met.select("l", "k", F.inline(F.array(*entries)))
+
+
 def log_sum_exp_by_key(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """log Σ exp(score) per key by sums alone, so a key of any size is added up in parts.
 

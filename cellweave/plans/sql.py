@@ -104,7 +104,7 @@ def embedding_chain() -> Chain:
     """``em(row_id, col_id, pos, x)``: slices of eight floats."""
     return Chain().add(
         "em", "SELECT vec_id AS row_id, (i - 1) // 8 AS col_id, (i - 1) % 8 AS pos, "
-        "embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)"
+        "embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"
     )
 
 

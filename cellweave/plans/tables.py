@@ -9,7 +9,6 @@ from cellweave.operators.shape import apply_dictionary, id_dictionary
 from cellweave.runtime import checkpoint
 from cellweave.sources.series import bucket_range, cells_ingest, fill_missing_cells, series_build
 
-SLICES = 8
 SLICE_WIDTH = 8
 
 
@@ -28,10 +27,12 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users x event types; a series is the daily sum of ``value`` from the first day of the table
     to the last."""
     events = read(spark, sf_dir, "events")
-    names, n_names = dictionary(events, "event_type", "type_id")
-    coded = apply_dictionary(events, names, "event_type", n_names)
     day = F.unix_date(F.to_date("ts"))
-    first, days = bucket_range(events, day)
+    # The names and the days of each, from one reading.
+    seen = checkpoint(events.groupBy("event_type").agg(F.min(day).alias("first"), F.max(day).alias("last")))
+    names, n_names = dictionary(seen, "event_type", "type_id")
+    first, days = bucket_range(seen.select(F.explode(F.array("first", "last")).alias("day")), F.col("day"))
+    coded = apply_dictionary(events, names, "event_type", n_names)
     built = series_build(coded, "user_id", "type_id", day - first + 1, "value", days)
     return fill_missing_cells(built, n_names, days)
 
@@ -57,10 +58,14 @@ def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors x slices of their embedding."""
+    """Vectors x slices of eight entries of their embedding, however long it is. A length that eight
+    does not divide is an error."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    refused = F.raise_error(F.lit(f"an embedding is not made of slices of {SLICE_WIDTH} entries")).cast("int")
+    whole = (F.size("embedding") > 0) & (F.size("embedding") % SLICE_WIDTH == 0)
+    n_slices = F.when(F.coalesce(whole, F.lit(False)), (F.size("embedding") / SLICE_WIDTH).cast("int")).otherwise(refused)
     slices = F.transform(
-        F.sequence(F.lit(0), F.lit(SLICES - 1)),
+        F.sequence(F.lit(0), n_slices - 1),
         lambda s: F.transform(
             F.slice("embedding", s * SLICE_WIDTH + 1, F.lit(SLICE_WIDTH)), lambda x: x.cast("double")
         ),

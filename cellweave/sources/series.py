@@ -51,18 +51,17 @@ def series_build(
 
 
 def fill_missing_cells(cells: DataFrame, n_cols: int, n_buckets: int) -> DataFrame:
-    """Add an all-zero series for every (row, column 0..n_cols-1) that has no record."""
-    grid = (
-        cells.select("row_id").distinct()
-        .withColumn("col_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))))
-    )
+    """Add an all-zero series for every (row, column 0..n_cols-1) that has no record. The series of a
+    row are put together once and read out again column by column, so the table is read once
+    and nothing is joined."""
     buckets = F.sequence(F.lit(1), F.lit(n_buckets))
     times = F.transform(buckets, lambda b: b.cast("double"))
     zeros = F.array_repeat(F.lit(0.0), n_buckets)
-    return grid.join(cells, ["row_id", "col_id"], "left").select(
-        "row_id", "col_id",
-        F.coalesce("t", times).alias("t"),
-        F.coalesce("x", zeros).alias("x"),
+    columns = F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))
+    known = F.map_from_entries(F.collect_list(F.struct(F.col("col_id").cast("bigint"), F.col("x"))))
+    by_row = cells.groupBy("row_id").agg(known.alias("known"))
+    return by_row.select("row_id", "known", F.explode(columns).alias("col_id")).select(
+        "row_id", "col_id", times.alias("t"), F.coalesce(F.try_element_at("known", F.col("col_id")), zeros).alias("x")
     )
 
 

@@ -175,3 +175,35 @@ def test_labels_do_not_move_cells(spark):
         kept.unpersist()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("dim", [3, 10])
+def test_grouped_covariances_of_far_blocks_cost_no_digits(spark, dim):
+    rng = np.random.default_rng(5)
+    rows, expected = [], {}
+    for l, offset in ((0, 1e8), (1, -3e7), (2, 0.0)):
+        x = rng.normal(size=(40, dim)) + offset
+        centre = x.mean(axis=0) + 0.5
+        rows += [(l, 0, v.tolist()) for v in x]
+        expected[l] = (centre, (x - centre).T @ (x - centre) / 39)
+    cells = spark.createDataFrame(rows, "l int, k int, feat array<double>")
+    centres = spark.createDataFrame([(l, 0, c.tolist()) for l, (c, _) in expected.items()], "l int, k int, mean array<double>")
+    for r in stats.grouped_covariance(cells, centres, dim).collect():
+        assert math.isclose(r["cov"], expected[r.l][1][r.i, r.j], rel_tol=1e-5, abs_tol=1e-5)
+    if dim == 3:
+        for odd in ([1.0, 2.0], [1.0, None, 2.0], None):
+            with pytest.raises(PySparkException):
+                stats.grouped_covariance(cells.unionByName(spark.createDataFrame([(0, 0, odd)], cells.schema)), centres, dim).collect()
+
+
+def test_embeddings_of_any_width_are_read_whole(spark, tmp_path):
+    def path(name, vectors):
+        frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int")
+        frame.write.parquet(str(tmp_path / name / "embeddings.parquet"))
+        return str(tmp_path / name)
+
+    cells = tables.embedding_cells(spark, path("wide", [[float(i) for i in range(96)], [1.0] * 96])).collect()
+    assert len(cells) == 24 and sum(sum(r.feat) for r in cells) == sum(range(96)) + 96
+    for bad in ([1.0] * 60, [], None):
+        with pytest.raises(PySparkException, match="slices"):
+            tables.embedding_cells(spark, path(f"bad{len(bad or '') + (bad is None)}", [bad])).collect()
