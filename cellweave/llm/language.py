@@ -232,7 +232,7 @@ def with_language(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = []
-        for _, _, texts in text_slices(batch.column(place)):
+        for _, _, texts in text_slices(batch.column(place), 250_000):
             chosen, score = labelled(model, texts, penalty)[:2]
             kept.append((chosen != unknown) & (score >= min_score))
         return batch.filter(pa.array(np.concatenate(kept)))

@@ -174,7 +174,7 @@ def set_prints(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, sizes, keys = [], [], []
-        for _, _, texts in text_slices(batch.column(1)):
+        for _, _, texts in text_slices(batch.column(1), SLICE_BYTES):
             sets, first = shingle_sets(texts, size)
             nodes.append(digested(sets, first))
             sizes.append(np.diff(first))
@@ -195,7 +195,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, lists = [], []
-        for _, _, texts in text_slices(batch.column(0)):
+        for _, _, texts in text_slices(batch.column(0), SLICE_BYTES):
             sets, first = shingle_sets(texts, size)
             nodes.append(digested(sets, first))
             lists.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64))))
@@ -205,6 +205,8 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(by_batch(run), "node binary, shingles array<bigint>")
 
 
+#: Text whose shingles are in memory at a time; a longer text alone.
+SLICE_BYTES = 250_000
 #: Buckets of up to so many members are compared pair by pair; larger ones by their hubs.
 SMALL = 32
 #: What the members of a bucket are compared for: links with each other, or of one kind with the other.
