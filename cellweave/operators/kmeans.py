@@ -2,11 +2,14 @@
 
 The items are rows with their columns as attributes, or columns with their rows. Cells are
 ``(item, attr, feat)``; centres are ``(attr, centres)`` with one vector per cluster, so a
-cell meets all clusters in a single join."""
+cell meets all clusters in a single join. Items may come in groups that share no attribute, such
+as the rows inside each column cluster: an attribute then tells the group, and a round serves the
+k-means of all groups."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.draws import pick_category, uniform
 from cellweave.operators.model import EmptyClusterError
 from cellweave.operators.ranks import first_of_each
-from cellweave.runtime import broadcast_if_small, checkpoint
+from cellweave.runtime import broadcast_if_small, checkpoint, run_together
 
 SAMPLE_SIZE = 20
 ITERATIONS = 10
@@ -25,12 +28,14 @@ BAND_ITEMS = 4096
 
 @dataclass(frozen=True)
 class Items:
-    """Cells read as items with attributes, and the counted sizes joins depend on."""
+    """Cells read as items with attributes, and the counted sizes joins depend on. In groups an item
+    has the keys ``group`` and ``item``, and some groups may have fewer clusters than others."""
 
     cells: DataFrame
     n_items: int
     n_attrs: int
     dim: int
+    keys: tuple[str, ...] = ("item",)
 
     @staticmethod
     def of_rows(matrix, loadings_dim: int | None = None, cells: DataFrame | None = None) -> Items:
@@ -61,33 +66,31 @@ def squared_distance(centre: Column, dim: int) -> Column:
 
 def kmeans_distance(items: Items, packed: DataFrame, k: int) -> DataFrame:
     """``(item, d0, d1, ...)``: square root of the squared differences summed over all
-    attributes, for each of ``k`` centres."""
+    attributes, for each of ``k`` centres; null for a centre that a group has not."""
     met = items.cells.join(items.beside_centres(packed, k), "attr")
     sums = [
         F.sqrt(F.sum(squared_distance(F.get("centres", F.lit(c)), items.dim))).alias(f"d{c}")
         for c in range(k)
     ]
-    return met.groupBy("item").agg(*sums)
+    return met.groupBy(*items.keys).agg(*sums)
 
 
 def nearest(k: int) -> Column:
     """Index of the smallest distance, the lowest on ties."""
-    best = F.array_min(F.array(*[
-        F.struct(F.col(f"d{c}").alias("d"), F.lit(c).alias("k")) for c in range(k)
-    ]))
-    return best["k"]
+    known = [F.when(F.col(f"d{c}").isNotNull(), F.struct(F.col(f"d{c}").alias("d"), F.lit(c).alias("k"))) for c in range(k)]
+    return F.array_min(F.array(*known))["k"]
 
 
 def kmeans_assign(items: Items, packed: DataFrame, k: int) -> DataFrame:
     """``(item, k)``."""
-    return kmeans_distance(items, packed, k).select("item", nearest(k).alias("k"))
+    return kmeans_distance(items, packed, k).select(*items.keys, nearest(k).alias("k"))
 
 
 def kmeans_update(items: Items, labels: DataFrame) -> DataFrame:
     """Mean of the members of each cluster, ``(k, attr, feat)``."""
     means = F.array(*[F.avg(F.get("feat", F.lit(i))) for i in range(items.dim)])
     return (
-        items.cells.join(items.beside_labels(labels), "item")
+        items.cells.join(items.beside_labels(labels), list(items.keys))
         .groupBy("attr", "k")
         .agg(means.alias("feat"))
         .select("k", "attr", "feat")
@@ -218,3 +221,63 @@ def kmeans_fit(
                 break
     return KMeansResult(None, None, "failed")
 
+
+def kmeans_groups(items: Items, sizes: dict[int, int], seed: int = 0, iterations: int = ITERATIONS, max_tries: int = TRIES) -> DataFrame:
+    """``(group, item, k)``: the labels of ``kmeans_fit`` inside each group, with as many clusters as
+    ``sizes`` says. The rounds of all groups are one; only the draws of new centres are made group
+    by group, side by side. A group that loses a cluster is tried again with another seed while
+    the others stand."""
+    pending, done = dict(sizes), []
+    for attempt in range(max_tries):
+        own = replace(items, cells=items.cells.filter(F.col("group").isin(list(pending))))
+        labels, alive = group_rounds(own, pending, seed + attempt, iterations)
+        if alive:
+            done.append(labels)
+        pending = {g: k for g, k in pending.items() if g not in alive}
+        if not pending:
+            return reduce(DataFrame.unionByName, done)
+    raise EmptyClusterError("k-means found no start without an empty cluster")
+
+
+def group_rounds(items: Items, sizes: dict[int, int], seed: int, iterations: int) -> tuple[DataFrame, set[int]]:
+    """The labels of the groups that keep all their clusters, and which these are."""
+    most, alive, labels = max(sizes.values()), set(sizes), None
+    centres = group_centres(items, sizes, seed)
+    for _ in range(iterations):
+        labels = checkpoint(kmeans_assign(items, pack_centres(centres, most), most))
+        counted = {(r.group, r.k): r["count"] for r in labels.groupBy("group", "k").count().collect()}
+        lost = {g for g in alive if sizes[g] > 1 and any(counted.get((g, c), 0) <= 1 for c in range(sizes[g]))}
+        if lost:
+            alive -= lost
+            labels = labels.filter(F.col("group").isin(list(alive)))
+        if not alive:
+            break
+        centres = kmeans_update(items, labels)
+    return labels, alive
+
+
+def group_centres(items: Items, sizes: dict[int, int], seed: int) -> DataFrame:
+    """The start of ``kmeans_init_pp`` in each group, ``(k, attr, feat)``."""
+
+    def centre(chosen: DataFrame, c: int) -> DataFrame:
+        met = items.cells.join(broadcast_if_small(chosen, len(sizes), 32), ["group", "item"])
+        return checkpoint(met.select(F.lit(c).alias("k"), "attr", "feat"))
+
+    newest = centre(items.cells.groupBy("group").agg(F.min("item").alias("item")), 0)
+    centres, weights = newest, None
+    for c in range(1, max(sizes.values())):
+        alone = pack_centres(newest.withColumn("k", F.lit(0)), 1)
+        distances = kmeans_distance(items, alone, 1).withColumnRenamed("d0", "gap")
+        if weights is not None:
+            distances = distances.join(items.beside_labels(weights), ["group", "item"])
+        nearest_gap = F.col("gap") if weights is None else F.least("gap", "weight")
+        weights = checkpoint(distances.select("group", "item", nearest_gap.alias("weight")))
+        u = uniform("p", F.lit(c), seed)
+        drawn = run_together([
+            lambda g=g: draw_item(weights.filter(F.col("group") == g), u, items.n_items).first().item
+            for g, k in sizes.items() if k > c
+        ])
+        wanted = [(g, item) for g, item in zip([g for g, k in sizes.items() if k > c], drawn, strict=True)]
+        newest = centre(items.cells.sparkSession.createDataFrame(wanted, "group int, item bigint"), c)
+        centres = centres.unionByName(newest)
+    return centres

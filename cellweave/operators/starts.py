@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.draws import uniform
 from cellweave.operators.blocks import draw_cols_from_proportions, estimate, m_step
-from cellweave.operators.kmeans import Items, kmeans_fit
+from cellweave.operators.kmeans import Items, kmeans_fit, kmeans_groups
 from cellweave.operators.matrix import CellMatrix, wide_row_part
 from cellweave.operators.model import BlockModel, EmptyClusterError
 from cellweave.operators.packed import (
@@ -28,7 +28,7 @@ from cellweave.operators.partitions import balanced_col_partition, balanced_row_
 from cellweave.operators.pca import project_loadings
 from cellweave.operators.ranks import first_of_each
 from cellweave.operators.stats import block_sums, unpack_sums
-from cellweave.runtime import broadcast_if_small, checkpoint, run_together
+from cellweave.runtime import broadcast_if_small, checkpoint
 
 # Rows sampled per block, and the inner fits of the LBM start.
 SAMPLE_ROWS = 50
@@ -148,33 +148,31 @@ def joined_row_labels(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def from_kmeans(matrix: CellMatrix, settings, seed: int) -> tuple[BlockModel, DataFrame]:
-    """k-means on the columns, then on the rows inside each column cluster, both on the
+    """k-means on the columns, then on the rows inside all column clusters at once, both on the
     projected features."""
     sizes = settings.row_clusters
     w = matrix.pooled_loadings(settings.max_components, settings.threshold)
     # every round of k-means reads the projected cells, so they are kept
     cells = project_loadings(matrix.cells, "feat", "feat", w).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def labels(items: Items, k: int) -> DataFrame:
-        if k == 1:
-            return items.cells.select("item").distinct().select("item", F.lit(0).alias("k"))
-        found = kmeans_fit(items, k, seed=seed)
+    def column_labels() -> DataFrame:
+        items = Items.of_columns(matrix, len(w), cells)
+        if len(sizes) == 1:
+            return items.cells.select("item").distinct().withColumn("k", F.lit(0))
+        found = kmeans_fit(items, len(sizes), seed=seed)
         if found.status != "ok":
             raise EmptyClusterError("k-means found no start without an empty cluster")
         return found.labels
 
-    def rows_inside(l: int) -> DataFrame:
-        piece = matrix.slice(col_part, l)
-        inside = cells.join(
-            matrix.beside_columns(col_part.filter(F.col("l") == l)), "col_id", "left_semi")
-        by_row = labels(Items.of_rows(piece, len(w), inside), sizes[l])
-        return by_row.select(F.col("item").alias("row_id"), "k")
-
     try:
-        by_column = labels(Items.of_columns(matrix, len(w), cells), len(sizes))
-        col_part = checkpoint(by_column.select(F.col("item").alias("col_id"), F.col("k").alias("l")))
-        parts = run_together([lambda l=l: rows_inside(l) for l in range(len(sizes))])
-        row_labels = checkpoint(joined_row_labels(parts))
+        col_part = checkpoint(column_labels().select(F.col("item").alias("col_id"), F.col("k").alias("l")))
+        inside = cells.join(matrix.beside_columns(col_part), "col_id").select(
+            F.col("l").alias("group"), F.col("row_id").alias("item"), F.col("col_id").alias("attr"), "feat"
+        )
+        items = Items(inside, matrix.n_rows * len(sizes), matrix.n_cols, len(w), ("group", "item"))
+        by_row = kmeans_groups(items, dict(enumerate(sizes)), seed)
+        long = by_row.select(F.col("item").alias("row_id"), F.col("group").alias("l"), "k")
+        row_labels = checkpoint(wide_row_part(long, len(sizes)))
     finally:
         cells.unpersist()
     return from_given_partition(matrix, row_labels, col_part, settings)

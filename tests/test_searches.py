@@ -133,3 +133,17 @@ def test_row_labels_are_drawn_when_asked_for(matrix):
     found = fit.clbm_fit(matrix, (2, 2), iterations=1, burn_in=0)
     assert callable(found.row_labels)
     assert long_row_part(found.labels()).count() == 40 and not callable(found.row_labels)
+
+
+def test_kmeans_of_groups_equals_kmeans_of_each(truth, matrix):
+    from cellweave.operators import kmeans
+
+    columns = truth.select("col_id", "l").distinct()
+    grouped = matrix.cells.join(columns, "col_id").select(
+        F.col("l").alias("group"), F.col("row_id").alias("item"), F.col("col_id").alias("attr"), "feat")
+    items = kmeans.Items(grouped, 60, 15, 2, ("group", "item"))
+    sizes = {0: 2, 1: 3, 2: 1}
+    found = {(r.group, r.item): r.k for r in kmeans.kmeans_groups(items, sizes, seed=1, iterations=3).collect()}
+    for l, k in sizes.items():
+        own = kmeans.kmeans_fit(kmeans.Items.of_rows(matrix.slice(columns, l)), k, seed=1, iterations=3)
+        assert {r.item: r.k for r in own.labels.collect()} == {i: c for (g, i), c in found.items() if g == l}
