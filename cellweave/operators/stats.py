@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -49,16 +47,15 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -
 def weighted_covariance_scalar(
     df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str
 ) -> DataFrame:
-    """Weighted mean of the products about the *unweighted* means of the group. The means, one
-    record per group, are joined back, so that the products are centred before they are
-    added up and a large mean costs no digits."""
-    named = [F.col(key).alias(f"_{key}") for key in keys]
-    means = df.groupBy(*named).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys], F.lit(True))
-    centred = df.join(counted_broadcast(means), same)
-    w = F.col(weight)
-    products = w * (F.col(x) - F.col("_mx")) * (F.col(y) - F.col("_my"))
-    return centred.groupBy(*keys).agg((F.sum(products) / F.sum(w)).alias("weighted_covariance"))
+    """Weighted mean of the products about the *unweighted* means of the group, from one reading.
+
+    The mean of w (x - mx) (y - my) is the covariance of w x and y less mx times that of w and y, as
+    constants beside w and y drop out of both. Spark merges covariances pairwise, so a large mean
+    costs few digits. Rows in which one of the three is missing are left out."""
+    whole = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull()
+    a, b, w = (F.when(whole, F.col(c).cast("double")) for c in (x, y, weight))
+    products = F.covar_pop(w * a, b) - F.avg(a) * F.covar_pop(w, b)
+    return df.groupBy(*keys).agg((products / F.avg(w)).alias("weighted_covariance"))
 
 
 def covariance_matrix(
