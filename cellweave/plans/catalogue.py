@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,9 @@ from cellweave.plans.sql import MEASURES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Matrices that a session keeps.
+HELD_MATRICES = 4
+PREPARED: OrderedDict[tuple[str, str, str], CellMatrix] = OrderedDict()
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -61,8 +64,20 @@ def measures_matrix(spark: SparkSession, sf_dir: str) -> CellMatrix:
     return prepared(spark.sparkContext.applicationId, sf_dir, "measures", spark)
 
 
-@lru_cache(maxsize=16)
 def prepared(app: str, sf_dir: str, kind: str, spark: SparkSession) -> CellMatrix:
+    """The matrix of a session, made on first use; the one not used for longest is released."""
+    key = (app, sf_dir, kind)
+    if key not in PREPARED:
+        PREPARED[key] = prepare(sf_dir, kind, spark)
+        if len(PREPARED) > HELD_MATRICES:
+            (old_app, *_), oldest = PREPARED.popitem(last=False)
+            if old_app == app:  # those of a session that has ended are gone with it
+                oldest.release()
+    PREPARED.move_to_end(key)
+    return PREPARED[key]
+
+
+def prepare(sf_dir: str, kind: str, spark: SparkSession) -> CellMatrix:
     sources = {
         "pairs": lambda: tables.events_pairs(spark, sf_dir),
         "spectral": lambda: spectral_features(tables.events_series(spark, sf_dir)),

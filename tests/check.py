@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import threading
 import time
 from pathlib import Path
@@ -66,6 +67,7 @@ def main() -> None:
     sf_dir = f"/root/testdata/sf{sf}"
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cellweave-check-"))
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
