@@ -334,6 +334,8 @@ def init_kmeans_sql() -> str:
 
 @query("clbm_init_kmeans", init_kmeans_sql())
 def clbm_init_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL has no second try: with the ten rows of the smallest tables a cluster is lost and the
+    query goes on with another seed."""
     settings = fit.clbm_settings(START, threshold=1.0)
     return started(starts.from_kmeans(measures_matrix(spark, sf_dir), settings, 0), spark)
 

@@ -20,6 +20,7 @@ COMPARED = [
     "clbm_draw_rows", "clbm_draw_cols", "clbm_loglik", "clbm_icl", "clbm_mean_model", "clbm_fit",
     "lbm_fit", "clbm_init_random", "clbm_init_given_partition", "entire_row_partition",
     "adjusted_rand_index", "partitions_equal", "merge_col_partition", "update_model", "lbm_to_clbm",
+    "clbm_grid_search", "lbm_grid_search", "lbm_greedy_search", "clbm_greedy_search", "clbm_after_lbm_grid",
 ]
 
 
