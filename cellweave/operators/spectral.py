@@ -102,16 +102,23 @@ def linear_interpolation(
     cell; null outside their range. A cell's frequencies need not be even nor begin at zero."""
     last = F.size(freq) - 2
 
-    def at(frequency: Column) -> Column:
-        left = F.size(F.filter(freq, lambda f: f <= frequency)) - 1
-        place = F.least(left, last)
-        low, high = F.get(freq, place), F.get(freq, place + 1)
-        share = (frequency - low) / (high - low)
-        value = F.get(values, place) * (1 - share) + F.get(values, place + 1) * share
-        return F.when((left >= 0) & (frequency <= high), value)
+    # Each step is bound to a lambda of its own, so a frequency is looked for once for each point.
+    def place(g: Column) -> Column:
+        return F.struct(g.alias("g"), (F.size(F.filter(freq, lambda f: f <= g)) - 1).alias("left"))
+
+    def ends(s: Column) -> Column:
+        at = F.least(s["left"], last)
+        return F.struct(
+            s["g"].alias("g"), s["left"].alias("left"), F.get(freq, at).alias("low"), F.get(freq, at + 1).alias("high"),
+            F.get(values, at).alias("a"), F.get(values, at + 1).alias("b"),
+        )
+
+    def between(s: Column) -> Column:
+        share = (s["g"] - s["low"]) / (s["high"] - s["low"])
+        return F.when((s["left"] >= 0) & (s["g"] <= s["high"]), s["a"] * (1 - share) + s["b"] * share)
 
     points = F.array(*[F.lit(float(g)) for g in grid])
-    return df.withColumn(out, F.transform(points, at))
+    return df.withColumn(out, F.transform(F.transform(F.transform(points, place), ends), between))
 
 
 def log_scale(df: DataFrame, values: str, out: str, offset: float = LOG_OFFSET) -> DataFrame:

@@ -273,7 +273,10 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions(df: DataFrame, vector: str, place: str, value: str) -> DataFrame:
-    exploded = df.select("row_id", "col_id", F.posexplode(vector).alias(place, value))
+    """The entries of a vector, one by one. ``posexplode`` would have the optimizer ask for vectors
+    that are not empty before they are made, and so make each of them twice; empty ones are left
+    out afterwards instead."""
+    exploded = df.select("row_id", "col_id", F.posexplode_outer(vector).alias(place, value)).where(F.col(place).isNotNull())
     return exploded.select("row_id", "col_id", big(place).alias(place), r6(value).alias(value))
 
 
