@@ -28,12 +28,14 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     to the last."""
     events = read(spark, sf_dir, "events")
     day = F.unix_date(F.to_date("ts"))
-    # The names and the days of each, from one reading.
-    seen = checkpoint(events.groupBy("event_type").agg(F.min(day).alias("first"), F.max(day).alias("last")))
+    # The names, and the days and the number of the records of each, from one reading.
+    seen = checkpoint(events.groupBy("event_type").agg(
+        F.min(day).alias("first"), F.max(day).alias("last"), F.count(F.lit(1)).alias("n")))
     names, n_names = dictionary(seen, "event_type", "type_id")
-    first, days = bucket_range(seen.select(F.explode(F.array("first", "last")).alias("day")), F.col("day"))
+    ends = seen.select("n", F.posexplode(F.array("first", "last")).alias("end", "day"))
+    first, days, n_records = bucket_range(ends, F.col("day"), F.sum(F.when(F.col("end") == 0, F.col("n"))))
     coded = apply_dictionary(events, names, "event_type", n_names)
-    built = series_build(coded, "user_id", "type_id", day - first + 1, "value", days)
+    built = series_build(coded, "user_id", "type_id", day - first + 1, "value", days, n_records)
     return fill_missing_cells(built, n_names, days)
 
 
@@ -48,8 +50,8 @@ def supplier_brand_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = apply_dictionary(part, names, "p_brand", n_names).select("p_partkey", "brand_id")
     joined = lineitem.join(coded, F.col("l_partkey") == F.col("p_partkey"))
     quarter = F.year("l_shipdate") * 4 + F.quarter("l_shipdate")
-    first, quarters = bucket_range(lineitem, quarter)
-    built = series_build(joined, "l_suppkey", "brand_id", quarter - first + 1, "l_quantity", quarters)
+    first, quarters, n_records = bucket_range(lineitem, quarter)
+    built = series_build(joined, "l_suppkey", "brand_id", quarter - first + 1, "l_quantity", quarters, n_records)
     return fill_missing_cells(built, n_names, quarters)
 
 

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.runtime import partitions_for
 
 # Up to this many buckets the sums of a cell are columns of one aggregation.
 WIDE_BUCKETS = 64
+RECORD_BYTES = 64
 
 
-def bucket_range(df: DataFrame, bucket: Column) -> tuple[int, int]:
-    """Lowest bucket of the table and the number of buckets up to the highest."""
-    low, high = df.agg(F.min(bucket), F.max(bucket)).first()
+def bucket_range(df: DataFrame, bucket: Column, records: Column | None = None) -> tuple[int, int, int]:
+    """Lowest bucket of the table, the number of buckets up to the highest, and the number of records:
+    lines of the table unless ``records`` says otherwise."""
+    low, high, n = df.agg(F.min(bucket), F.max(bucket), F.count(F.lit(1)) if records is None else records).first()
     if low is None:
         raise ValueError("no record has a time")
-    return int(low), int(high - low) + 1
+    return int(low), int(high - low) + 1, int(n)
 
 
 def series_build(
-    df: DataFrame, row: str, col: str, bucket: Column, value: str, n_buckets: int
+    df: DataFrame, row: str, col: str, bucket: Column, value: str, n_buckets: int, n_records: int | None = None
 ) -> DataFrame:
     """Sum ``value`` per (row, column, bucket 1..n) and collect one array pair per cell,
     ``(row_id, col_id, t, x)``; buckets without a record count as zero.
@@ -27,7 +30,11 @@ def series_build(
     No record is passed over: one without row, column or bucket, or with a bucket outside
     1..n, is an error. Up to ``WIDE_BUCKETS`` buckets are added up in one aggregation by cell;
     more are summed before they are grouped, so a cell holds at most ``n_buckets`` entries
-    when it is collected."""
+    when it is collected.
+
+    Records are dealt out by row before they are added up, in partitions whose number follows
+    ``n_records`` if that is counted. A task then holds the sums of its own cells, one by one, and
+    not those of nearly every cell its records belong to, which would grow with the table."""
     known = F.col("row_id").isNotNull() & F.col("col_id").isNotNull()
     inside = known & F.coalesce(F.col("bucket").between(1, n_buckets), F.lit(False))
     outside = F.raise_error(F.lit(f"a record has no row, no column or no bucket in 1..{n_buckets}"))
@@ -35,6 +42,8 @@ def series_build(
         F.col(row).alias("row_id"), F.col(col).alias("col_id"),
         bucket.cast("int").alias("bucket"), F.col(value).cast("double").alias("v"),
     ).withColumn("bucket", F.when(inside, F.col("bucket")).otherwise(outside.cast("int")))
+    parts = [] if n_records is None else [partitions_for(df.sparkSession, n_records * RECORD_BYTES)]
+    records = records.repartition(*parts, "row_id")
     buckets, zero = F.sequence(F.lit(1), F.lit(n_buckets)), F.lit(0.0)
     times = F.transform(buckets, lambda b: b.cast("double")).alias("t")
     if n_buckets <= WIDE_BUCKETS:
