@@ -169,8 +169,8 @@ def digested(sets: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def set_prints(docs: DataFrame, size: int) -> DataFrame:
-    """``id, node, size, k0.., s0, s1``: digest and size of the set of shingles of each of
-    ``docs(id, text)``, its keys and its sketch."""
+    """``id, node, size, k0.., s0, s1, fp``: digest and size of the set of shingles of each of
+    ``docs(id, text)``, its keys and its sketch, and the text's SimHash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, sizes, keys = [], [], []
@@ -178,12 +178,12 @@ def set_prints(docs: DataFrame, size: int) -> DataFrame:
             sets, first = shingle_sets(texts, size)
             nodes.append(digested(sets, first))
             sizes.append(np.diff(first))
-            keys.append(band_keys(sets, first))
+            keys.append(np.vstack([band_keys(sets, first), np.array([fingerprint(t) for t in texts], np.uint64)]))
         rows = np.concatenate(keys, axis=1).view(np.int64)
         columns = [batch.column(0), pa.concat_arrays(nodes), pa.array(np.concatenate(sizes)), *map(pa.array, rows)]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["id", "node", "size", *(f"k{i}" for i in range(BANDS)), "s0", "s1"]
+    names = ["id", "node", "size", *(f"k{i}" for i in range(BANDS)), "s0", "s1", "fp"]
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(
         by_batch(run), f"id {kind}, node binary, " + ", ".join(f"{name} bigint" for name in names[2:])
@@ -341,14 +341,26 @@ def refined(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def ball_buckets(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """``node, key``: one bucket for each component of the links of at most ``radius`` bits between the
+    SimHashes of ``prints(node, fp)``, so that all texts which SimHash links meet."""
+    owners = stored(prints.select("node", "fp").distinct(), "simhashes")
+    roots = components(ball_links(owners.select("fp").distinct(), radius), "fp", "other")
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key")
+    buckets = stored(owners.join(roots, owners.fp == roots.node, "left").select(owners.node, key).distinct(), "balls")
+    discard(owners)
+    return buckets
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, size: int = 5
 ) -> DataFrame:
     """``id_col, component_id`` for every row with an id: groups of texts whose sets of shingles of
     ``size`` words (but for case) have a Jaccard similarity of ``similarity`` or more.
 
-    Texts with the same set are one class first. Then the least hashes of a set under several
-    permutations are put together to keys; a pair of similarity 0.8 misses all of them with
+    Texts with the same set are one class first. Candidates are the texts that SimHash links, by
+    balls as in ``near_duplicates``, which holds few of the pairs at 0.8. For the others
+    the least hashes of a set under several permutations are put together to keys; a pair of similarity 0.8 misses all of them with
     probability (1 - 0.8^5)^25, or 0.00005, whatever the length of the texts, and one of 0.85
     with 0.0000008; its sketches pass it over with 0.000001. What meets on a key is compared by the sets themselves, so every link is exact. Texts
     without words are one class; repeated rows get the same group; an empty table gives an
@@ -359,7 +371,11 @@ def similar_groups(
     classes = stored(
         prints.groupBy("node").agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in ["size", "s0", "s1", *bands]]), "classes"
     )
-    keyed = classes.where("size > 0").select("node", "size", "s0", "s1", F.explode(F.array(*bands)).alias("key"))
+    full = classes.where("size > 0").select("node", "size", "s0", "s1")
+    balls = ball_buckets(prints.where("size > 0"))
+    keyed = classes.where("size > 0").select("node", "size", "s0", "s1", F.explode(F.array(*bands)).alias("key")).unionAll(
+        full.join(balls, "node").select(*full.columns, "key")
+    )
     shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
     members = stored(keyed.join(shared, "key").select("key", "node", "size", "s0", "s1"), "members")
     wanted = stored(members.select("node").distinct().join(classes.select("node", "rep"), "node"), "candidates")
@@ -368,7 +384,7 @@ def similar_groups(
     sets = sets_of(texts, size).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = stored(sets, "sets")
     roots = bucket_links(members, sets, similarity)
-    for table in (shared, members, wanted, sets):
+    for table in (balls, shared, members, wanted, sets):
         discard(table)
     named = classes.select("node", "rep").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(
         "node", "rep", F.coalesce("root", "node").alias("root")

@@ -1,7 +1,7 @@
 """A corpus made ready for training in five stages, each by an operator of ``cellweave.llm``.
 
-Near copies are grouped by the sets of their shingles, with candidates from least hashes instead
-of SimHash balls, which hold few of the pairs of similarity 0.8 (see README). Every stage takes the documents its predecessor kept, written as Parquet and read again."""
+Near copies are grouped by the sets of their shingles, with candidates from SimHash balls, which
+hold few of the pairs of similarity 0.8 (see README), and from least hashes for the rest. Every stage takes the documents its predecessor kept, written as Parquet and read again."""
 
 from __future__ import annotations
 
