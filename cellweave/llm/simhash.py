@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import by_batch, discard, stored, text_slices
 from cellweave.llm.components import components
 from cellweave.llm.wordhash import MIX_1, MIX_2, mixed, run_hashes, words_of
+from cellweave.runtime import counted_broadcast
 
 BITS = 64
 SEED = 42
@@ -232,11 +233,35 @@ def at_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return joined.select(*members.columns, F.coalesce("at_root", "node").alias("root"))
 
 
+def one_bucket_a_hub(members: DataFrame) -> DataFrame:
+    """``members(key, node, size, degree, kind, ...)`` with all large buckets of one hub put together, so
+    that a member is compared with that hub, and written as its difference from it, once.
+
+    A hub that lies in another large bucket, as one edited copy among the others does, gives its
+    bucket to the greatest hub that it meets there, which joins the bucket. Whatever met still does."""
+    rows = [c for c in members.columns if c != "key"]
+    whole = F.struct("degree", "node", *[c for c in rows if c not in ("degree", "node")])
+    members = stored(members, "members")
+    hubs = members.groupBy("key").agg(F.max(whole).alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL)
+    hubs = stored(hubs.select("key", "hub"), "hubs")
+    large = stored(members.join(hubs, "key"), "large")
+    met = large.join(hubs.select(F.col("hub.node").alias("node")).distinct(), "node", "left_semi")
+    above = stored(met.groupBy(F.col("node").alias("at")).agg(F.max("hub").alias("above")), "above")
+    raised = large.join(above, F.col("hub.node") == F.col("at"))
+    one = F.xxhash64(F.lit("hub"), "above.node").alias("key")
+    together = raised.select(one, *rows).unionAll(raised.select(one, *[F.col(f"above.{c}") for c in rows]).distinct())
+    small = members.join(hubs, "key", "left_anti").select("key", *rows)
+    merged = stored(small.unionAll(together.dropDuplicates(["key", "node"])), "members")
+    for table in (members, hubs, large, above):
+        discard(table)
+    return merged
+
+
 def bucket_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``node, root`` of the components of all links of ``similarity`` or more inside the buckets of
     ``members(key, node, size)``, for every node that has one.
 
-    In each round the members of small buckets are compared with each other, which is at most
+    Large buckets of one hub are put together first. In each round the members of small buckets are compared with each other, which is at most
     ``SMALL`` comparisons a member. In a large one the hub, the member that meets most others (of
     copies that is mostly the original), is compared with all others and leaves it. If the rest
     is in one component the bucket is done; what is left of the others is dealt out anew by
@@ -245,7 +270,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
     sketch = [c for c in ("s0", "s1") if c in members.columns]
     met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     degrees = members.join(met, "key").groupBy("node").agg(F.sum("n").alias("degree"))
-    members = members.join(degrees, "node").select("key", "node", "size", *sketch, "degree", F.lit(ALL).alias("kind"))
+    members = one_bucket_a_hub(members.join(degrees, "node").select("key", "node", "size", *sketch, "degree", F.lit(ALL).alias("kind")))
 
     def fits(other: str) -> Column:
         """Whether a member and ``other`` have different roots and may be alike, by the ratio of sizes
@@ -276,18 +301,24 @@ def bucket_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
         found = similar_pairs(pairs, sets, similarity)
         stars = found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         fresh = stored(components(stars, "a", "b"), "components")
-        members = stored(refined(at_roots(rest.drop("root"), fresh), sets, similarity), "lists")
-        for table in (placed, hubs, rest, small, pairs, *([] if roots is None else [roots])):
+        lists = refined(at_roots(rest.drop("root"), fresh), sets, similarity)
+        for table in (members, placed, hubs, rest, small, pairs, *([] if roots is None else [roots])):
             discard(table)
-        roots = fresh
+        members, roots = lists, fresh
     none = members.limit(0).select("node", F.col("node").alias("root"))
     return none if roots is None else roots
 
 
+def sets_at(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``sets`` that belong to ``nodes``, a table of one column: if they are few, no others are
+    shuffled."""
+    return sets.join(counted_broadcast(nodes.toDF("node").distinct()), "node", "left_semi")
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets have a Jaccard similarity of ``similarity`` or more."""
-    own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("own"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
+    own = sets_at(sets, pairs.select("a")).select(F.col("node").alias("a"), F.col("shingles").alias("own"))
+    other = sets_at(sets, pairs.select("b")).select(F.col("node").alias("b"), F.col("shingles").alias("other"))
     common = F.size(F.array_intersect("own", "other"))
     total = F.size("own") + F.size("other") - common
     return pairs.join(own, "a").join(other, "b").where(common >= similarity * total - 1e-9).select("a", "b")
@@ -304,13 +335,15 @@ def refined(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     the far ones, or the close ones, says how many elements a member must share. Of its elements,
     the rarest first, the first |d| - that + 1 therefore hold one that it shares with any partner:
     they are its new buckets, one list for far members with each other and one for close
-    members with far ones. Elements that no other member has need no bucket."""
+    members with far ones. Elements that a member has alone need no bucket, and no partner shares
+    them: with a(y) such elements, y shares at most |dy| - a(y), so |dx| - t |x| + a(y) - t |y| is
+    a second bound. It keeps members far from the hub out of the lists of the copies beside it."""
     t = (1 - similarity) / (1 + similarity)
     sketch = [c for c in ("s0", "s1") if c in rest.columns]
     still = rest.join(open_buckets(rest).select("key"), "key", "left_semi")
-    asked = still.select(F.col("hub.node").alias("hub"), "node", "size", *sketch, "degree").distinct()
-    own = sets.select("node", F.col("shingles").alias("own"))
-    other = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
+    asked = stored(still.select(F.col("hub.node").alias("hub"), "node", "size", *sketch, "degree").distinct(), "asked")
+    own = sets_at(sets, asked.select("node")).select("node", F.col("shingles").alias("own"))
+    other = sets_at(sets, asked.select("hub")).select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
     diff = F.concat(F.array_except("own", "other"), F.array_except("other", "own"))
     differences = asked.join(own, "node").join(other, "hub").withColumn("diff", diff).select(
         "hub", "node", "size", *sketch, "degree", "diff",
@@ -318,27 +351,32 @@ def refined(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         (F.size("diff") - t * F.col("size")).alias("slack"),
     )
     differences = stored(differences, "differences")
-    least = differences.groupBy("hub").agg(
-        F.min(F.when(F.col("far"), F.col("slack"))).alias("least_far"), F.min(F.when(~F.col("far"), F.col("slack"))).alias("least_close")
-    )
     elements = differences.select("hub", "node", F.explode("diff").alias("element"))
     known = stored(elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "elements")
     shared = elements.join(known, ["hub", "element"]).groupBy("hub", "node").agg(
         F.sort_array(F.collect_list(F.struct("n", "element"))).alias("shared")
     )
-    ready = differences.drop("diff").join(shared, ["hub", "node"]).join(stored(least, "least"), "hub")
-
-    def first(slack: str, kind: int, lists: int) -> Column:
-        common = F.greatest(F.ceil((F.col("slack") + F.col(slack)) / 2 - 1e-9), F.lit(1))
+    # What a member has alone adds to its distance from any other.
+    alone = (F.col("slack") - F.size("shared")).alias("alone")
+    ready = stored(differences.drop("diff").join(shared, ["hub", "node"]).select("*", alone), "shared")
+    least = stored(ready.groupBy("hub").agg(
+        *[F.min(F.when(F.col("far") == far, F.col(c))).alias(f"{c}_{name}") for far, name in ((True, "far"), (False, "close")) for c in ("slack", "alone")]
+    ), "least")
+
+    def first(partners: str, kind: int, lists: int) -> Column:
+        slack, alone = F.col(f"slack_{partners}"), F.col(f"alone_{partners}")
+        common = F.greatest(F.ceil((F.col("slack") + slack) / 2 - 1e-9), F.ceil(F.col("slack") + alone - 1e-9), F.lit(1))
         length = F.greatest(F.size("shared") - common + 1, F.lit(0)).cast("int")
-        taken = F.when(F.col(slack).isNull(), F.slice("shared", 1, 0)).otherwise(F.slice("shared", F.lit(1), length))
+        taken = F.when(slack.isNull(), F.slice("shared", 1, 0)).otherwise(F.slice("shared", F.lit(1), length))
         return F.transform(taken, lambda e: F.struct(F.xxhash64("hub", e["element"], F.lit(lists)).alias("key"), F.lit(kind).alias("kind")))
 
-    far = F.concat(first("least_far", ALL, 0), first("least_close", FAR, 1))
-    lists = F.when(F.col("far"), far).otherwise(first("least_far", CLOSE, 1))
-    return ready.select(F.explode(lists).alias("in"), "node", "size", *sketch, "degree").select(
-        "in.key", "node", "size", *sketch, "degree", "in.kind"
-    )
+    far = F.concat(first("far", ALL, 0), first("close", FAR, 1))
+    lists = F.when(F.col("far"), far).otherwise(first("far", CLOSE, 1))
+    dealt = ready.join(least, "hub").select(F.explode(lists).alias("in"), "node", "size", *sketch, "degree")
+    buckets = stored(dealt.select("in.key", "node", "size", *sketch, "degree", "in.kind"), "lists")
+    for table in (asked, differences, known, ready, least):
+        discard(table)
+    return buckets
 
 
 def ball_buckets(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -371,20 +409,19 @@ def similar_groups(
     classes = stored(
         prints.groupBy("node").agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in ["size", "s0", "s1", *bands]]), "classes"
     )
-    full = classes.where("size > 0").select("node", "size", "s0", "s1")
+    full = classes.where("size > 0")
     balls = ball_buckets(prints.where("size > 0"))
-    keyed = classes.where("size > 0").select("node", "size", "s0", "s1", F.explode(F.array(*bands)).alias("key")).unionAll(
-        full.join(balls, "node").select(*full.columns, "key")
-    )
+    keyed = full.select("node", F.explode(F.array(*bands)).alias("key")).unionAll(balls.select("node", "key"))
     shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "keys")
-    members = stored(keyed.join(shared, "key").select("key", "node", "size", "s0", "s1"), "members")
-    wanted = stored(members.select("node").distinct().join(classes.select("node", "rep"), "node"), "candidates")
-    texts = rows.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
+    met = stored(keyed.join(shared, "key").select("key", "node"), "met")
+    wanted = stored(met.select("node").distinct().join(full.select("node", "rep", "size", "s0", "s1"), "node"), "candidates")
+    members = stored(met.join(wanted.drop("rep"), "node"), "members")
+    texts = rows.join(counted_broadcast(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi").select("text")
     # Rows that share an id may hold other texts, and a class has one set.
-    sets = sets_of(texts, size).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = sets_at(sets_of(texts, size), wanted.select("node")).dropDuplicates(["node"])
     sets = stored(sets, "sets")
     roots = bucket_links(members, sets, similarity)
-    for table in (balls, shared, members, wanted, sets):
+    for table in (balls, shared, met, members, wanted, sets):
         discard(table)
     named = classes.select("node", "rep").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(
         "node", "rep", F.coalesce("root", "node").alias("root")

@@ -2,7 +2,7 @@
 
 import random
 
-from test_duplicates import edits, found_groups, prose, slow_groups
+from test_duplicates import edits, found_groups, prose, slow_components, slow_groups
 
 from cellweave.llm import simhash
 
@@ -28,3 +28,31 @@ def test_what_simhash_links_meets_in_one_bucket(spark):
     for row in simhash.ball_buckets(table).collect():
         buckets.setdefault(row.key, set()).add(bytes(row.node))
     assert sorted(map(sorted, buckets.values())) == [[b"a", b"b", b"c", b"e"], [b"d"], [b"e"]]
+
+
+def test_edited_copies_of_one_set_are_dealt_out_in_proportion(spark, monkeypatch):
+    """Copies on both sides of the threshold meet their original in one bucket and each other in more."""
+    rows = {}
+
+    def counted(df, name, schema=None, store=simhash.stored):
+        table = store(df, name, schema)
+        rows[name] = rows.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    rng = random.Random(12)
+    sets = {b"hub": frozenset(range(200))}
+    for i in range(120):
+        gone = 1 + i % 40
+        sets[b"%03d" % i] = frozenset(rng.sample(range(200), 200 - gone)) | set(range(1000 * i + 1000, 1000 * i + 1000 + gone))
+    sets[b"120"] = sets[b"039"] - {39001} | {1}
+    keys = {0: list(sets)} | {k: sorted({*rng.sample(sorted(sets), 60), b"039", b"120"} - {b"hub"}) for k in range(1, 6)}
+    members = spark.createDataFrame(
+        [(k, bytearray(n), len(sets[n])) for k, nodes in keys.items() for n in nodes], "key bigint, node binary, size bigint"
+    )
+    table = spark.createDataFrame([(bytearray(n), sorted(s)) for n, s in sets.items()], "node binary, shingles array<bigint>")
+    found = {bytes(r.node): bytes(r.root) for r in simhash.bucket_links(members, table, 0.8).collect()}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert {n: n for n in sets} | found == slow_components(sets, near)
+    assert found[b"039"] == found[b"120"] == b"039"
+    assert rows["lists"] <= 50 * len(sets)
