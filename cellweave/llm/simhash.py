@@ -6,6 +6,7 @@ variants are the shuffle keys, and fingerprints that meet on one are verified.""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -211,7 +212,7 @@ SLICE_BYTES = 250_000
 #: Buckets of up to so many members are compared pair by pair; larger ones by their hubs.
 SMALL = 32
 #: What the members of a bucket are compared for: links with each other, or of one kind with the other.
-ALL, CLOSE, FAR = 0, 1, 2
+ALL, BESIDE, APART = 0, 1, 2
 
 
 def open_buckets(members: DataFrame, *picked: Column) -> DataFrame:
@@ -301,8 +302,12 @@ def bucket_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
         found = similar_pairs(pairs, sets, similarity)
         stars = found if roots is None else found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         fresh = stored(components(stars, "a", "b"), "components")
-        lists = refined(at_roots(rest.drop("root"), fresh), sets, similarity)
-        for table in (members, placed, hubs, rest, small, pairs, *([] if roots is None else [roots])):
+        lists, certain = refined(rest, fresh, sets, similarity)
+        if not certain.isEmpty():
+            before, stars = fresh, certain.unionAll(fresh.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            fresh = stored(components(stars, "a", "b"), "components")
+            discard(before)
+        for table in (members, placed, hubs, rest, small, pairs, certain, *([] if roots is None else [roots])):
             discard(table)
         members, roots = lists, fresh
     none = members.limit(0).select("node", F.col("node").alias("root"))
@@ -324,59 +329,129 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return pairs.join(own, "a").join(other, "b").where(common >= similarity * total - 1e-9).select("a", "b")
 
 
-def refined(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """New buckets for the members ``rest(key, node, root, hub, ...)`` of buckets without their hub.
-
-    Every member is written as its difference from the hub, the elements that one of the two sets
-    has and the other has not. The distance of two members is that of their differences: with
-    t = (1 - s) / (1 + s), sets x and y have similarity s or more just if the differences have
-    (|dx| - t |x| + |dy| - t |y|) / 2 elements in common or more. Members close to the hub are in
-    one component already, so one of the two is far from it, and the least |d| - t |d's set| among
-    the far ones, or the close ones, says how many elements a member must share. Of its elements,
-    the rarest first, the first |d| - that + 1 therefore hold one that it shares with any partner:
-    they are its new buckets, one list for far members with each other and one for close
-    members with far ones. Elements that a member has alone need no bucket, and no partner shares
-    them: with a(y) such elements, y shares at most |dy| - a(y), so |dx| - t |x| + a(y) - t |y| is
-    a second bound. It keeps members far from the hub out of the lists of the copies beside it."""
+def refined(rest: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """New buckets for the members ``rest(key, node, hub, ...)`` of buckets without their hub, and links
+    ``a, b`` that are certain.
+
+    Every member is written as its difference from the centre, the set of what more than half of the members
+    of a hub have: the elements that it adds and those that it lacks. (A hub that is an edited copy itself
+    would make all others differ from it in the same elements.) The distance of two members is that of
+    their differences: with t = (1 - s) / (1 + s), sets x and y have similarity s or more just if their
+    differences are at most t |x| + t |y| apart. With slack = |a| + |l| - t |x|, two are alike for
+    certain if slack_x + slack_y is not above zero. Then both are alike to the one of the least slack, a
+    member or the hub, so all such links are those with that one. The members of its component need no more links
+    with each other; the others are apart. Bounds on what a member that is apart must share with any, and any
+    with one that is apart, take the least of its possible partners, and there are two:
+
+    Two members have (slack_x + slack_y) / 2 elements of their differences in common or more, and as no
+    partner shares what y has alone, also slack_x + slack_y - (elements of y that others have too).
+    Of the elements of x, the rarest first, the first |a| + |l| - that + 1 therefore hold one that it
+    shares with any partner.
+
+    What x and y lack differs by | |lx| - |ly| | or more, so with low = |a| - |l| - t |x| they have
+    (slack_x + low_y) / 2 added elements in common or more, and likewise slack_x + alone_y. So they
+    meet on the first of their added elements alone, of which few others have one, while each element of
+    the centre is lacked by many if there are many copies. Only two members of which the bounds allow that they
+    add nothing in common, because one lacks more than it adds, may have to meet on what both lack.
+
+    Either way gives new buckets, one list for members that are apart with each other and one for those
+    of the component with them; each hub takes the way whose buckets are expected to hold less."""
     t = (1 - similarity) / (1 + similarity)
     sketch = [c for c in ("s0", "s1") if c in rest.columns]
+    rest = at_roots(rest.drop("root"), roots)
     still = rest.join(open_buckets(rest).select("key"), "key", "left_semi")
-    asked = stored(still.select(F.col("hub.node").alias("hub"), "node", "size", *sketch, "degree").distinct(), "asked")
+    asked = stored(still.select(F.col("hub.node").alias("hub"), "node", "root", "size", *sketch, "degree").distinct(), "asked")
     own = sets_at(sets, asked.select("node")).select("node", F.col("shingles").alias("own"))
     other = sets_at(sets, asked.select("hub")).select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
-    diff = F.concat(F.array_except("own", "other"), F.array_except("other", "own"))
-    differences = asked.join(own, "node").join(other, "hub").withColumn("diff", diff).select(
-        "hub", "node", "size", *sketch, "degree", "diff",
-        (F.size("diff") > t * (F.col("size") + F.size("other")) + 1e-9).alias("far"),
-        (F.size("diff") - t * F.col("size")).alias("slack"),
-    )
-    differences = stored(differences, "differences")
-    elements = differences.select("hub", "node", F.explode("diff").alias("element"))
-    known = stored(elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "elements")
-    shared = elements.join(known, ["hub", "element"]).groupBy("hub", "node").agg(
-        F.sort_array(F.collect_list(F.struct("n", "element"))).alias("shared")
-    )
+    differences = stored(asked.join(own, "node").join(other, "hub").select(
+        "hub", "node", "root", "size", *sketch, "degree",
+        F.array_except("own", "other").alias("added"), F.array_except("other", "own").alias("lacked"),
+        F.size("other").alias("hub_size"),
+    ), "differences")
+
+    def elements(table: DataFrame) -> DataFrame:
+        both = F.concat(
+            F.transform("added", lambda e: F.struct(e.alias("element"), F.lit(True).alias("adds"))),
+            F.transform("lacked", lambda e: F.struct(e.alias("element"), F.lit(False).alias("adds"))),
+        )
+        return table.select("hub", "node", F.explode(both).alias("at")).select("hub", "node", "at.*")
+
+    members = stored(differences.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max("hub_size").alias("hub_size")), "hubs")
+    counts = elements(differences).groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n"), F.max("adds").alias("adds")).where("n > 1")
+    counts = stored(counts.join(members.drop("hub_size"), "hub").withColumn("usual", F.col("n") * 2 > F.col("members")), "elements")
+    usual = stored(counts.where("usual").groupBy("hub").agg(
+        *[F.collect_list(F.when(of, F.col("element"))).alias(name) for of, name in ((F.col("adds"), "all_add"), (~F.col("adds"), "all_lack"))]
+    ), "usual")
+
+    def moved(own: str, usual: str, other: str, other_usual: str) -> Column:
+        """Differences from the hub as differences from the centre."""
+        from_centre = F.concat(F.array_except(own, usual), F.array_except(other_usual, other))
+        return F.when(F.col(usual).isNull(), F.col(own)).otherwise(from_centre).alias(own)
+
+    centred = stored(differences.join(usual, "hub", "left").select(
+        "hub", "node", "root", "size", *sketch, "degree",
+        moved("added", "all_add", "lacked", "all_lack"), moved("lacked", "all_lack", "added", "all_add"),
+    ).withColumns({
+        "slack": F.size("added") + F.size("lacked") - t * F.col("size"),
+        "low": F.size("added") - F.size("lacked") - t * F.col("size"),
+    }), "centred")
+    aside = F.coalesce(F.size("all_add") + F.size("all_lack"), F.lit(0)) - t * F.col("hub_size")
+    hubs = at_roots(members.join(usual, "hub", "left").select("hub", F.col("hub").alias("node"), aside.alias("slack")), roots)
+    nearest = stored(centred.select(*hubs.columns).unionAll(hubs).groupBy("hub").agg(F.min(F.struct("slack", "node", "root")).alias("nearest")), "nearest")
+    certain = (F.col("slack") + F.col("nearest.slack") <= 1e-9) & (F.col("node") != F.col("nearest.node"))
+    beside = F.col("root") == F.col("nearest.root")
+    placed = centred.join(nearest, "hub")
+    links = stored(placed.where(certain & ~beside).select(F.col("node").alias("a"), F.col("nearest.node").alias("b")), "certain")
+    known = counts.select("hub", "element", F.when(F.col("usual"), F.col("members") - F.col("n")).otherwise(F.col("n")).alias("n"))
+    place = F.struct("n", "element")
+    shared = elements(centred).join(known.where("n > 1"), ["hub", "element"]).groupBy("hub", "node").agg(
+        *[F.sort_array(F.collect_list(F.when(of, place))).alias(name) for of, name in ((F.col("adds"), "added"), (~F.col("adds"), "lacked"))]
+    ).withColumn("any", F.sort_array(F.concat("added", "lacked")))
     # What a member has alone adds to its distance from any other.
-    alone = (F.col("slack") - F.size("shared")).alias("alone")
-    ready = stored(differences.drop("diff").join(shared, ["hub", "node"]).select("*", alone), "shared")
+    ready = stored(placed.withColumn("apart", ~(certain | beside)).drop("added", "lacked", "root", "nearest").join(shared, ["hub", "node"]).withColumns({
+        "slack_alone": F.col("slack") - F.size("any"),
+        "slack_lacked": F.col("slack") - F.size("lacked"),
+        "low_alone": F.col("low") - F.size("added"),
+    }), "shared")
+    bounds = ("slack", "low", "slack_alone", "slack_lacked", "low_alone")
     least = stored(ready.groupBy("hub").agg(
-        *[F.min(F.when(F.col("far") == far, F.col(c))).alias(f"{c}_{name}") for far, name in ((True, "far"), (False, "close")) for c in ("slack", "alone")]
+        *[F.min(F.when(F.col("apart") == apart, F.col(c))).alias(f"{c}_{name}") for apart, name in ((True, "apart"), (False, "beside")) for c in bounds]
     ), "least")
 
-    def first(partners: str, kind: int, lists: int) -> Column:
-        slack, alone = F.col(f"slack_{partners}"), F.col(f"alone_{partners}")
-        common = F.greatest(F.ceil((F.col("slack") + slack) / 2 - 1e-9), F.ceil(F.col("slack") + alone - 1e-9), F.lit(1))
-        length = F.greatest(F.size("shared") - common + 1, F.lit(0)).cast("int")
-        taken = F.when(slack.isNull(), F.slice("shared", 1, 0)).otherwise(F.slice("shared", F.lit(1), length))
-        return F.transform(taken, lambda e: F.struct(F.xxhash64("hub", e["element"], F.lit(lists)).alias("key"), F.lit(kind).alias("kind")))
-
-    far = F.concat(first("far", ALL, 0), first("close", FAR, 1))
-    lists = F.when(F.col("far"), far).otherwise(first("far", CLOSE, 1))
-    dealt = ready.join(least, "hub").select(F.explode(lists).alias("in"), "node", "size", *sketch, "degree")
-    buckets = stored(dealt.select("in.key", "node", "size", *sketch, "degree", "in.kind"), "lists")
-    for table in (asked, differences, known, ready, least):
+    def sums(partners: str, bound: str) -> Column:
+        """The slack of a member and the least ``bound`` of its partners, or the other way."""
+        return F.greatest(F.col("slack") + F.col(f"{bound}_{partners}"), F.col(f"slack_{partners}") + F.col(bound))
+
+    def first(column: str, half: Column, whole: Column, where: Column, kind: int, lists: int) -> Column:
+        """Buckets of the first elements of ``column``, with which so many are in common."""
+        common = F.greatest(F.ceil(half / 2 - 1e-9), F.ceil(whole - 1e-9), F.lit(1))
+        length = F.when(where, F.greatest(F.size(column) - common + 1, F.lit(0))).otherwise(0).cast("int")
+        return F.transform(F.slice(column, F.lit(1), length), lambda e: F.struct(
+            F.xxhash64("hub", e["element"], F.lit(lists)).alias("key"), F.lit(kind).alias("kind"), e["n"].alias("n")
+        ))
+
+    def by_any(partners: str, kind: int, lists: int) -> Column:
+        some = F.col(f"slack_{partners}").isNotNull()
+        return first("any", sums(partners, "slack"), sums(partners, "slack_alone"), some, kind, lists)
+
+    def by_added(partners: str, kind: int, lists: int) -> Column:
+        some, half, whole = F.col(f"slack_{partners}").isNotNull(), sums(partners, "low"), sums(partners, "low_alone")
+        none = some & (half <= 1e-6) & (whole <= 1e-6)
+        lacked = first("lacked", sums(partners, "slack"), sums(partners, "slack_lacked"), none, kind, lists)
+        return F.concat(first("added", half, whole, some, kind, lists), lacked)
+
+    def dealt(way: Callable[[str, int, int], Column]) -> Column:
+        return F.when(F.col("apart"), F.concat(way("apart", ALL, 0), way("beside", APART, 1))).otherwise(way("apart", BESIDE, 1))
+
+    met = ready.join(least, "hub").withColumns({"by_any": dealt(by_any), "by_added": dealt(by_added)})
+    cost = [F.sum(F.aggregate(way, F.lit(0).cast("bigint"), lambda total, e: total + e["n"])).alias(f"cost_{way}") for way in ("by_any", "by_added")]
+    costs = stored(met.groupBy("hub").agg(*cost), "costs")
+    way = F.when(F.col("cost_by_added") < F.col("cost_by_any"), F.col("by_added")).otherwise(F.col("by_any"))
+    lists = met.join(costs, "hub").select(F.explode(way).alias("in"), "node", "size", *sketch, "degree")
+    buckets = stored(lists.select("in.key", "node", "size", *sketch, "degree", "in.kind"), "lists")
+    for table in (asked, differences, members, counts, usual, centred, nearest, ready, least, costs):
         discard(table)
-    return buckets
+    return buckets, links
 
 
 def ball_buckets(prints: DataFrame, radius: int = 2) -> DataFrame:

@@ -56,3 +56,29 @@ def test_edited_copies_of_one_set_are_dealt_out_in_proportion(spark, monkeypatch
     assert {n: n for n in sets} | found == slow_components(sets, near)
     assert found[b"039"] == found[b"120"] == b"039"
     assert rows["lists"] <= 50 * len(sets)
+
+
+def test_copies_without_their_original_are_dealt_out_in_proportion(spark, monkeypatch):
+    """Some copies have nearly all their edits in common, and none is the text that all were made of."""
+    rows = []
+
+    def counted(df, name, schema=None, store=simhash.stored):
+        table = store(df, name, schema)
+        if name == "lists":
+            rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    rng = random.Random(13)
+    sets = {}
+    for i in range(150):
+        gone = set(rng.sample(range(200), 8 + i % 40))
+        sets[b"%03d" % i] = frozenset(set(range(200)) - gone | {1000 + 1000 * e + rng.randrange(1000) for e in gone})
+    for i in range(5):
+        sets[b"twin%d" % i] = sets[b"%03d" % (35 + i)] - {max(sets[b"%03d" % (35 + i)])} | {10**6 + i}
+    members = spark.createDataFrame([(1, bytearray(n), len(s)) for n, s in sets.items()], "key bigint, node binary, size bigint")
+    table = spark.createDataFrame([(bytearray(n), sorted(s)) for n, s in sets.items()], "node binary, shingles array<bigint>")
+    found = {bytes(r.node): bytes(r.root) for r in simhash.bucket_links(members, table, 0.8).collect()}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    assert near and {n: n for n in sets} | found == slow_components(sets, near)
+    assert sum(rows) <= 10 * len(sets)
